@@ -24,6 +24,8 @@ BUCKETS_A_PARTITION = 4
 HOT = 2048
 #: Records that a task gathers before it packs them.
 GATHER = 1_500_000
+#: Pairs that a task compares at a time.
+PORTION = 1 << 19
 BLOCK = pa.schema([("bucket", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 BLOCK_SQL = "bucket int, left binary, right binary"
 
@@ -183,3 +185,75 @@ def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, acc
 
     met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
     return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])
+
+
+def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
+    """Distinct pairs (a, b) of identities of side 0 and of side 1 that share a key and that `accept` lets through.
+
+    As `self_pairs`, for records with a field `side`; equal identities of both sides may be paired.
+    """
+    partitions = shuffle_partitions(entries.sparkSession)
+    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+    def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        ok = accept(left, right)
+        out = np.empty(np.count_nonzero(ok), pair)
+        out["a"], out["b"] = left[identity][ok], right[identity][ok]
+        return out
+
+    def route(found: list[np.ndarray]) -> list[tuple[int, bytes, bytes | None]]:
+        pairs = unique_pairs(np.concatenate(found))
+        return [(b, r.tobytes(), None) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], partitions))]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for records in gathered(batches, dtype):
+            records = records[np.lexsort((records[identity], records["side"], records[key]))]
+            once = np.ones(len(records), bool)
+            once[1:] = (records[key][1:] != records[key][:-1]) | (records[identity][1:] != records[identity][:-1]) | (records["side"][1:] != records["side"][:-1])
+            records = records[once]
+            begin, length = runs(records[key])
+            ones = np.concatenate(([0], np.cumsum(records["side"])))
+            other = (ones[begin + length] - ones[begin]).astype(np.int64)
+            own = length - other
+            hot = (own > 0) & (other > 0) & (length > HOT)
+            for i, m, n in zip(begin[hot].tolist(), own[hot].tolist(), other[hot].tolist()):
+                left = [records[x : min(x + HOT, i + m)].tobytes() for x in range(i, i + m, HOT)]
+                right = [records[x : min(x + HOT, i + m + n)].tobytes() for x in range(i + m, i + m + n, HOT)]
+                for x in range(len(left)):
+                    yield blocks([((i + x * 31 + y) % partitions, left[x], right[y]) for y in range(len(right))])
+            use = (own > 0) & (other > 0) & ~hot
+            begin, own, other = begin[use], own[use], other[use]
+            left = np.repeat(begin, own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
+            right, many = np.repeat(begin + own, own), np.repeat(other, own)
+            done = np.cumsum(many)
+            cuts = np.searchsorted(done, np.arange(0, done[-1], PORTION)).tolist() if len(done) else []
+            for x, y in zip(cuts, [*cuts[1:], len(left)]):
+                if x < y:
+                    times = many[x:y]
+                    j = np.repeat(right[x:y], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+                    found.append(kept(records[np.repeat(left[x:y], times)], records[j]))
+            if sum(map(len, found)) > GATHER:
+                yield blocks(route(found))
+                found = []
+        if found:
+            yield blocks(route(found))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for batch in batches:
+            for left, right in zip(batch.column(1), batch.column(2)):
+                if not right.is_valid:
+                    found.append(np.frombuffer(left.as_py(), pair))
+                    continue
+                x, y = np.frombuffer(left.as_py(), dtype), np.frombuffer(right.as_py(), dtype)
+                for i in range(0, len(x), 64):
+                    found.append(kept(np.repeat(x[i : i + 64], len(y)), np.tile(y, len(x[i : i + 64]))))
+            if sum(map(len, found)) > GATHER:
+                yield longs(unique_pairs(np.concatenate(found)))
+                found = []
+        if found:
+            yield longs(unique_pairs(np.concatenate(found)))
+
+    met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
+    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])

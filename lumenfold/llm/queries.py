@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import neardup
+from lumenfold.llm import neardup, overlap
 from lumenfold.sources.tables import table
 
 
@@ -14,8 +15,31 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "passages"))
 
 
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split, record_id, source, text, train) of the passages of a known split and of the locked questions."""
+    split = F.lower(F.trim("split"))
+    passages = table(spark, sf_dir, "passages").select(split.alias("split"), F.col("passage_id").alias("record_id"), F.col("text_source").alias("source"), "text")
+    locked = table(spark, sf_dir, "se_locked").select(F.lit("locked").alias("split"), F.concat_ws(":", "site", F.col("question_id").cast("string")).alias("record_id"), F.col("site").alias("source"), "text")
+    known = passages.where(F.col("split").isin("train", "val", "test")).unionByName(locked)
+    return known.withColumn("train", (F.col("split") == "train").cast("int"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = split_records(spark, sf_dir)
+    leaked = overlap.overlapping(records).select(F.col("a").alias("sig")).distinct()
+    named = records.where("train = 0").withColumn("record", F.struct("split", "record_id"))
+    return neardup.bag_members(named, "record", "text").join(leaked, "sig", "left_semi").select("record.*").distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: evaluation records, and how many of them stand in the training split."""
+    records = split_records(spark, sf_dir).where("train = 0").groupBy("split", "record_id").agg(F.max("source").alias("source"))
+    marked = records.join(p2_found(spark, sf_dir).withColumn("found", F.lit(1)), ["split", "record_id"], "left")
+    return marked.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("found").alias("overlapping"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report}
 
 
 def oracle_sql() -> dict[str, str]:
