@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import neardup, overlap, pages
+from lumenfold.llm import neardup, overlap, pages, vectors
 from lumenfold.sources.tables import table
 
 
@@ -38,6 +38,10 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("found").alias("overlapping"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_pairs(table(spark, sf_dir, "passage_vectors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.spread_articles(table(spark, sf_dir, "passages"))
 
@@ -48,7 +52,7 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_splits": p5_splits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p5_splits": p5_splits}
 
 
 def oracle_sql() -> dict[str, str]:
