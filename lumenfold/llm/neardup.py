@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm import blocks
 from lumenfold.llm.rarity import HEAVY, heavy_terms, times_found
 from lumenfold.llm.words import Bags, mix
-from lumenfold.plans.lineage import shuffle_partitions
+from lumenfold.plans.lineage import cut, shuffle_partitions
 
 BANDS, ROWS, BITS = 16, 4, 128
 #: Standard deviations that an estimate may lie on the wrong side and still pass to the exact check.
@@ -179,7 +179,7 @@ def near_duplicate_pairs(texts: DataFrame, identity: str = "passage_id", text: s
     A row with a null identity is left out. An identity that comes several times counts
     once: its pairs are those of any of its texts. Rows of one identity are never paired.
     """
-    members = bag_members(texts, identity, text).distinct()
+    members = cut(bag_members(texts, identity, text).distinct())
     links = near_duplicate_bags(texts, text, agreement).select("a", "b")
     one, two = (members.select(F.col("sig").alias(s), F.col(identity).alias(i)) for s, i in (("a", "x"), ("b", "y")))
     across = links.join(one, "a").join(two, "b")

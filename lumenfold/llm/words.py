@@ -45,8 +45,8 @@ def hash_strings(values: Sequence[str]) -> np.ndarray:
     return np.fromiter((digest(v) for v in values), np.uint64, len(values))
 
 
-def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of each text, in order, and the number of words of each text."""
+def coded_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words; of each word of each text, in order, its place there; the number of words of each text."""
     flat: list[str] = []
     counts: list[int] = []
     for text in texts:
@@ -54,9 +54,9 @@ def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         counts.append(len(found))
         flat += found
     if not flat:
-        return np.zeros(0, np.uint64), np.asarray(counts, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.asarray(counts, np.int64)
     encoded = pa.array(flat, pa.string()).dictionary_encode()
-    return hash_strings(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()], np.asarray(counts, np.int64)
+    return hash_strings(encoded.dictionary.to_pylist()), encoded.indices.to_numpy().astype(np.int64), np.asarray(counts, np.int64)
 
 
 class Bags:
@@ -68,17 +68,18 @@ class Bags:
     """
 
     def __init__(self, texts: Iterable[str | None]):
-        hashes, self.count = word_hashes(texts)
+        hashes, code, self.count = coded_words(texts)
         self.start = np.cumsum(self.count) - self.count
         owner = np.repeat(np.arange(len(self.count)), self.count)
-        order = np.lexsort((hashes, owner))
-        self.word = hashes[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (self.word[1:] != self.word[:-1]) | (owner[1:] != owner[:-1])
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        occurrence = (np.arange(len(order)) - first).astype(np.uint64)
+        code |= owner << 32
+        code.sort()
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = code[1:] != code[:-1]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
+        occurrence = (np.arange(len(code)) - first).astype(np.uint64)
+        word = hashes[code & 0xFFFFFFFF]
         self.owner = owner
-        self.elements = mix(self.word + occurrence * _GOLDEN)
+        self.elements = mix(word + occurrence * _GOLDEN)
         self.signature = np.zeros(len(self.count), np.uint64)
         full = self.count > 0
         if full.any():
