@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import neardup, overlap, pages, vectors
+from lumenfold.llm import encode, leakage, neardup, overlap, pages, vectors
 from lumenfold.sources.tables import table
 
 
@@ -51,8 +51,21 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.assign_splits(table(spark, sf_dir, "passages"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak with its longest tile and its coverage of the item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p5_splits": p5_splits}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,6 +59,12 @@ def coded_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np
     return hash_strings(encoded.dictionary.to_pylist()), encoded.indices.to_numpy().astype(np.int64), np.asarray(counts, np.int64)
 
 
+def word_hashes_of(texts: Iterable[str | None]) -> np.ndarray:
+    """The hashes of all words of the texts, in order."""
+    hashes, code, _ = coded_words(texts)
+    return hashes[code] if len(code) else hashes
+
+
 class Bags:
     """Bags of words of a batch of texts.
 
