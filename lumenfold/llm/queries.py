@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import encode, leakage, neardup, overlap, pages, vectors
+from lumenfold.llm import encode, leakage, neardup, overlap, pages, subjects, vectors
 from lumenfold.sources.tables import table
 
 
@@ -42,6 +42,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, sf_dir, "passage_vectors"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, sf_dir, "passages"), table(spark, sf_dir, "taxonomy_subtopics"))
+
+
+def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of each subject: those labelled with it and those it was assigned to."""
+    passages = table(spark, sf_dir, "passages").select("passage_id", subjects.subject_of("general").alias("general"))
+    given = passages.where("general is not null").distinct().groupBy("general").agg(F.count("*").alias("labelled"))
+    new = p4_found(spark, sf_dir).groupBy("general").agg(F.count("*").alias("assigned"))
+    return given.join(new, "general", "full").na.fill(0, ["labelled", "assigned"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.spread_articles(table(spark, sf_dir, "passages"))
 
@@ -65,7 +77,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
