@@ -45,7 +45,19 @@ def blocks(rows: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BLOCK.types)] if rows else [pa.array([], t) for t in BLOCK.types], schema=BLOCK)
 
 
-def packed(parts: Iterator[np.ndarray], key: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def squeeze(records: np.ndarray) -> bytes:
+    """The records, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(records).view(np.uint8).reshape(len(records), -1).T
+    return len(records).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], n * dtype.itemsize, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype)
+
+
+def packed(parts: Iterator[np.ndarray], key: str, buckets: int, gather: int = GATHER, compress: bool = False) -> Iterator[pa.RecordBatch]:
     """Blocks of the records of `parts`, by the bucket of their key."""
     held: list[np.ndarray] = []
     size = 0
@@ -53,13 +65,13 @@ def packed(parts: Iterator[np.ndarray], key: str, buckets: int) -> Iterator[pa.R
     def flush() -> pa.RecordBatch:
         records = np.concatenate(held)
         held.clear()
-        return blocks([(b, r.tobytes(), None) for b, r in split(records, bucket_of(records[key], buckets))])
+        return blocks([(b, squeeze(r) if compress else r.tobytes(), None) for b, r in split(records, bucket_of(records[key], buckets))])
 
     for part in parts:
         if len(part):
             held.append(part)
             size += len(part)
-        if size > GATHER:
+        if size > gather:
             yield flush()
             size = 0
     if held:
@@ -113,14 +125,15 @@ def entry_partitions(entries: DataFrame) -> DataFrame:
     return entries.repartitionById(partitions, F.col("bucket") % partitions)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
+def gathered(batches: Iterator[pa.RecordBatch], dtype: np.dtype, compressed: bool = False) -> Iterator[np.ndarray]:
     """The records of each bucket of a partition."""
     by: dict[int, list[bytes]] = {}
     for batch in batches:
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             by.setdefault(b, []).append(blob.as_py())
     for b in list(by):
-        yield np.frombuffer(b"".join(by.pop(b)), dtype)
+        blobs = by.pop(b)
+        yield np.concatenate([unsqueeze(x, dtype) for x in blobs]) if compressed else np.frombuffer(b"".join(blobs), dtype)
 
 
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -258,78 +271,3 @@ def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, ac
     met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
     return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])
 
-
-def home_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of identities that share a key under which at least one has side 0.
-
-    Side 0 marks a record that lives under the key, side 1 one that only looks there.
-    """
-    partitions = shuffle_partitions(entries.sparkSession)
-    pair = np.dtype([("a", "<i8"), ("b", "<i8")])
-
-    def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ok = accept(left, right)
-        x, y = left[identity][ok], right[identity][ok]
-        other = x != y
-        out = np.empty(np.count_nonzero(other), pair)
-        out["a"], out["b"] = np.minimum(x, y)[other], np.maximum(x, y)[other]
-        return out
-
-    def route(found: list[np.ndarray]) -> list[tuple[int, bytes, bytes | None]]:
-        pairs = unique_pairs(np.concatenate(found))
-        return [(b, r.tobytes(), None) for b, r in split(pairs, bucket_of(pairs["a"].view() * 31 ^ pairs["b"], partitions))]
-
-    def crossed(left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
-        step = max(1, PORTION // max(1, len(right)))
-        for i in range(0, len(left), step):
-            part = left[i : i + step]
-            yield kept(np.repeat(part, len(right)), np.tile(right, len(part)))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for records in gathered(batches, dtype):
-            records = records[np.lexsort((records["side"], records[key]))]
-            begin, length = runs(records[key])
-            looking = np.concatenate(([0], np.cumsum(records["side"])))
-            at_home = length - (looking[begin + length] - looking[begin]).astype(np.int64)
-            hot = (at_home > 0) & (at_home * length > HOT * HOT)
-            for i, m, n in zip(begin[hot].tolist(), at_home[hot].tolist(), length[hot].tolist()):
-                left = [records[x : min(x + HOT, i + m)].tobytes() for x in range(i, i + m, HOT)]
-                right = [records[x : min(x + HOT, i + n)].tobytes() for x in range(i, i + n, HOT)]
-                for x in range(len(left)):
-                    yield blocks([((i + x * 31 + y) % partitions, left[x], right[y]) for y in range(x, len(right))])
-            use = (at_home > 0) & (length > 1) & ~hot
-            begin, at_home, length = begin[use], at_home[use], length[use]
-            # Each record at home meets those after it in its run, home or not.
-            left = np.repeat(begin, at_home) + (np.arange(at_home.sum()) - np.repeat(np.cumsum(at_home) - at_home, at_home))
-            many = np.repeat(begin + length, at_home) - left - 1
-            done = np.cumsum(many)
-            cuts = np.searchsorted(done, np.arange(0, done[-1], PORTION)).tolist() if len(done) else []
-            for x, y in zip(cuts, [*cuts[1:], len(left)]):
-                if x < y:
-                    times = many[x:y]
-                    i = np.repeat(left[x:y], times)
-                    j = i + 1 + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-                    found.append(kept(records[i], records[j]))
-            if sum(map(len, found)) > GATHER:
-                yield blocks(route(found))
-                found = []
-        if found:
-            yield blocks(route(found))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for left, right in zip(batch.column(1), batch.column(2)):
-                if right.is_valid:
-                    found += crossed(np.frombuffer(left.as_py(), dtype), np.frombuffer(right.as_py(), dtype))
-                else:
-                    found.append(np.frombuffer(left.as_py(), pair))
-            if sum(map(len, found)) > GATHER:
-                yield longs(unique_pairs(np.concatenate(found)))
-                found = []
-        if found:
-            yield longs(unique_pairs(np.concatenate(found)))
-
-    met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
-    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])

@@ -1,17 +1,19 @@
-"""The most similar vectors of every vector: multiprobe p-stable hashing, exact reranking.
-
-A table hashes a unit vector by floor((a.x + b)/w) for HASHES random Gaussian a. Every
-vector goes into its own bucket and, as a probe, into the buckets it would fall into if it
-moved a little: sets of one-step perturbations, in the order of their estimated success,
-which grows as the squared distances to the crossed bucket borders shrink. So a close pair
-is met if either vector probes the other's bucket in one of the tables. In a bucket, sign
-sketches of SKETCH random hyperplanes drop pairs whose angle is clearly above the wanted
-one; of the others the exact cosines are taken.
-
-Vectors are hashed by packed blocks (key, id, sketch); the vectors themselves are moved
-only for pairs that pass. The number of hashes grows with the logarithm of the number of
-vectors, so buckets keep their size. Equal vectors (a third of all may be) enter the
-tables only with their k + 1 least ids, which is all that anyone's list of k needs.
+"""The most similar vectors of every vector: multiprobe p-stable hashing, reranking in the bucket.
+
+A table hashes a unit vector by floor((a.x + b)/w) for some random Gaussian a. Every vector
+goes into its own bucket and, as a probe, into the buckets it would fall into if it moved
+a little: sets of one-step perturbations, in the order of their estimated success, which
+grows as the squared distances to the crossed bucket borders shrink. So a close pair is
+met if either vector probes the other's bucket in one of the tables. The task of a bucket
+takes the cosines of all vectors at home in it with all in it by one matrix product and
+keeps each vector's best; the best of all tables are merged.
+
+The coordinates travel with the entries, as multiples of 1/STEPS, byte planes compressed:
+cosines are off by some 3e-5. So vectors are shuffled TABLES x (1 + PROBES) times and never
+again for candidate pairs, of which there are far more. The number of hashes grows with
+the logarithm of the number of vectors, so buckets keep their size; crowded buckets are cut
+into tiles that all tasks share. Equal vectors (a third of all may be) enter the tables
+only with their k + 1 least ids, which is all that anyone's list of k needs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,33 +32,27 @@ from lumenfold.llm import blocks
 from lumenfold.llm.words import mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
-TABLES, PROBES, WIDTH, SKETCH, SEED = 6, 4, 1.0, 128, 7
-#: Vectors that an average bucket holds.
-BUCKET = 120
-#: Standard deviations by which a sketch may miss the wanted angle.
-SLACK = 3.0
-ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("low", "<u8"), ("high", "<u8"), ("side", "u1")])
+TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
+#: Vectors that an average bucket would hold if all were unrelated.
+BUCKET = 1200
+#: Cells of a bucket's matrix of cosines beyond which the bucket is cut into tiles, and of a matrix product.
+HOT_CELLS, CELLS = 1 << 28, 1 << 22
+FOUND = np.dtype([("id", "<i8"), ("other", "<i8"), ("cosine", "<f4")])
 
 
-def usable(vectors: DataFrame, identity: str, vector: str, size: int) -> DataFrame:
-    """(id, v) with unit vectors: rows with an id, `size` finite numbers and not all of them zero."""
-    kept = vectors.where(F.col(identity).isNotNull() & (F.size(vector) == size)).select(F.col(identity).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+def entry_type(size: int) -> np.dtype:
+    return np.dtype([("key", "<u4"), ("side", "u1"), ("id", "<i8"), ("v", "<i2", (size,))])
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            flat = column.flatten()
-            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
-            with np.errstate(all="ignore"):
-                scale = np.abs(x).max(axis=1, keepdims=True)
-                y = x / scale
-                y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
-            good = np.isfinite(y).all(axis=1)
-            y = y[good].astype(np.float32)
-            data = pa.array([r.tobytes() for r in y], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), data], names=["id", "v"])
 
-    return kept.mapInArrow(units, "id long, v binary")
+def unit_vectors(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the usable rows of a batch (id, v) whose v all have `size` numbers."""
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(-1, size)
+    with np.errstate(all="ignore"):
+        y = x / np.abs(x).max(axis=1, keepdims=True)
+        y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    good = np.isfinite(y).all(axis=1)
+    return batch.column(0).to_numpy()[good], y[good].astype(np.float32)
 
 
 def hashes_for(rows: int) -> int:
@@ -107,77 +104,143 @@ def keys_of(x: np.ndarray, hashes: int, table: int, probes: int) -> tuple[np.nda
     return final(own), [final(k) for k in probed]
 
 
-def most_apart(cosine: float) -> int:
-    """Differing signs that a pair of at least this cosine stays below."""
-    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-    return math.floor(SKETCH * p + SLACK * math.sqrt(SKETCH * p * (1 - p)))
-
-
-def table_entries(units: DataFrame, size: int, hashes: int, tables: int, probes: int) -> DataFrame:
-    buckets = blocks.BUCKETS_A_PARTITION * shuffle_partitions(units.sparkSession)
+def table_entries(vectors: DataFrame, size: int, hashes: int, tables: int, probes: int) -> DataFrame:
+    """Packed entries of all vectors in their own and their probed buckets."""
+    buckets = blocks.BUCKETS_A_PARTITION * shuffle_partitions(vectors.sparkSession)
+    kind = entry_type(size)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        planes = np.random.default_rng((SEED, 1 << 20)).standard_normal((size, SKETCH)).astype(np.float32)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, size)
-            ids = batch.column(0).to_numpy()
-            signs = np.packbits(x @ planes > 0, axis=1).view(np.uint64)
-            for table in range(tables):
+            ids, x = unit_vectors(batch, size)
+            steps = np.round(x * STEPS).astype(np.int16)
+            for table in range(tables if len(x) else 0):
                 own, probed = keys_of(x, hashes, table, probes)
                 for side, key in enumerate([own, *probed]):
                     new = np.ones(len(key), bool) if not side else key != own
-                    out = np.empty(np.count_nonzero(new), ENTRY)
-                    out["key"], out["id"], out["low"], out["high"], out["side"] = key[new], ids[new], signs[new, 0], signs[new, 1], side > 0
+                    out = np.empty(np.count_nonzero(new), kind)
+                    out["key"], out["id"], out["v"], out["side"] = key[new], ids[new], steps[new], side > 0
                     yield out
 
-    return units.mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets), blocks.BLOCK_SQL)
+    return vectors.mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets, 200_000, True), blocks.BLOCK_SQL)
+
+
+def best(found: np.ndarray, k: int) -> np.ndarray:
+    """Of each id the `k` best distinct others; ties go to the smaller."""
+    found = found[np.lexsort((found["other"], -found["cosine"], found["id"]))]
+    found = found[np.concatenate(([True], (found["id"][1:] != found["id"][:-1]) | (found["other"][1:] != found["other"][:-1])))] if len(found) else found
+    begin, length = blocks.runs(found["id"])
+    return found[np.arange(len(found)) - np.repeat(begin, length) < k]
+
+
+def compare(left: np.ndarray, right: np.ndarray, cosine: float, k: int) -> Iterator[np.ndarray]:
+    """Both directions of the pairs of `left` and `right` of at least `cosine`, the k best of each id and portion."""
+    a, b = (r["v"].astype(np.float32) * np.float32(1 / STEPS) for r in (left, right))
+    step = max(1, CELLS // max(1, len(b)))
+    for x in range(0, len(a), step):
+        dots = a[x : x + step] @ b.T
+        i, j = np.nonzero(dots >= cosine)
+        one, two, dot = left["id"][x + i], right["id"][j], dots[i, j]
+        other = one != two
+        out = np.empty(2 * np.count_nonzero(other), FOUND)
+        out["id"] = np.concatenate((one[other], two[other]))
+        out["other"] = np.concatenate((two[other], one[other]))
+        out["cosine"] = np.tile(dot[other], 2)
+        yield best(out, k)
+
+
+def met_in_buckets(entries: DataFrame, size: int, cosine: float, k: int) -> DataFrame:
+    """(id, other, cosine): a superset of every id's k best among those met; rows may repeat."""
+    partitions = shuffle_partitions(entries.sparkSession)
+    kind = entry_type(size)
+
+    def route(found: list[np.ndarray]) -> pa.RecordBatch:
+        kept = best(np.concatenate(found), k)
+        return blocks.blocks([(b, r.tobytes(), None) for b, r in blocks.split(kept, blocks.bucket_of(kept["id"], partitions))])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for records in blocks.gathered(batches, kind, True):
+            records = records[np.lexsort((records["side"], records["key"]))]
+            begin, length = blocks.runs(records["key"])
+            looking = np.concatenate(([0], np.cumsum(records["side"])))
+            at_home = length - (looking[begin + length] - looking[begin]).astype(np.int64)
+            for i, m, n in zip(begin.tolist(), at_home.tolist(), length.tolist()):
+                if m * n > HOT_CELLS:
+                    left = [records[x : min(x + blocks.HOT, i + m)].tobytes() for x in range(i, i + m, blocks.HOT)]
+                    right = [records[x : min(x + blocks.HOT, i + n)].tobytes() for x in range(i, i + n, blocks.HOT)]
+                    for x in range(len(left)):
+                        for y in range(x, len(right)):
+                            yield blocks.blocks([((i + x * 31 + y) % partitions, left[x], right[y])])
+                elif m and n > 1:
+                    found += compare(records[i : i + m], records[i : i + n], cosine, k)
+            if sum(map(len, found)) > blocks.GATHER:
+                yield route(found)
+                found = []
+        if found:
+            yield route(found)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for batch in batches:
+            for left, right in zip(batch.column(1), batch.column(2)):
+                if right.is_valid:
+                    found += compare(np.frombuffer(left.as_py(), kind), np.frombuffer(right.as_py(), kind), cosine, k)
+                else:
+                    found.append(np.frombuffer(left.as_py(), FOUND))
+            if sum(map(len, found)) > 4 * blocks.GATHER:
+                found = [best(np.concatenate(found), k)]
+                if len(found[0]) > 2 * blocks.GATHER:
+                    yield rows(found.pop())
+        if found:
+            yield rows(best(np.concatenate(found), k))
+
+    def rows(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in FOUND.names], names=list(FOUND.names))
+
+    met = blocks.entry_partitions(entries).mapInArrow(meet, blocks.BLOCK_SQL)
+    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "id long, other long, cosine float")
 
 
-def close_pairs(units: DataFrame, size: int, rows: int, cosine: float, tables: int, probes: int) -> DataFrame:
-    """(a, b): ids that meet in a bucket, one of them at home there, with close enough sketches."""
-    limit = most_apart(cosine)
+def crowds_of(vectors: DataFrame, size: int, k: int) -> DataFrame:
+    """(id, ids): members of crowds of more than k + 1 equal vectors, with the crowd's k + 1 least ids."""
 
-    def accept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(left["low"] ^ right["low"]) + np.bitwise_count(left["high"] ^ right["high"]) <= limit
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x = unit_vectors(batch, size)
+            digests = b"".join(xxhash.xxh3_128_digest(r) for r in x.view(np.uint8).reshape(len(x), -1)) if len(x) else b""
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], names=["id", "h1", "h2"])
 
-    return blocks.home_pairs(table_entries(units, size, hashes_for(rows), tables, probes), ENTRY, "key", "id", accept)
+    members = vectors.mapInArrow(hashed, "id long, h1 long, h2 long")
+    large = cut(members.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).drop("n"))
+    if large.isEmpty():
+        return vectors.sparkSession.createDataFrame([], "id long, ids array<long>")
+    inside = cut(members.join(large, ["h1", "h2"], "left_semi").distinct())
+    first = inside.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("nth") <= k + 1)
+    named = first.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return cut(inside.join(named, ["h1", "h2"]).select("id", "ids"))
 
 
 def similar_vectors(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding", k: int = 5, cosine: float = 0.9, size: int = 64, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(id, neighbour, cosine, place): of every vector its k most similar others with at least `cosine`.
 
-    Null, shorter, longer, all-zero and NaN- or infinity-holding vectors take no part; ties
-    go to the smaller id; of repeated ids each vector counts, but an id is no neighbour of
-    itself. The accuracy holds for neighbours of at least `cosine`, 0.9 in production: the
-    tests measure a recall of at least 0.95 against all pairs there. Lower bounds need more
-    tables and probes.
+    Null, shorter, longer, all-zero and NaN- or infinity-holding vectors and vectors that
+    hold nulls take no part; ties go to the smaller id; of repeated ids each vector counts,
+    but an id is no neighbour of itself. The accuracy holds for neighbours of at least
+    `cosine`, 0.9 in production: the tests measure a recall of at least 0.95 against all
+    pairs there. Lower bounds need more tables and probes.
     """
-    units = cut(usable(vectors, identity, vector, size))
-    same = Window.partitionBy("v").orderBy("id")
-    first = units.distinct().withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    crowds = cut(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > k))
-    rows = units.count()
-    pairs = close_pairs(first.select("id", "v"), size, rows, cosine, tables, probes)
-    one = units.select(F.col("id").alias("a"), F.col("v").alias("va"))
-    two = units.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-
-    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, size).astype(np.float64) for c in (2, 3))
-            dot = np.einsum("ij,ij->i", x, y)
-            keep = pa.array(dot >= cosine - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(dot).filter(keep)], names=["a", "b", "cosine"])
-
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(dots, "a long, b long, cosine double")
-    both = met.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"), "cosine"))).alias("x")).select("x.*")
-    # Members of a crowd of equal vectors: everyone's list is the k least other ids of the crowd.
-    crowded = units.join(crowds, "v").select("id", F.explode(F.slice(F.array_remove("ids", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
-    best = both.unionByName(crowded).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
+    fit = vectors.where(F.col(identity).isNotNull() & (F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull()))
+    kept = fit.select(F.col(identity).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    crowds = crowds_of(kept, size, k)
+    spare = crowds.where(~F.array_contains("ids", F.col("id"))).select("id")
+    entered = kept if spare.isEmpty() else kept.join(spare, "id", "left_anti")
+    hashes = hashes_for(vectors.count())
+    met = met_in_buckets(table_entries(entered, size, hashes, tables, probes), size, cosine, k).select("id", F.col("other").alias("neighbour"), F.col("cosine").cast("double").alias("cosine"))
+    # Everyone's list in a crowd is its k least other ids.
+    crowded = crowds.select("id", F.explode(F.slice(F.array_remove("ids", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
+    once = met.join(crowds.select("id").distinct(), "id", "left_anti").unionByName(crowded).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
     return ranked.where(F.col("place") <= k)
 
 
