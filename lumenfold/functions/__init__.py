@@ -1 +1 @@
-
+"""Column functions: text, hashing, buckets, vectors, probabilities."""
