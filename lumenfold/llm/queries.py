@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import encode, leakage, neardup, overlap, pages, subjects, truncation, vectors
+from lumenfold.queries import Registry
 from lumenfold.sources.tables import table
 
+R = Registry()
+
 
+@R.register()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "passages"))
 
@@ -24,6 +26,7 @@ def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.withColumn("train", (F.col("split") == "train").cast("int"))
 
 
+@R.register()
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = split_records(spark, sf_dir)
     leaked = overlap.overlapping(records).select(F.col("a").alias("sig")).distinct()
@@ -31,6 +34,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.bag_members(named, "record", "text").join(leaked, "sig", "left_semi").select("record.*").distinct()
 
 
+@R.register()
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source: evaluation records, and how many of them stand in the training split."""
     records = split_records(spark, sf_dir).where("train = 0").groupBy("split", "record_id").agg(F.max("source").alias("source"))
@@ -38,14 +42,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("found").alias("overlapping"))
 
 
+@R.register()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, sf_dir, "passage_vectors"))
 
 
+@R.register()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(table(spark, sf_dir, "passages"), table(spark, sf_dir, "taxonomy_subtopics"))
 
 
+@R.register()
 def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each subject: those labelled with it and those it was assigned to."""
     passages = table(spark, sf_dir, "passages").select("passage_id", subjects.subject_of("general").alias("general"))
@@ -54,40 +61,39 @@ def p4_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.join(new, "general", "full").na.fill(0, ["labelled", "assigned"])
 
 
+@R.register()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.spread_articles(table(spark, sf_dir, "passages"))
 
 
+@R.register()
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every article, with all articles of its page."""
     return pages.assign_splits(table(spark, sf_dir, "passages"))
 
 
+@R.register()
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
+@R.register()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+@R.register()
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak with its longest tile and its coverage of the item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+@R.register()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
 
+@R.register()
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents of each source were cut."""
     return truncation.truncation_rates(table(spark, sf_dir, "documents"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p4_found": p4_found, "p4_composition": p4_composition, "p5_found": p5_found, "p5_splits": p5_splits, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_rates": p8_rates}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

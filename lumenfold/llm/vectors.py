@@ -36,7 +36,7 @@ TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
 #: Vectors that an average bucket would hold if all were unrelated.
 BUCKET = 5000
 #: Cells of a bucket's matrix of cosines beyond which the bucket is cut into tiles, and of a matrix product.
-HOT_CELLS, CELLS = 1 << 28, 1 << 22
+HOT_CELLS, CELLS = 1 << 30, 1 << 22
 FOUND = np.dtype([("id", "<i8"), ("other", "<i8"), ("cosine", "<f4")])
 
 
