@@ -35,19 +35,40 @@ def recounted(articles: DataFrame, passages: DataFrame, key: str, count: str) ->
     return articles.drop(count).join(n, key, "left").withColumn(count, F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def tfidf(texts: DataFrame, identity: str, terms: str, fit: Column) -> DataFrame:
-    """(id, term, weight, rank): unit vectors of sublinear tf times smooth idf, terms by falling weight.
+def tfidf(texts: DataFrame, identity: str, terms: str, fit: Column, least: int = 1, most: float = 1.0, size: int | None = None) -> DataFrame:
+    """(id, fit, term, weight): unit vectors of sublinear tf times smooth idf.
 
-    idf = ln((1 + n)/(1 + df)) + 1 over the rows where `fit` holds; terms not seen there have no weight.
+    idf = ln((1 + n)/(1 + df)) + 1 over the rows where `fit` holds. Terms have weight if at
+    least `least` of those rows and at most a share `most` of them have them and, with
+    `size`, if they are among the so many most frequent.
     """
     pairs = texts.select(F.col(identity).alias("id"), fit.alias("fit"), F.explode(terms).alias("term")).groupBy("id", "fit", "term").agg(F.count("*").alias("tf"))
     n = texts.where(fit).agg(F.countDistinct(identity).alias("n"))
-    idf = pairs.where("fit").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    seen = pairs.where("fit").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
+    if size is not None:
+        seen = seen.orderBy(F.desc("all"), "term").limit(size)
+    idf = seen.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = pairs.join(idf, "term").select("id", "fit", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     norms = raw.groupBy("id", "fit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, ["id", "fit"]).select("id", "fit", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def word_terms(words: Column) -> Column:
+    """Words and pairs of neighbouring words."""
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(words[i - 1], F.lit(" "), words[i])))
+    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+
+def character_terms(words: Column, least: int = 3, most: int = 5) -> Column:
+    """Runs of `least` to `most` characters inside each word with a blank on both sides; whole short words once a length."""
+
+    def runs(word: Column) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        return F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))))
+
+    return F.flatten(F.transform(words, runs))
+
+
 def near_duplicates(texts: DataFrame, identity: str, terms: str, train: Column, threshold: float = 0.9) -> DataFrame:
     """(id, best): rows outside train whose TF-IDF cosine with some train row is at least `threshold`.
 

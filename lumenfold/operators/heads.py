@@ -9,13 +9,12 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Matrix, SparseVector, Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Matrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.vectors import argmax, dot, group_sums, softmax, within_group
+from lumenfold.functions.vectors import argmax, dot, group_sums, let, places, softmax, within_group
 
 
 def balanced_weights(rows: DataFrame, y: str) -> DataFrame:
@@ -112,53 +111,22 @@ def true_group_probability(parents: list[int], groups: int) -> Callable[[Column,
 def grouped_probs(logits: Column, temperature: float, parents: list[int], groups: int) -> tuple[Column, Column]:
     """P(general) and P(subtopic | general) from subtopic logits."""
     subs = softmax(logits, temperature)
-    general = group_sums(subs, parents, groups)
-    return general, within_group(subs, general, parents)
+    return group_sums(subs, parents, groups), let(subs, lambda s: within_group(s, group_sums(s, parents, groups), parents))
 
 
 def joint_probs(general: Column, within: Column, parents: list[int]) -> Column:
-    return F.array(*(general[p] * within[j] for j, p in enumerate(parents)))
+    return let(general, lambda g: F.zip_with(within, places(parents), lambda w, c: g[c] * w))
 
 
 def decide_subtopics(probs: Column, parents: list[int], general: Column, threshold: float) -> Column:
     """0/1 for each subtopic: the first best child of the general topic, and its children from `threshold` on."""
-    own = F.array(*(F.when(general == p, probs[j]).otherwise(F.lit(-1.0)) for j, p in enumerate(parents)))
-    best = argmax(own)
-    return F.transform(own, lambda x, j: ((j == best) | (x >= F.greatest(F.lit(threshold), F.lit(0.0)))).cast("int"))
+    own = let(general, lambda g: F.zip_with(probs, places(parents), lambda p, c: F.when(c == g, p).otherwise(-1.0)))
+    return let(own, lambda o: let(argmax(o), lambda best: F.transform(o, lambda x, j: ((j == best) | (x >= max(threshold, 0.0))).cast("int"))))
 
 
 def reported_subtopics(probs: Column, parents: list[int], general: Column, threshold: float, most: int = 3) -> Column:
     """array<struct<ix, p>>: the best child and those from the threshold on, by falling probability, at most `most`."""
-    chosen = decide_subtopics(probs, parents, general, threshold)
-    pairs = F.filter(F.zip_with(probs, F.zip_with(chosen, F.sequence(F.lit(0), F.lit(len(parents) - 1)), lambda c, j: F.struct(c.alias("c"), j.alias("j"))), lambda p, c: F.struct((-p).alias("q"), c["j"].alias("ix"), c["c"].alias("c"))), lambda s: s["c"] == 1)
-    return F.transform(F.slice(F.array_sort(pairs), 1, max(1, most)), lambda s: F.struct(s["ix"].alias("ix"), (-s["q"]).alias("p")))
-
-
-def tfidf_features(rows: DataFrame, words: str, least: int = 2, most: float = 0.9, size: int = 200_000) -> DataFrame:
-    """`rows` with `features`: unit sublinear TF-IDF vectors of words and pairs of words.
-
-    idf = ln((1 + n)/(1 + df)) + 1; the vocabulary is the `size` most frequent terms found
-    in at least `least` texts and at most a share `most` of them.
-    """
-    both = NGram(n=2, inputCol=words, outputCol="_pairs").transform(rows).withColumn("_terms", F.concat(words, "_pairs"))
-    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=least, maxDF=most, vocabSize=size).fit(both)
-    counted = counter.transform(both)
-    n = rows.count()
-    # One row for each of at most `size` terms comes to the driver, as with the vocabulary itself.
-    seen = counted.select(F.explode(F.array_distinct("_terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most * n))
-    place = {t: i for i, t in enumerate(counter.vocabulary)}
-    known = seen.join(F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in place], "t string")), "t", "left_semi")
-    idf = [0.0] * len(place)
-    for r in known.toLocalIterator():
-        idf[place[r.t]] = math.log((1 + n) / (1 + r.df)) + 1
-
-    @F.udf(VectorUDT())
-    def sublinear(v: SparseVector) -> SparseVector:
-        return SparseVector(v.size, v.indices, [1 + math.log(x) for x in v.values])
-
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_sub", outputCol="_weighted").transform(counted.withColumn("_sub", sublinear("_counts")))
-    return Normalizer(inputCol="_weighted", outputCol="features").transform(scaled).drop("_pairs", "_terms", "_counts", "_sub", "_weighted")
-
-
-def as_array(vector: str) -> Column:
-    return vector_to_array(F.col(vector))
+    chosen = F.arrays_zip(probs.alias("p"), decide_subtopics(probs, parents, general, threshold).alias("c"))
+    numbered = F.transform(chosen, lambda s, j: F.struct((-s["p"]).alias("q"), j.alias("ix"), s["c"].alias("c")))
+    kept = F.slice(F.array_sort(F.filter(numbered, lambda s: s["c"] == 1)), 1, max(1, most))
+    return F.transform(kept, lambda s: F.struct(s["ix"].alias("ix"), (-s["q"]).alias("p")))

@@ -134,9 +134,9 @@ def assign_splits(articles: DataFrame, val: float = 0.15, test: float = 0.15) ->
     # Rank and size come from one sort, and the size is added by a join, so a large stratum is never buffered whole.
     stratum = ["general", "first"]
     keyed = articles.withColumn("first", F.col("subtopics")[0])
-    sizes = keyed.groupBy(*stratum).agg(F.count("*").alias("n"))
+    sizes = keyed.groupBy(*(F.col(c).alias(f"_{c}") for c in stratum)).agg(F.count("*").alias("n"))
     ranked = keyed.withColumn("i", F.row_number().over(Window.partitionBy(*stratum).orderBy(F.sha1("title"), "title")))
-    joined = ranked.join(F.broadcast(sizes), [F.coalesce(ranked[c], F.lit("")) == F.coalesce(sizes[c], F.lit("")) for c in stratum]).select(*(ranked[c] for c in articles.columns), "i", "n")
+    joined = ranked.join(F.broadcast(sizes), F.col("general").eqNullSafe(F.col("_general")) & F.col("first").eqNullSafe(F.col("_first"))).select(*articles.columns, "i", "n")
     n_test, n_val = (F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(F.col("n") * f, 0).cast("int"))).otherwise(0) for f in (test, val))
     split = F.when(F.col("i") <= n_test, "test").when(F.col("i") <= n_test + n_val, "val").otherwise("train")
     return joined.withColumn("split", split).drop("i", "n")
