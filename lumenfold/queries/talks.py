@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
 from lumenfold.operators import conversation, corpus, profile, store
+from lumenfold.plans.lineage import cut
 from lumenfold.queries import Registry, corpora
 from lumenfold.sources.tables import table
 
@@ -77,9 +78,11 @@ def v6_phrases(spark, d):
     names = dict(zip(LABELS, ("physics", "books", "science", "history")))
     last = conversation.themes(mapped(turns(spark, d)), RULES).groupBy("session").agg(F.max_by("topics", "turn").alias("topics"))
 
+    compose = conversation.compose  # a function travels alone, a module with all it holds
+
     def phrases(batches):
         for batch in batches:
-            batch["phrase"] = [conversation.compose([names[t["topic"]] for t in topics], {}) for topics in batch["topics"]]
+            batch["phrase"] = [compose([names[t["topic"]] for t in topics], {}) for topics in batch["topics"]]
             yield batch[["session", "phrase"]]
 
     return last.mapInPandas(phrases, "session string, phrase string")
@@ -89,7 +92,7 @@ def v6_phrases(spark, d):
 def x9_simulation(spark, d):
     """How often the dominant topic changes under each of a grid of rules."""
     grid = [(decay, expire, confirm, votes) for decay in (0.5, 0.7, 0.9) for expire in (2, 4) for confirm in (1, 2) for votes in (True, False)]
-    rows = mapped(turns(spark, d)).select("session", "turn", "probs", "weight").cache()
+    rows = cut(mapped(turns(spark, d)).select("session", "turn", "probs", "weight"))
     out = None
     for decay, expire, confirm, votes in grid:
         found = conversation.themes(rows, conversation.Rules(decay, 0.2, expire, confirm, votes))
