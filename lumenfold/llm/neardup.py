@@ -11,7 +11,10 @@ compared exactly.
 Elements that at least one in HEAVY texts has are sampled less often, by the square root of
 their frequency: words that all texts share would else fill bands of texts that share
 nothing more. The samples then estimate the weighted similarity, in which two texts that
-differ by a few words are about as similar as before and unrelated ones hardly at all.
+differ by a few words are about as similar as before and unrelated ones hardly at all. The
+frequent elements of a text keep a share LEAST_HEAVY of its words as weight, so that texts
+made of little else, such as the variants of one text that a third of all rows repeat, are
+still told by what they share.
 
 Exact copies of a bag are one class from the start, so a text that a third of all rows
 repeat is compared once. Every further record count is bounded by the packed blocks of
@@ -40,20 +43,44 @@ from lumenfold.plans.lineage import cut, shuffle_partitions
 BANDS, ROWS, BITS = 16, 4, 128
 #: Standard deviations that an estimate may lie on the wrong side and still pass to the exact check.
 SLACK = 2.0
+#: An element of so few texts is not heavy in any table; the share of its words that a text's heavy elements weigh at least.
+LEAST_COUNT, LEAST_HEAVY = 50, 0.5
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u2")])
 
 
-def samples(bags: Bags, rows: np.ndarray, count: int, thin: np.ndarray) -> np.ndarray:
-    """`count` MinHash samples of each of the texts `rows` (all with words), one line a sample.
+def weights(bags: Bags, hashes: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
+    """The weight of each element in its text, at most 1: less for heavy ones, not too little in all."""
+    often = times_found(bags.elements, hashes, counts)
+    usual = max(LEAST_COUNT, rows / HEAVY)
+    heavy = often > usual
+    weight = np.where(heavy, np.sqrt(usual / np.maximum(often, 1)), 1.0)
+    starts = bags.start[bags.full]
+    mass = np.add.reduceat(np.where(heavy, weight, 0.0), starts) if len(starts) else np.zeros(0)
+    more = np.ones(len(bags.count))
+    more[bags.full] = np.maximum(1.0, LEAST_HEAVY * bags.count[bags.full] / np.maximum(mass, 1e-9))
+    return np.where(heavy, np.minimum(1.0, weight * np.repeat(more, bags.count)), 1.0)
+
 
-    thin: of each element, by what its hash values are multiplied, 1 or more.
+def samples(bags: Bags, rows: np.ndarray, count: int, weight: np.ndarray) -> np.ndarray:
+    """`count` consistent samples of each of the texts `rows` (all with words), one line a sample.
+
+    A sample is the element of the least hash by weight, hashed again, so that texts that
+    weigh an element differently can still have the same sample.
     """
     out = np.empty((count, len(rows)), np.uint64)
     factors = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    starts = bags.start[bags.full]
+    starts, sizes = bags.start[bags.full], bags.count[bags.full]
     where = np.searchsorted(np.flatnonzero(bags.full), rows)
+    thin = 1 / weight
+    text = np.repeat(np.arange(len(sizes)), sizes)
     for h, factor in enumerate(factors):
-        out[h] = np.minimum.reduceat((bags.elements * factor).astype(np.float64) * thin, starts).view(np.uint64)[where]
+        hashed = bags.elements * factor
+        value = hashed.astype(np.float64) * thin
+        least = np.minimum.reduceat(value, starts)
+        chosen = np.flatnonzero(value == least[text])
+        one = np.empty(len(starts), np.uint64)
+        one[text[chosen]] = hashed[chosen]
+        out[h] = one[where]
     return out
 
 
@@ -99,8 +126,7 @@ def band_entries(texts: DataFrame, text: str) -> DataFrame:
             rows = rows[bags.full[rows]]
             if not len(rows):
                 continue
-            frequency = times_found(bags.elements, hashes, often) / rows_in_all
-            sampled = samples(bags, rows, BANDS * ROWS, np.sqrt(np.maximum(1.0, frequency * HEAVY)))
+            sampled = samples(bags, rows, BANDS * ROWS, weights(bags, hashes, often, rows_in_all))
             low, high = odd_sketch(sampled)
             for band in range(BANDS):
                 key = np.full(len(rows), band, np.uint64)

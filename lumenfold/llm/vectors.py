@@ -137,14 +137,17 @@ def compare(left: np.ndarray, right: np.ndarray, cosine: float, k: int) -> Itera
     a, b = (r["v"].astype(np.float32) * np.float32(1 / STEPS) for r in (left, right))
     step = max(1, CELLS // max(1, len(b)))
     for x in range(0, len(a), step):
-        dots = a[x : x + step] @ b.T
-        i, j = np.nonzero(dots >= cosine)
-        one, two, dot = left["id"][x + i], right["id"][j], dots[i, j]
-        other = one != two
-        out = np.empty(2 * np.count_nonzero(other), FOUND)
-        out["id"] = np.concatenate((one[other], two[other]))
-        out["other"] = np.concatenate((two[other], one[other]))
-        out["cosine"] = np.tile(dot[other], 2)
+        i, j = np.nonzero(a[x : x + step] @ b.T >= cosine - 1e-3)
+        i += x
+        other = left["id"][i] != right["id"][j]
+        i, j = i[other], j[other]
+        # Integers are exact in doubles, so equal vectors tie exactly.
+        u, v = left["v"][i].astype(np.float64), right["v"][j].astype(np.float64)
+        dot = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
+        near = dot >= cosine
+        one, two, dot = left["id"][i[near]], right["id"][j[near]], dot[near]
+        out = np.empty(2 * len(dot), FOUND)
+        out["id"], out["other"], out["cosine"] = np.concatenate((one, two)), np.concatenate((two, one)), np.tile(dot, 2)
         yield best(out, k)
 
 
