@@ -60,7 +60,7 @@ UNION ALL SELECT session, turn, CASE WHEN over THEN [0.0, 0.0, 0.0, 0.0]::DOUBLE
 FROM (SELECT *, weight <= 0 AND idle >= 2 AS over, CASE WHEN dom = 0 THEN true ELSE CASE WHEN list_sum(n) > 0 THEN n[dom] / list_sum(n) ELSE 0 END < 0.2 END AS take, {_ARG.format(v='n')} AS lead, {_ARG.format(v='p')} AS vote
   FROM (SELECT tu.session, tu.turn, p, weight, list_transform(range(1, 5), lambda i: s[i] * 0.7 + weight * p[i]) AS n, CASE WHEN weight > 0 THEN 0 ELSE idle + 1 END AS idle, dom, ch, streak FROM st JOIN tu ON tu.session = st.session AND tu.turn = st.turn + 1))),
 sh AS (SELECT session, turn, dom, k, s[k] / list_sum(s) AS x, row_number() OVER (PARTITION BY session, turn ORDER BY s[k] DESC, k) AS r FROM st, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE list_sum(s) > 0 AND s[k] / list_sum(s) >= 0.2),
-tp AS (SELECT session, turn, string_agg('abcd'[k] || printf(':%.4f', round(x, 4)), ' ' ORDER BY CASE WHEN k = dom THEN 0 ELSE 1 END, r) AS topics FROM sh WHERE r <= 3 GROUP BY ALL)
+tp AS (SELECT session, turn, string_agg('abcd'[k] || printf(':%.4f', round_even(x, 4)), ' ' ORDER BY CASE WHEN k = dom THEN 0 ELSE 1 END, r) AS topics FROM sh WHERE r <= 3 GROUP BY ALL)
 SELECT session, turn, CASE WHEN dom > 0 THEN 'abcd'[dom] END AS dominant, expired, idle::BIGINT AS idle, coalesce(topics, '') AS topics FROM st LEFT JOIN tp USING (session, turn) WHERE turn > 0"""
 RULES = conversation.Rules(expire_after=2)
 
