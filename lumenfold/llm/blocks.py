@@ -65,6 +65,8 @@ def packed(parts: Iterator[np.ndarray], key: str, buckets: int, gather: int = GA
     def flush() -> pa.RecordBatch:
         records = np.concatenate(held)
         held.clear()
+        if compress:  # sorted keys compress
+            records = records[np.argsort(records[key])]
         return blocks([(b, squeeze(r) if compress else r.tobytes(), None) for b, r in split(records, bucket_of(records[key], buckets))])
 
     for part in parts:
@@ -139,7 +141,7 @@ def gathered(batches: Iterator[pa.RecordBatch], dtype: np.dtype, compressed: boo
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
+def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept, compressed: bool = False) -> DataFrame:
     """Distinct pairs (a, b), a < b, of identities that share a key and that `accept` lets through.
 
     entries: blocks made by `packed`. accept(left, right) gets records pairwise and tells
@@ -161,7 +163,7 @@ def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, acc
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        for records in gathered(batches, dtype):
+        for records in gathered(batches, dtype, compressed):
             records = records[np.lexsort((records[identity], records[key]))]
             once = np.ones(len(records), bool)
             once[1:] = (records[key][1:] != records[key][:-1]) | (records[identity][1:] != records[identity][:-1])

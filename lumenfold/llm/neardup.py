@@ -137,7 +137,7 @@ def band_entries(texts: DataFrame, text: str) -> DataFrame:
                 out["n"] = np.minimum(bags.count[rows], 65535)
                 yield out
 
-    return texts.select(text).mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets), blocks.BLOCK_SQL)
+    return texts.select(text).mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets, compress=True), blocks.BLOCK_SQL)
 
 
 def candidates(texts: DataFrame, text: str, agreement: float) -> DataFrame:
@@ -150,7 +150,7 @@ def candidates(texts: DataFrame, text: str, agreement: float) -> DataFrame:
         long = np.maximum(n, m) == 65535
         return (ones <= limit) & (long | (np.minimum(n, m) >= agreement * np.maximum(n, m) - 1e-9))
 
-    return blocks.self_pairs(band_entries(texts, text), ENTRY, "key", "sig", accept)
+    return blocks.self_pairs(band_entries(texts, text), ENTRY, "key", "sig", accept, True)
 
 
 def bag_members(texts: DataFrame, identity: str, text: str) -> DataFrame:
