@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
 from lumenfold.operators import detectors, evaluation, heads, hierarchy
-from lumenfold.queries import Registry
+from lumenfold.plans import topic_model
+from lumenfold.plans.lineage import cut
+from lumenfold.queries import Registry, corpora
+from lumenfold.sources import files
 from lumenfold.sources.tables import table
 
 R = Registry()
@@ -238,3 +241,34 @@ def m22_alternatives(spark, d):
     common = heads.fit_alternative("majority", rows.where("vec_id % 2 = 0"), "positive", "label")
     out.append(("majority", odd.agg(F.avg((F.col("y") == common).cast("double"))).first()[0]))
     return spark.createDataFrame(out, "head string, accuracy double")
+
+
+@R.register()
+def m26_topic_model(spark, d):
+    """A topic model of `passage_vectors`' labelled passages, fitted on train, its report on test."""
+    passages = corpora.delivered(spark, d).where("g is not null").select("passage_id", F.col("g").alias("general"), hierarchy.subtopic_list("subtopics").alias("subtopics"), "s")
+    known = hierarchy.is_consistent(F.col("general"), F.col("subtopics")) & (F.size("subtopics") > 0)
+    rows = table(spark, d, "passage_vectors").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select("passage_id", F.col("embedding").cast("array<double>").alias("features")).join(passages.where(known), "passage_id")
+    rows = cut(rows)
+    model = topic_model.fit_topic_model(rows.where("s = 'train'"), rows.where("s = 'val'"), iterations=30)
+    scored = model.predict(rows.where("s = 'test'").drop("subtopics").withColumnRenamed("general", "truth"))
+    return evaluation.multiclass_report(scored.select(hierarchy.encode_general(F.col("truth")).alias("y"), F.col("general_probs").alias("probs")), len(hierarchy.GENERALS))
+
+
+@R.register()
+def m28_fingerprint(spark, d):
+    """A digest of the catalogue that does not depend on the order of rows."""
+    return files.fingerprint(table(spark, d, "articles"))
+
+
+_RECALL = " UNION ALL ".join(f"SELECT {k}::DOUBLE AS keep_out, quantile_cont(conf, {k}) AS thr FROM t WHERE inside" for k in (0.01, 0.05, 0.1))
+
+
+@R.register(f"WITH {_PRED}, t AS (SELECT y < 7 AS inside, conf FROM dec), q AS ({_RECALL}) SELECT keep_out, round(any_value(thr), 6) AS threshold, round(avg(CASE WHEN conf < thr THEN 1 ELSE 0 END) FILTER (WHERE NOT inside), 6) AS recall FROM t, q GROUP BY keep_out")
+def x5_gate_recalls(spark, d):
+    """How many of the other classes each quantile of the known ones rejects."""
+    rows = evaluation.with_decision(predictions(spark, d)).select((F.col("y") < 7).alias("inside"), "conf")
+    ks = [0.01, 0.05, 0.1]
+    limits = rows.where("inside").agg(F.percentile("conf", F.array(*map(F.lit, ks))).alias("t")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("keep_out"), F.col("t").alias("threshold"))).alias("x")).select("x.*")
+    other = rows.where("not inside").crossJoin(F.broadcast(limits))
+    return other.groupBy("keep_out", "threshold").agg(F.round(F.avg((F.col("conf") < F.col("threshold")).cast("double")), 6).alias("recall")).select("keep_out", F.round("threshold", 6).alias("threshold"), "recall")
