@@ -44,7 +44,7 @@ BANDS, ROWS, BITS = 16, 4, 128
 #: Standard deviations that an estimate may lie on the wrong side and still pass to the exact check.
 SLACK = 2.0
 #: An element of so few texts is not heavy in any table; the share of its words that a text's heavy elements weigh at least.
-LEAST_COUNT, LEAST_HEAVY = 50, 0.5
+LEAST_COUNT, LEAST_HEAVY = 50, 0.6
 ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u2")])
 
 
@@ -64,23 +64,18 @@ def weights(bags: Bags, hashes: np.ndarray, counts: np.ndarray, rows: int) -> np
 def samples(bags: Bags, rows: np.ndarray, count: int, weight: np.ndarray) -> np.ndarray:
     """`count` consistent samples of each of the texts `rows` (all with words), one line a sample.
 
-    A sample is the element of the least hash by weight, hashed again, so that texts that
-    weigh an element differently can still have the same sample.
+    A sample is the least hash by weight. Weights are rounded to powers of two, which leave
+    the fraction of a double as it is, so the fraction tells the element however two texts
+    weigh it.
     """
     out = np.empty((count, len(rows)), np.uint64)
     factors = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    starts, sizes = bags.start[bags.full], bags.count[bags.full]
+    starts = bags.start[bags.full]
     where = np.searchsorted(np.flatnonzero(bags.full), rows)
-    thin = 1 / weight
-    text = np.repeat(np.arange(len(sizes)), sizes)
+    thin = np.exp2(np.round(-np.log2(weight)))
     for h, factor in enumerate(factors):
-        hashed = bags.elements * factor
-        value = hashed.astype(np.float64) * thin
-        least = np.minimum.reduceat(value, starts)
-        chosen = np.flatnonzero(value == least[text])
-        one = np.empty(len(starts), np.uint64)
-        one[text[chosen]] = hashed[chosen]
-        out[h] = one[where]
+        least = np.minimum.reduceat((bags.elements * factor).astype(np.float64) * thin, starts)
+        out[h] = least.view(np.uint64)[where] & np.uint64((1 << 52) - 1)
     return out
 
 
