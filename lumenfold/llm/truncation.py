@@ -28,7 +28,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import mix
 from lumenfold.plans.lineage import broadcast_if_small, shuffle_partitions
 
 ORDERS = (1, 2, 3, 4, 6)
@@ -44,6 +43,8 @@ THRESHOLDS: dict[tuple[str, str], float] = {}
 #: By what the log-odds of a text at its source's limit are lowered.
 AT_LIMIT = 4.0
 
+#: Marks and broken markup are shorter than this.
+MARK_LENGTH = 100
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…|truncated|cut|snip|continued|more)\s*\]|\(\s*(?:\.{3}|…|truncated|cont(?:inue)?d?\.?|more)\s*\)|<\s*(?:more|truncated|continued)\s*>|…|\.{3,})$", re.I)
 _BROKEN = re.compile(r"(?:<[A-Za-z/!][^<>\n]{0,60}|&(?:#?[0-9a-zA-Z]{0,8})|�+)$")
 _NOT_BROKEN = re.compile(r"[A-Z]&[A-Z]$")
@@ -57,6 +58,11 @@ _HEAD = re.compile(r"^[#\s]*[^\W_][^.,;:!?\s]*(?:[ \t]+[^.,;:!?\s]+){0,%d}(?=[ \
 LINES = 2 * len(KINDS) + 3
 
 
+def is_whole(line: str) -> bool:
+    """Whether a line is complete by its form; the cheap tests let only lines through that may be."""
+    return bool((line[-1].isdigit() or not line[0].isalnum() or "://" in line or len(line) < 5) and _WHOLE.match(line))
+
+
 def kind_of(line: str) -> int:
     """The place in KINDS of a line."""
     if _LIST.match(line):
@@ -79,7 +85,7 @@ def places(codes: np.ndarray) -> list[np.ndarray]:
         context = context * np.uint64(0x100000001B3)
         context[n:] += codes[: len(codes) - n]
         if n + 1 in ORDERS:
-            out.append(((mix(context + np.uint64(n + 1)) >> np.uint64(64 - TABLE_BITS))).astype(np.int64))
+            out.append((((context ^ (context >> np.uint64(29))) + np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
     return out
 
 
@@ -102,27 +108,32 @@ def is_letter(codes: np.ndarray) -> np.ndarray:
 def line_counts(texts: list[str | None], langs: list[str | None], table: np.ndarray, totals: np.ndarray) -> None:
     """Add the texts to `table` (lines for each kind going on, then for each kind ending) and to `totals` by language."""
     kinds = len(KINDS)
-    ended: dict[tuple[int, int], list[str]] = {}
-    went_on: dict[tuple[int, int], list[str]] = {}
+    ended: list[list[str]] = [[] for _ in KINDS]
+    went_on: list[list[str]] = [[] for _ in KINDS]
     for text, lang in zip(texts, langs):
         if not text:
             continue
-        language = language_of(lang)
+        own = totals[language_of(lang)]
         lines = [x for x in (line.rstrip() for line in text.rstrip().split("\n")) if x]
         for n, line in enumerate(lines, 1):
-            if _WHOLE.match(line):
+            if is_whole(line):
                 continue
             kind = kind_of(line)
-            if n < len(lines):
-                ended.setdefault((language, kind), []).append(line)
-            else:
-                went_on.setdefault((language, kind), []).append(line[:-1])
+            (ended if n < len(lines) else went_on)[kind].append(line if n < len(lines) else line[:-1])
+            own[kind] += len(line) - 1
+            own[kinds + kind] += n < len(lines)
             if kind == 0:
                 head = _HEAD.match(line)
                 if head:
-                    went_on.setdefault((language, 1), []).append(head[0])
+                    went_on[1].append(head[0])
+                    own[1] += len(head[0])
+                    own[2 * kinds] += 1
+            elif kind == 1:
+                own[2 * kinds + (n < len(lines))] += 1
     for groups, ends in ((ended, True), (went_on, False)):
-        for (language, kind), lines in groups.items():
+        for kind, lines in enumerate(groups):
+            if not lines:
+                continue
             codes = characters("\n" + "\n".join(lines) + "\n")
             end = np.zeros(len(codes), bool)
             if ends:
@@ -132,18 +143,15 @@ def line_counts(texts: list[str | None], langs: list[str | None], table: np.ndar
             # Prose that goes on with another word is counted apart, which tells whether a word is whole.
             parted = inner.copy()
             parted[:-1] &= ~is_letter(codes[1:])
-            parts = ((kind, inner & ~parted), (LINES - 1, parted)) if kind == 0 else ((kind, inner),)
+            parts = [(kind, inner & ~parted), (LINES - 1, parted)] if kind == 0 else [(kind, inner)]
+            if ends:
+                parts.append((kinds + kind, end))
             for place in places(codes):
                 for line, which in parts:
-                    table[line] += np.bincount(place[which], minlength=table.shape[1]).astype(table.dtype)
-                if ends:
-                    table[kinds + kind] += np.bincount(place[end], minlength=table.shape[1]).astype(table.dtype)
-            totals[language, kind] += inner.sum()
-            totals[language, kinds + kind] += end.sum()
+                    table[line] += np.bincount(place[which], minlength=table.shape[1])
             if kind == 1:
                 first = np.fromiter((opening(x) for x in lines if x.strip()), np.int64)
-                table[2 * kinds + ends] += np.bincount(first, minlength=table.shape[1]).astype(table.dtype)
-                totals[language, 2 * kinds + ends] += len(first)
+                table[2 * kinds + ends] += np.bincount(first, minlength=table.shape[1])
 
 
 def train(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +160,13 @@ def train(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     lines, languages = LINES, len(LANGUAGES) + 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, totals = np.zeros((lines, size), np.int32), np.zeros((languages, lines), np.int64)
+        table, totals = np.zeros((lines, size), np.int64), np.zeros((languages, lines), np.int64)
         for batch in batches:
             line_counts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), table, totals)
         keys, blobs = [slices], [totals.tobytes()]
         for n, part in enumerate(np.split(table, slices, axis=1)):
             keys.append(n)
-            blobs.append(pa.compress(part.tobytes(), "zstd", asbytes=True))
+            blobs.append(pa.compress(part.astype(np.int32).tobytes(), "zstd", asbytes=True))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +239,17 @@ def stops_early(text: str | None, lang: str | None, at_limit: bool, table: np.nd
     text = text.rstrip() if text else ""
     if not text:
         return False
-    mark = _MARK.search(text)
+    tail = text[-MARK_LENGTH:]
+    mark = _MARK.search(tail)
     if mark:
-        body = text[: mark.start()].rstrip()
-        return bool(body) and not _SENTENCE_END.search(body)
-    if _BROKEN.search(text) and not _NOT_BROKEN.search(text):
+        body = text[: len(text) - len(tail) + mark.start()].rstrip()
+        return bool(body) and not _SENTENCE_END.search(body[-MARK_LENGTH:])
+    if _BROKEN.search(tail) and not _NOT_BROKEN.search(tail):
         return True
     line = text[text.rfind("\n") + 1 :].rstrip()
     if _SENTENCE_END.search(line):
         return False
-    if _WHOLE.match(line) and not (at_limit and any(c.isalnum() for c in line)):
+    if is_whole(line) and not (at_limit and any(c.isalnum() for c in line)):
         return False
     kind, language = kind_of(line), language_of(lang)
     limit = THRESHOLDS.get(((*LANGUAGES, "other")[language], KINDS[kind]), THRESHOLD)
