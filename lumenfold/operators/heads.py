@@ -67,7 +67,7 @@ def fit_alternative(kind: str, rows: DataFrame, features: str, y: str):
     if kind == "majority":
         return rows.groupBy(y).count().orderBy(F.desc("count"), y).first()[y]
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=50)).fit(ready)
+        return OneVsRest(classifier=LinearSVC(maxIter=15)).fit(ready)
     return NaiveBayes(modelType={"naive_bayes": "multinomial", "complement_naive_bayes": "complement"}[kind]).fit(ready)
 
 
