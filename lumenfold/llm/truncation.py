@@ -53,6 +53,8 @@ _WHOLE = re.compile(r"(?:^--+\s*\S.*|^[A-Za-z]+://\S+|.*,\s*(?:\d{4}|pp?\. ?\d+(
 _LIST = re.compile(r"^\s*(?:(?:[-*•·+]|\d{1,3}[.)])\s+|Tags?: )")
 _HEADING = re.compile(r"^[#\s]*[^\W_][^.,;:!?\n]*$")
 HEADING_WORDS = 6
+#: A context after which prose goes on with another word at this rate may end a whole word.
+WHOLE_WORD = 0.02
 #: The beginning of a line of prose that might be a heading so far.
 _HEAD = re.compile(r"^[#\s]*[^\W_][^.,;:!?\s]*(?:[ \t]+[^.,;:!?\s]+){0,%d}(?=[ \t])" % (HEADING_WORDS - 1))
 LINES = 2 * len(KINDS) + 3
@@ -227,7 +229,7 @@ def log_odds(line: str, language: int, kind: int, table: np.ndarray, totals: np.
     ends, going = own[kinds + kind] + 0.1 * all_[kinds + kind] + 1, own[kind] + 0.1 * all_[kind] + 50
     odds = odds_of(codes, table, kinds + kind, [0, LINES - 1] if kind == 0 else [kind], ends / (ends + going))
     if kind == 2:
-        odds = max(odds, odds_of(codes, table, LINES - 1, [0], 0.17))
+        odds = max(odds, odds_of(codes, table, LINES - 1, [0], WHOLE_WORD))
     if kind == 1:
         first = opening(line)
         began = (table[2 * kinds + 1, first] + 0.5) / (table[2 * kinds, first] + 0.5)
