@@ -12,7 +12,6 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,21 +31,50 @@ ABBREVIATIONS = (
     "Gov.", "Rev.", "Mt.", "al.", "op.", "ed.", "eds.",
 )
 _GUARD = "\u2063"
+# The English stop words of Spark's StopWordsRemover.
+STOP_WORDS = """
+a about above after again against all am an and any are aren't as at be because been before being below between both
+but by can can't cannot could couldn't did didn't do does doesn't doing don don't down during each few for from
+further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his how
+how's i i'd i'll i'm i've if in into is isn't it it's its itself just let's me more most mustn't my myself no nor not
+now of off on once only or other ought our ours ourselves out over own s same shan't she she'd she'll she's should
+shouldn't so some such t than that that's the their theirs them themselves then there there's these they they'd
+they'll they're they've this those through to too under until up very was wasn't we we'd we'll we're we've were
+weren't what what's when when's where where's which while who who's whom why why's will with won't would wouldn't you
+you'd you'll you're you've your yours yourself yourselves
+""".split()
 
 
 def stop_words() -> list[str]:
     """The default English stop words, those of Spark; every function that needs some takes others."""
-    return sorted(set(StopWordsRemover.loadDefaultStopWords("english")))
+    return list(STOP_WORDS)
+
+
+# What model input loses, in this order, and what stands for it.
+REMOVED = (
+    (r"<[^>]{1,200}>", " "),
+    (r"(?i)\b(?:https?://|www\.)\S+", " "),
+    (r"(?<!\w)@\w+", " "),
+    (r"(?<!\w)#(\w+)", r"\1"),
+)
+# An initial before another, and the blanks between two sentences.
+INITIAL = r"\b([A-Z])\.(?=\s?[A-Z]\.?)"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[\"“(\[]?[A-Z0-9])"
+
+class _Dropped(dict):
+    """A translation that drops symbols and control characters but line ends and tabs, learned as they come."""
+
+    def __missing__(self, code: int) -> int | None:
+        kept = chr(code) in "\n\t" or unicodedata.category(chr(code))[0] not in ("S", "C")
+        self[code] = code if kept else None
+        return self[code]
 
 
 def _normal(text: str | None, lowercase: bool) -> str:
     text = html.unescape(unicodedata.normalize("NFKC", (text or "")[:MAX_INPUT_CHARS]))
-    text = re.sub(r"<[^>]{1,200}>", " ", text)
-    text = re.sub(r"(?i)\b(?:https?://|www\.)\S+", " ", text)
-    text = re.sub(r"(?<!\w)@\w+", " ", text)
-    text = re.sub(r"(?<!\w)#(\w+)", r"\1", text)
-    text = "".join(c for c in text if c in "\n\t" or unicodedata.category(c)[0] not in "SC")
-    text = " ".join(text.split())
+    for pattern, instead in REMOVED:
+        text = re.sub(pattern, instead, text)
+    text = " ".join(text.translate(_Dropped()).split())
     return text.casefold() if lowercase else text
 
 
@@ -123,8 +151,8 @@ def sentences(paragraph: Column) -> Column:
     guarded = paragraph
     for short in ABBREVIATIONS:
         guarded = F.replace(guarded, F.lit(short), F.lit(short.replace(".", _GUARD)))
-    guarded = F.regexp_replace(guarded, r"\b([A-Z])\.(?=\s?[A-Z]\.?)", "$1" + _GUARD)
-    parts = F.split(guarded, r"(?<=[.!?])\s+(?=[\"“(\[]?[A-Z0-9])")
+    guarded = F.regexp_replace(guarded, INITIAL, "$1" + _GUARD)
+    parts = F.split(guarded, SENTENCE_GAP)
     return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, _GUARD, "."))), lambda p: p != "")
 
 
