@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
+from lumenfold.llm.components import components
 from lumenfold.llm.rarity import HEAVY, heavy_terms, times_found
 from lumenfold.llm.words import Bags, mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
@@ -209,3 +210,17 @@ def near_duplicate_pairs(texts: DataFrame, identity: str = "passage_id", text: s
     within = copies.join(copies.select("a", F.col("x").alias("y")), "a")
     both = across.select("x", "y").unionByName(within.select("x", "y")).where("x <> y")
     return both.select(F.least("x", "y").alias("passage_a"), F.greatest("x", "y").alias("passage_b")).distinct()
+
+
+def near_duplicate_classes(texts: DataFrame, identity: str = "passage_id", text: str = "text", agreement: float = 0.75) -> DataFrame:
+    """(`identity`, class, links): each row's group of texts connected by near-duplicates, and its text's links to other bags.
+
+    Copies are not expanded into pairs: they share their class and links. Rows without words
+    or with a null identity are left out; an identity with several texts has a row for each class.
+    """
+    links = cut(near_duplicate_bags(texts, text, agreement).select("a", "b"))
+    both = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("sig"), "component")
+    members = bag_members(texts, identity, text).distinct()
+    known = members.join(both.join(groups, "sig"), "sig", "left")
+    return known.groupBy(identity, F.coalesce("component", "sig").alias("class")).agg(F.max(F.coalesce("links", F.lit(0))).alias("links"))

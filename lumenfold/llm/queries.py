@@ -34,6 +34,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.bag_members(named, "record", "text").join(leaked, "sig", "left_semi").select("record.*").distinct()
 
 
+@R.register()
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every passage."""
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "passages"))
+
+
 @R.register()
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source: evaluation records, and how many of them stand in the training split."""

@@ -97,6 +97,15 @@ def test_copies_of_one_text_are_all_paired(spark):
     assert len(pairs_of(neardup.near_duplicate_pairs(spark.createDataFrame(rows, "passage_id string, text string")))) == 40 * 39 // 2
 
 
+def test_classes_follow_links(spark):
+    base = [f"u{i}" for i in range(20)]
+    chain = [" ".join(base[:20]), " ".join(base[:18] + ["x1", "x2"]), " ".join(base[:16] + ["x1", "x2", "x3", "x4"])]
+    rows = [("a", chain[0]), ("b", chain[1]), ("c", chain[2]), ("a2", chain[0]), ("d", "alone in here"), ("e", None)]
+    got = {r.passage_id: (r["class"], r.links) for r in neardup.near_duplicate_classes(spark.createDataFrame(rows, "passage_id string, text string")).collect()}
+    assert set(got) == {"a", "b", "c", "a2", "d"} and got["a"] == got["a2"]
+    assert len({got[x][0] for x in "abc"}) == 1 != got["d"][0] and got["d"][1] == 0 and got["b"][1] == 2
+
+
 def test_index_prefix_is_enough():
     for n in range(1, 200):
         kept = overlap.indexed_terms(n, 0.75)
