@@ -70,11 +70,14 @@ class _Dropped(dict):
         return self[code]
 
 
+_DROPPED = _Dropped()
+
+
 def _normal(text: str | None, lowercase: bool) -> str:
     text = html.unescape(unicodedata.normalize("NFKC", (text or "")[:MAX_INPUT_CHARS]))
     for pattern, instead in REMOVED:
         text = re.sub(pattern, instead, text)
-    text = " ".join(text.translate(_Dropped()).split())
+    text = " ".join(text.translate(_DROPPED).split())
     return text.casefold() if lowercase else text
 
 
