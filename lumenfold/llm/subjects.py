@@ -126,7 +126,7 @@ def fit_sample(labelled: DataFrame, identity: str, rows: int) -> DataFrame:
     there = labelled.count()
     share = min(1.0, rows / max(1, there))
     chosen = labelled.where(F.pmod(F.xxhash64(identity), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return cut(chosen.coalesce(max(1, min(8, chosen.rdd.getNumPartitions()))))
+    return cut(chosen.coalesce(8))
 
 
 def fit(passages: DataFrame, taxonomy: DataFrame, identity: str, text: str, general: str, subtopics: str, rows: int = FIT_ROWS) -> tuple | None:
