@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.vectors import dot, log_sum_exp, unit
+from lumenfold.plans.lineage import cut
 
 
 def class_means(rows: DataFrame, vector: str, label: str) -> DataFrame:
@@ -111,7 +112,7 @@ def accepts_english(words: Column, lexicon: DataFrame, lang: Column, confidence:
 
     The lexicon is joined word by word, so it may have any size.
     """
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
+    keyed = cut(rows.withColumn("_row", F.monotonically_increasing_id()))  # numbered once
     unknown = keyed.select("_row", F.explode(words).alias("word")).join(lexicon.select("word").distinct(), "word", "left_anti").groupBy("_row").agg(F.count("*").alias("_unknown"))
     n = F.size(words)
     bucket = F.when(n >= 4, "4+").otherwise(n.cast("string"))

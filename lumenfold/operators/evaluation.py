@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.vectors import argmax, cosine, total
+from lumenfold.plans.lineage import cut
 
 
 def with_decision(rows: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def off_topic_report(rows: DataFrame) -> DataFrame:
     totals go over those, in ranges of scores, never over a single sorted partition of rows.
     """
     at = rows.groupBy("score").agg(F.sum(F.col("inside").cast("long")).alias("i"), F.sum((~F.col("inside")).cast("long")).alias("o"))
-    pieces = at.repartitionByRange("score").withColumn("piece", F.spark_partition_id())
+    pieces = cut(at.repartitionByRange("score").withColumn("piece", F.spark_partition_id()))  # the bounds are sampled: once
     before = pieces.groupBy("piece").agg(F.sum("i").alias("pi"), F.sum("o").alias("po"))
     up = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = before.select("piece", F.coalesce(F.sum("pi").over(up), F.lit(0)).alias("bi"), F.coalesce(F.sum("po").over(up), F.lit(0)).alias("bo"))
