@@ -9,9 +9,10 @@ takes the cosines of all vectors at home in it with all in it by one matrix prod
 keeps each vector's best; the best of all tables are merged.
 
 The coordinates travel with the entries, as multiples of 1/STEPS, byte planes compressed:
-cosines are off by some 3e-5. So vectors are shuffled TABLES x (1 + PROBES) times and never
+cosines are off by some 3e-5. So vectors are shuffled tables x (1 + PROBES) times and never
 again for candidate pairs, of which there are far more. The number of hashes grows with
-the logarithm of the number of vectors, so buckets keep their size; crowded buckets are cut
+the logarithm of the number of vectors, so buckets keep their size, and with it the number
+of tables (`tables_for`), so recall at the cosine bound stays; crowded buckets are cut
 into tiles that all tasks share. Equal vectors (a third of all may be) enter the tables
 only with their k + 1 least ids, which is all that anyone's list of k needs.
 """
@@ -32,7 +33,10 @@ from lumenfold.llm import blocks
 from lumenfold.llm.words import mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
+#: At least so many tables; `tables_for` adds more.
 TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
+#: Estimated recall of pairs right at the cosine bound, at every number of hashes, and the sample that estimates it.
+RECALL, SAMPLE = 0.98, 1 << 17
 #: Vectors that an average bucket would hold if all were unrelated.
 BUCKET = 5000
 #: Cells of a bucket's matrix of cosines beyond which the bucket is cut into tiles, and of a matrix product.
@@ -63,6 +67,39 @@ def hashes_for(rows: int) -> int:
     return max(2, math.ceil(math.log(max(2.0, rows / BUCKET)) / -math.log(same)))
 
 
+def met_in_a_table(hashes: int, probes: int, cosine: float) -> float:
+    """The share of unit vectors of this cosine that one table brings together, by a seeded simulation.
+
+    Projections of such a pair differ by a Gaussian of their distance, whatever the number of
+    dimensions; tables are independent.
+    """
+    random = np.random.default_rng(SEED)
+    one = random.random((SAMPLE, hashes))
+    moved = one + random.standard_normal((SAMPLE, hashes)) * (math.sqrt(max(0.0, 2 - 2 * cosine)) / WIDTH)
+    cells = np.floor(moved).astype(np.int64)
+    met = ~cells.any(axis=1)
+    row = np.arange(SAMPLE)
+    for into, target in ((one, cells), (moved - cells, -cells)):
+        order = np.argsort(np.concatenate((into, 1 - into), axis=1), axis=1)
+        for places in perturbations(hashes, probes):
+            probe, used = np.zeros_like(cells), np.zeros((SAMPLE, len(places)), np.int64)
+            for n, place in enumerate(places):
+                crossed = order[:, place]
+                used[:, n] = crossed % hashes
+                probe[row, used[:, n]] = np.where(crossed < hashes, -1, 1)
+            once = np.ones(SAMPLE, bool)
+            for i, j in combinations(range(len(places)), 2):
+                once &= used[:, i] != used[:, j]
+            met |= once & (probe == target).all(axis=1)
+    return float(met.mean())
+
+
+def tables_for(hashes: int, probes: int, cosine: float) -> int:
+    """So many tables that pairs at the bound `cosine` are met with an estimated probability of RECALL."""
+    met = met_in_a_table(hashes, probes, cosine)
+    return TABLES if met >= 1 else max(TABLES, math.ceil(math.log(1 - RECALL) / math.log1p(-max(met, 1e-4))))
+
+
 def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """The `probes` most promising sets of borders to cross, as places in the order of their nearness.
 
@@ -224,14 +261,14 @@ def crowds_of(vectors: DataFrame, size: int, k: int) -> DataFrame:
     return cut(inside.join(named, ["h1", "h2"]).select("id", "ids"))
 
 
-def similar_vectors(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding", k: int = 5, cosine: float = 0.9, size: int = 64, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def similar_vectors(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding", k: int = 5, cosine: float = 0.9, size: int = 64, tables: int | None = None, probes: int = PROBES) -> DataFrame:
     """(id, neighbour, cosine, place): of every vector its k most similar others with at least `cosine`.
 
     Null, shorter, longer, all-zero and NaN- or infinity-holding vectors and vectors that
     hold nulls take no part; ties go to the smaller id; of repeated ids each vector counts,
-    but an id is no neighbour of itself. The accuracy holds for neighbours of at least
-    `cosine`, 0.9 in production: the tests measure a recall of at least 0.95 against all
-    pairs there. Lower bounds need more tables and probes.
+    but an id is no neighbour of itself. Unless `tables` is given, their number follows from
+    the number of vectors, `probes` and `cosine`, so that a pair right at the bound is met with
+    an estimated probability of RECALL at every size, and nearer ones more surely.
     """
     fit = vectors.where(F.col(identity).isNotNull() & (F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull()))
     kept = fit.select(F.col(identity).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
@@ -239,6 +276,7 @@ def similar_vectors(vectors: DataFrame, identity: str = "vec_id", vector: str =
     spare = crowds.where(~F.array_contains("ids", F.col("id"))).select("id")
     entered = kept if spare.isEmpty() else kept.join(spare, "id", "left_anti")
     hashes = hashes_for(vectors.count())
+    tables = tables or tables_for(hashes, probes, cosine)
     met = met_in_buckets(table_entries(entered, size, hashes, tables, probes), size, cosine, k).select("id", F.col("other").alias("neighbour"), F.col("cosine").cast("double").alias("cosine"))
     # Everyone's list in a crowd is its k least other ids.
     crowded = crowds.select("id", F.explode(F.slice(F.array_remove("ids", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))

@@ -41,6 +41,27 @@ def test_recall_against_all_pairs(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+def test_recall_at_the_bound_stays_with_more_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    one, other = rng.standard_normal((2, 600, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (other * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate((one, 0.905 * one + np.sqrt(1 - 0.905**2) * other))
+    for bucket, hashes in ((4, 7), (0.7, 9)):
+        monkeypatch.setattr(vectors, "BUCKET", bucket)
+        assert vectors.hashes_for(1200) == hashes
+        got = found(vectors.similar_pairs(frame(spark, range(1200), x)))
+        assert len(got & {(i, i + 600) for i in range(600)}) >= 0.96 * 600
+
+
+def test_tables_follow_from_the_hashes():
+    assert [vectors.tables_for(h, 1, 0.9) for h in (2, 4)] == [4, 4]
+    for h in range(4, 12):
+        missed = (1 - vectors.met_in_a_table(h, 1, 0.9)) ** vectors.tables_for(h, 1, 0.9)
+        assert missed <= 1 - vectors.RECALL + 1e-9
+
+
 def test_edges(spark):
     base = np.eye(64)[0]
     rows = [(1, base.tolist()), (2, (2 * base).tolist()), (3, None), (4, [0.0] * 64), (5, [float("nan")] + [0.0] * 63), (6, [1.0] * 63), (7, [float("inf")] + [1.0] * 63), (8, [None] + [1.0] * 63), (None, base.tolist()), (9, (base + 0.01 * np.eye(64)[1]).tolist())]
