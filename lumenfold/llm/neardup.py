@@ -1,28 +1,20 @@
-"""Near-duplicate texts: banded MinHash candidates, checked by odd sketches, then exactly.
-
-Every text is a bag of words (`words.Bags`). BANDS x ROWS MinHash samples of its elements
-are folded into a parity bitmap of 128 bits, the odd sketch: sample h flips the bit that
-its value hashes to. Two sketches differ where the samples differ, so the number of one
-bits of their XOR estimates the Jaccard similarity, most precisely where it is high. The
-samples are also cut into bands; texts that share a whole band are candidates, and the
-sketches, which travel with the band entries, drop wrong ones on the spot. What is left is
+"""Near-duplicate texts: candidates by shared rare words, checked by odd sketches, then exactly.
+
+Every text is a bag of words (`words.Bags`). Two bags that agree share one of the rarest
+elements of both, as many as `overlap.indexed_terms` says, so a posting for each of these
+brings all agreeing pairs together and none is lost, whatever words an edit replaced. A
+posting carries the odd sketch of the whole bag, a parity bitmap of 128 bits; the one bits
+of the XOR of two never exceed the number of elements in which the bags differ, which
+drops nearly all accidental pairs on the spot and no agreeing one. What is left is
 compared exactly.
 
-Elements that at least one in HEAVY texts has are sampled less often, by the square root of
-their frequency: words that all texts share would else fill bands of texts that share
-nothing more. The samples then estimate the weighted similarity, in which two texts that
-differ by a few words are about as similar as before and unrelated ones hardly at all. The
-frequent elements of a text keep a share LEAST_HEAVY of its words as weight, so that texts
-made of little else, such as the variants of one text that a third of all rows repeat, are
-still told by what they share.
-
 Exact copies of a bag are one class from the start, so a text that a third of all rows
 repeat is compared once. Every further record count is bounded by the packed blocks of
-`blocks`, which cut hot bands into tiles.
+`blocks`, which cut hot postings into tiles. Pairs to compare grow as the squared length
+of the postings of one element, that is with the rows that a vocabulary is spread over.
 
-Recall: agreement >= 0.75 means Jaccard >= 0.6. One band of 4 samples is shared with
-probability J**4, so of pairs right at the bound 0.6 about 0.89 become candidates with 16
-bands, at 0.7 0.988, at 0.8 0.9998 (J weighted as above). More bands buy more.
+`samples`, `odd_sketch` and `similarity` estimate the similarity from MinHash samples
+instead; candidates by bands of these lost pairs near the bound and are no longer used.
 """
 
 from __future__ import annotations
@@ -37,29 +29,10 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
 from lumenfold.llm.components import components
-from lumenfold.llm.rarity import HEAVY, heavy_terms, times_found
 from lumenfold.llm.words import Bags, mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
 BANDS, ROWS, BITS = 16, 4, 128
-#: Standard deviations that an estimate may lie on the wrong side and still pass to the exact check.
-SLACK = 2.0
-#: An element of so few texts is not heavy in any table; the share of its words that a text's heavy elements weigh at least.
-LEAST_COUNT, LEAST_HEAVY = 50, 0.6
-ENTRY = np.dtype([("key", "<u4"), ("sig", "<u8"), ("low", "<u8"), ("high", "<u8"), ("n", "<u2")])
-
-
-def weights(bags: Bags, hashes: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
-    """The weight of each element in its text, at most 1: less for heavy ones, not too little in all."""
-    often = times_found(bags.elements, hashes, counts)
-    usual = max(LEAST_COUNT, rows / HEAVY)
-    heavy = often > usual
-    weight = np.where(heavy, np.sqrt(usual / np.maximum(often, 1)), 1.0)
-    starts = bags.start[bags.full]
-    mass = np.add.reduceat(np.where(heavy, weight, 0.0), starts) if len(starts) else np.zeros(0)
-    more = np.ones(len(bags.count))
-    more[bags.full] = np.maximum(1.0, LEAST_HEAVY * bags.count[bags.full] / np.maximum(mass, 1e-9))
-    return np.where(heavy, np.minimum(1.0, weight * np.repeat(more, bags.count)), 1.0)
 
 
 def samples(bags: Bags, rows: np.ndarray, count: int, weight: np.ndarray) -> np.ndarray:
@@ -99,54 +72,13 @@ def similarity(ones: float, count: int = BANDS * ROWS, bits: int = BITS) -> floa
     return max(0.0, 1 - math.log(1 - 2 * ones / bits) / math.log(1 - 2 / bits) / (2 * count))
 
 
-def most_ones(jaccard: float, count: int = BANDS * ROWS, bits: int = BITS) -> int:
-    """Differing bits that a pair of this similarity stays below, up to SLACK standard deviations."""
-    flips = 2 * count * (1 - jaccard)
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** flips)
-    sampling = 2 * math.sqrt(count * jaccard * (1 - jaccard)) * (1 - 2 / bits) ** flips
-    folding = math.sqrt(max(1.0, bits / 4 * (1 - (1 - 4 / bits) ** flips)))
-    return math.floor(mean + SLACK * math.hypot(sampling, folding))
-
-
-def band_entries(texts: DataFrame, text: str) -> DataFrame:
-    """Packed band entries of the column `text`."""
-    buckets = blocks.BUCKETS_A_PARTITION * shuffle_partitions(texts.sparkSession)
-    rows_in_all = texts.count()
-    heavy = texts.sparkSession.sparkContext.broadcast(heavy_terms(texts, text, rows_in_all))
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        hashes, often = heavy.value
-        for batch in batches:
-            bags = Bags(batch.column(0).to_pylist())
-            _, rows = np.unique(bags.signature, return_index=True)
-            rows = rows[bags.full[rows]]
-            if not len(rows):
-                continue
-            sampled = samples(bags, rows, BANDS * ROWS, weights(bags, hashes, often, rows_in_all))
-            low, high = odd_sketch(sampled)
-            for band in range(BANDS):
-                key = np.full(len(rows), band, np.uint64)
-                for h in range(band * ROWS, (band + 1) * ROWS):
-                    key = mix(key ^ sampled[h])
-                out = np.empty(len(rows), ENTRY)
-                out["key"], out["sig"], out["low"], out["high"] = key >> np.uint64(32), bags.signature[rows], low, high
-                out["n"] = np.minimum(bags.count[rows], 65535)
-                yield out
-
-    return texts.select(text).mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets, compress=True), blocks.BLOCK_SQL)
-
-
 def candidates(texts: DataFrame, text: str, agreement: float) -> DataFrame:
-    """Pairs (a, b) of bag signatures that share a band and whose odd sketches are close enough."""
-    limit = most_ones(agreement / (2 - agreement))
-
-    def accept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ones = np.bitwise_count(left["low"] ^ right["low"]) + np.bitwise_count(left["high"] ^ right["high"])
-        n, m = left["n"].astype(np.int64), right["n"].astype(np.int64)
-        long = np.maximum(n, m) == 65535
-        return (ones <= limit) & (long | (np.minimum(n, m) >= agreement * np.maximum(n, m) - 1e-9))
+    """Pairs (a, b) of bag signatures that share an indexed element and whose odd sketches allow the agreement."""
+    from lumenfold.llm import overlap  # which needs this module
 
-    return blocks.self_pairs(band_entries(texts, text), ENTRY, "key", "sig", accept, True)
+    accept = overlap.acceptance(agreement)
+    postings = overlap.postings(texts.select(text, F.lit(0).alias("side")), "side", text, agreement)
+    return blocks.self_pairs(postings, overlap.POSTING, "key", "sig", accept)
 
 
 def bag_members(texts: DataFrame, identity: str, text: str) -> DataFrame:

@@ -83,8 +83,8 @@ def postings(texts: DataFrame, side: str, text: str, agreement: float) -> DataFr
     return texts.select(F.col(side).cast("int"), text).mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets), blocks.BLOCK_SQL)
 
 
-def candidates(texts: DataFrame, side: str, text: str, agreement: float) -> DataFrame:
-    """(a, b): signatures of an evaluation and a training text that may agree."""
+def acceptance(agreement: float) -> blocks.Accept:
+    """Tells which pairs of postings may be of texts that agree, by their bitmaps and lengths."""
 
     def accept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         apart = np.bitwise_count(left["low"] ^ right["low"]).astype(np.int64) + np.bitwise_count(left["high"] ^ right["high"])
@@ -92,7 +92,12 @@ def candidates(texts: DataFrame, side: str, text: str, agreement: float) -> Data
         longer = np.maximum(n, m)
         return (longer == 65535) | (n + m - apart >= 2 * agreement * longer - 1e-9)
 
-    return blocks.cross_pairs(postings(texts, side, text, agreement), POSTING, "key", "sig", accept)
+    return accept
+
+
+def candidates(texts: DataFrame, side: str, text: str, agreement: float) -> DataFrame:
+    """(a, b): signatures of an evaluation and a training text that may agree."""
+    return blocks.cross_pairs(postings(texts, side, text, agreement), POSTING, "key", "sig", acceptance(agreement))
 
 
 def overlapping(texts: DataFrame, side: str = "train", text: str = "text", agreement: float = 0.75) -> DataFrame:

@@ -76,6 +76,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(found) >= 0.97 * len(want) > 50
 
 
+def test_edits_of_the_rarest_words_are_found(spark):
+    rng = np.random.default_rng(4)
+    common = [[VOCABULARY[j] for j in rng.permutation(90)[:15]] for _ in range(300)]
+    rows = [(f"{side}{i:03d}", " ".join(own + [f"{side}{i}x{j}" for j in range(5)])) for i, own in enumerate(common) for side in "ab"]
+    want = {tuple(sorted((a, b))) for a, x in rows for b, y in rows if a < b and agreement(x, y) >= 0.75}
+    assert len(want) >= 300
+    assert pairs_of(neardup.near_duplicate_pairs(spark.createDataFrame(rows, "passage_id string, text string"))) == want
+
+
 def test_near_duplicates_at_the_edges(spark):
     long_text = " ".join(f"long{i}" for i in range(70_000))
     rows = [("a", "one two three four", 1), ("b", "four three two ONE", 2), ("b", "four three two one", 3), ("c", None, 4), ("d", "", 5), ("e", "!!", 6), (None, "one two three four", 7), ("f", long_text, 8), ("g", long_text + " more", 9), ("h", "one two three five", 10), ("i", "one", 11)]
