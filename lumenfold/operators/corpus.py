@@ -36,7 +36,14 @@ def recounted(articles: DataFrame, passages: DataFrame, key: str, count: str) ->
 
 
 def tfidf(texts: DataFrame, identity: str, terms: str, fit: Column, least: int = 1, most: float = 1.0, size: int | None = None) -> DataFrame:
-    """(id, fit, term, weight): unit vectors of sublinear tf times smooth idf.
+    """(id, fit, term, weight): unit vectors of sublinear tf times smooth idf; see `_weighted`."""
+    raw = _weighted(texts, identity, terms, fit, least, most, size)
+    norms = raw.groupBy("id", "fit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, ["id", "fit"]).select("id", "fit", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _weighted(texts: DataFrame, identity: str, terms: str, fit: Column, least: int = 1, most: float = 1.0, size: int | None = None) -> DataFrame:
+    """(id, fit, term, idf, w): w is sublinear tf times smooth idf.
 
     idf = ln((1 + n)/(1 + df)) + 1 over the rows where `fit` holds. Terms have weight if at
     least `least` of those rows and at most a share `most` of them have them and, with
@@ -48,9 +55,7 @@ def tfidf(texts: DataFrame, identity: str, terms: str, fit: Column, least: int =
     if size is not None:
         seen = seen.orderBy(F.desc("all"), "term").limit(size)
     idf = seen.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = pairs.join(idf, "term").select("id", "fit", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy("id", "fit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, ["id", "fit"]).select("id", "fit", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return pairs.join(idf, "term").select("id", "fit", "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def word_terms(words: Column) -> Column:
@@ -72,21 +77,30 @@ def character_terms(words: Column, least: int = 3, most: int = 5) -> Column:
 def near_duplicates(texts: DataFrame, identity: str, terms: str, train: Column, threshold: float = 0.9) -> DataFrame:
     """(id, best): rows outside train whose TF-IDF cosine with some train row is at least `threshold`.
 
-    A pair that close shares a term among the heaviest of both: terms are dropped from the
-    candidate search once the norm of what is left cannot reach the threshold, so common
-    terms, which have the least weight, hardly ever meet. Candidates get the exact cosine.
+    Terms are dropped from the candidate search, in one order for all rows, the most common
+    first, as long as the norm of what is dropped stays below the threshold. Of a pair, all
+    terms that either side dropped come before the later of two places in this order, so one
+    side dropped them all and they alone cannot reach the threshold: a pair that close shares
+    a term that both keep. Candidates get the exact cosine; equal vectors are compared once.
     """
-    vectors = tfidf(texts, identity, terms, train)
-    by = Window.partitionBy("fit", "id").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = _weighted(texts, identity, terms, train)
+    codes = [F.bit_xor(F.xxhash64("term", "w", F.lit(i))).alias(f"code{i}") for i in (0, 1)]
+    rows = cut(raw.groupBy("id", "fit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *codes))
+    classes = rows.groupBy("fit", "code0", "code1").agg(F.min("id").alias("class"))
+    known = rows.join(classes, ["fit", "code0", "code1"])
+    chosen = known.where(F.col("id") == F.col("class")).select("id", "fit", "norm")
+    vectors = cut(raw.join(chosen, ["id", "fit"]).select("id", "fit", "term", "idf", (F.col("w") / F.col("norm")).alias("weight")))
+    by = Window.partitionBy("fit", "id").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = vectors.withColumn("rest", F.sum(F.col("weight") * F.col("weight")).over(by))
-    heavy = marked.where(F.col("rest") >= threshold * threshold - 1e-9)
-    left = heavy.where(~F.col("fit")).select("term", F.col("id").alias("a"))
-    right = heavy.where("fit").select("term", F.col("id").alias("b"))
+    kept = marked.where(F.col("rest") >= threshold * threshold - 1e-9)
+    left = kept.where(~F.col("fit")).select("term", F.col("id").alias("a"))
+    right = kept.where("fit").select("term", F.col("id").alias("b"))
     pairs = left.join(right, "term").select("a", "b").distinct()
     one = vectors.where(~F.col("fit")).select(F.col("id").alias("a"), "term", F.col("weight").alias("x"))
     two = vectors.where("fit").select(F.col("id").alias("b"), "term", F.col("weight").alias("y"))
     dots = pairs.join(one, "a").join(two, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    return dots.where(F.col("cosine") >= threshold - 1e-9).groupBy(F.col("a").alias("id")).agg(F.max("cosine").alias("best"))
+    best = dots.where(F.col("cosine") >= threshold - 1e-9).groupBy(F.col("a").alias("class")).agg(F.max("cosine").alias("best"))
+    return known.where(~F.col("fit")).join(best, "class").select("id", "best")
 
 
 def top_by_hash(rows: DataFrame, strata: list[Column], text: Column, n: int) -> DataFrame:

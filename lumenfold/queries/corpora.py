@@ -112,6 +112,14 @@ def c9_near_duplicates(spark, d):
     return found.select("id", F.round("best", 6).alias("best"))
 
 
+@R.register()
+def c9_split_duplicates(spark, d):
+    """Validation and test passages whose TF-IDF cosine with a training passage is at least 0.9. SQL compares far too many pairs."""
+    rows = delivered(spark, d).where("s IN ('train', 'val', 'test') AND text IS NOT NULL").select("passage_id", (F.col("s") == "train").alias("fit"), F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), 1).alias("words"))
+    found = corpus.near_duplicates(rows.withColumn("terms", corpus.word_terms(F.col("words"))), "passage_id", "terms", F.col("fit"))
+    return found.select(F.col("id").alias("passage_id"), F.round("best", 6).alias("best"))
+
+
 @R.register(f"SELECT passage_id FROM (SELECT passage_id, row_number() OVER (PARTITION BY lower(text) ORDER BY title NULLS FIRST, passage_id) AS r FROM {PASSAGES}) WHERE r = 1")
 def c11_without_repeats(spark, d):
     """Passages without later ones of the same text."""
@@ -239,6 +247,11 @@ def m9_vocabulary(spark, d):
     return profile.vocabulary(rows, "passage_id", "text", "g")
 
 
+def over_passages(held: str) -> str:
+    """SQL over held-out items as SQL over passages."""
+    return held.replace("FROM heldout_items", f"FROM {PASSAGES}").replace("item_id", "passage_id")
+
+
 @R.register("""WITH t AS (SELECT item_id, strpos('0123456789abcdef', md5(w)[30:30]) * 256 - 256 + strpos('0123456789abcdef', md5(w)[31:31]) * 16 - 16 + strpos('0123456789abcdef', md5(w)[32:32]) - 1 AS slot FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM heldout_items)),
 c AS (SELECT item_id, slot, count(*) AS n FROM t GROUP BY ALL) SELECT item_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS x FROM c""")
 def m4_hashed_encoder(spark, d):
@@ -263,3 +276,23 @@ def m2_character_terms(spark, d):
     """Character runs of the held-out texts."""
     each = table(spark, d, "heldout_items").select("item_id", F.explode(corpus.character_terms(X.words_of(F.lower("text")))).alias("t"))
     return each.groupBy("item_id").agg(F.count("*").alias("n_terms"), F.count_distinct("t").alias("n_distinct"))
+
+
+@R.register(over_passages(R.sql["m4_hashed_encoder"]))
+def m4_hashed_passages(spark, d):
+    """Passages as unit vectors of word counts in 4,096 hashed slots."""
+    return profile.hashed_vectors(delivered(spark, d), "passage_id", "text").select("passage_id", "slot", F.round("x", 6).alias("x"))
+
+
+@R.register(over_passages(_TFIDF))
+def m1_tfidf_passages(spark, d):
+    """Passages as TF-IDF vectors of words and pairs of words."""
+    texts = delivered(spark, d).select("passage_id", corpus.word_terms(X.words_of(F.lower("text"))).alias("terms"))
+    return corpus.tfidf(texts, "passage_id", "terms", F.lit(True), 2, 0.9).select(F.col("id").alias("passage_id"), "term", F.round("weight", 6).alias("weight"))
+
+
+@R.register(over_passages(R.sql["m2_character_terms"]))
+def m2_character_passages(spark, d):
+    """Character runs of the passages; counted inside each row."""
+    terms = delivered(spark, d).select("passage_id", corpus.character_terms(X.words_of(F.lower("text"))).alias("t")).where(F.size("t") > 0)
+    return terms.select("passage_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))

@@ -80,6 +80,13 @@ def test_near_duplicates(spark):
     assert corpus.near_duplicates(df.where("fit"), "id", "terms", F.col("fit")).count() == 0 == corpus.near_duplicates(df.where("not fit"), "id", "terms", F.col("fit")).count()
 
 
+def test_near_duplicates_with_different_heaviest_terms(spark):
+    rows = [("t1", True, ["x"] * 9 + ["y"] * 3), ("v1", False, ["x"] * 3 + ["y"] * 9), ("v2", False, ["y"] * 9 + ["x"] * 3), ("v3", False, ["x"]), ("t2", True, ["z"])]
+    df = spark.createDataFrame(rows, "id string, fit boolean, terms array<string>")
+    got = {r.id: r.best for r in corpus.near_duplicates(df, "id", "terms", F.col("fit"), 0.9).collect()}
+    assert set(got) == {"v1", "v2"} and got["v1"] == got["v2"] > 0.9
+
+
 def test_off_topic_titles_are_taken_once(spark):
     m = spark.createDataFrame([(t, s, c, 0) for t in "abcd" for s, c in (("val", "x"), ("test", "y"))] + [("e", "test", "y", 1)], "title string, split string, category string, depth int")
     got = corpus.off_topic_choice(m, [("val", "x"), ("test", "y")], 3).collect()
