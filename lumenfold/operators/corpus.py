@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.plans.lineage import broadcast_if_small, cut
+from lumenfold.plans.lineage import broadcast_if_few, cut
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -123,7 +123,7 @@ def off_topic_choice(members: DataFrame, order: list[tuple[str, str]], per_categ
     for split, category in order:
         own = members.where((F.col("split") == split) & (F.col("category") == category)).groupBy("title").agg(F.min("depth").alias("depth"))
         for before in taken:
-            own = own.join(broadcast_if_small(before), "title", "left_anti")
+            own = own.join(broadcast_if_few(before), "title", "left_anti")
         ranked = own.orderBy("depth", F.sha1("title"), "title").limit(per_category)
         taken.append(ranked.select("title", F.lit(split).alias("split"), F.lit(category).alias("category")))
     return reduce(DataFrame.unionByName, taken)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the reliable checkpoint folder.
 
-    The folder is the session's `spark.checkpoint.dir`. Only a session without one (a
-    test on one machine) gets a temporary folder. Executors may be lost afterwards.
+    The folder is the session's `spark.checkpoint.dir`. Only a session without one that
+    runs on one machine, as in tests, gets a temporary folder; on a cluster such a folder
+    would not survive its machine, so a session without one raises there. Executors may be
+    lost afterwards.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -25,13 +30,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of `df`, from file sizes and known statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def broadcast_if_few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, computed and cut, with a broadcast hint if it has at most so many rows, which are counted.
 
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
-    """`df` with a broadcast hint if its estimated size is within `limit_bytes`, else `df` as it is."""
+    The optimizer's estimate of a size is no bound: behind a join it is the product of both sides.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if size_in_bytes(df) <= limit_bytes else df
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
