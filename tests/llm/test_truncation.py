@@ -47,7 +47,7 @@ def test_forms(spark):
     rng = np.random.default_rng(1)
     known = [(1000 + i, complete(rng), "en", "s", "x") for i in range(300)]
     whole = ["All is said. It ends here.", "It ends \"here.\"", "x\n-- Some Name", "x\nhttps://a.example/b", "Press, 1999, pp. 12", "x\n***", "🙂", "(end)", "", "  \n", None, "x\nNames, list of the river, 1910"]
-    early = ["The river quietly follows a gar", "The river quietly follows a garden near [...]", "The river follows …", "The river follows the&am", "The river follows the<br", "The river follows th�", "The river quietly follows the method (continued)"]
+    early = ["The river quietly follows a gar", "The river quietly follows a garden near [...]", "The river follows …", "The river follows the&am", "The river follows the<br", "The river follows th�", 'The river follows <a title="' + "the longest of all titles " * 9, "The river quietly follows the method (continued)"]
     rows = known + [(i, t, None, None, "x") for i, t in enumerate(whole)] + [(500 + i, t, "EN", "s", "x") for i, t in enumerate(early)] + [(None, "The riv", "en", "s", "x"), (900, "The river follows. " * 50_000 + "The gar", "en", "s", "x")]
     got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, SQL)).where("truncated").collect()}
     assert got & set(range(100)) == set()
@@ -63,3 +63,17 @@ def test_rates_and_limits(spark):
     rates = {r.source: r for r in truncation.truncation_rates(df).collect()}
     assert rates["a"].documents == 133 and rates[None].documents == 67 and 0 < rates["a"].rate < 1
     assert truncation.truncation_rates(df.limit(0)).count() == 0
+
+
+def test_texts_are_never_shuffled(spark):
+    df = spark.createDataFrame([(i, f"The river follows. The garden {i}", "en", "s", "x") for i in range(50)], SQL)
+    plan = truncation.truncated(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "text#" not in plan[: plan.index("MapInArrow")]
+
+
+def test_abbreviations_get_a_threshold(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"The {rng.choice(NOUNS)} of Dr. {rng.choice(NOUNS)} {rng.choice(VERBS)} the {rng.choice(NOUNS)}s, vol. {rng.choice(NOUNS)} says." for _ in range(3)) + "\n" + prose(rng) + "\n" + prose(rng) for _ in range(1500)]
+    rows = [(i, t, "en", "s", "x") for i, t in enumerate(texts)] + [(9000 + i, t[: t.index(" vol. ") + 5], "en", "s", "x") for i, t in enumerate(texts[:200])]
+    got = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, SQL)).where("truncated").collect()}
+    assert len([i for i in got if i >= 9000]) >= 190 and len([i for i in got if i < 9000]) <= 15
