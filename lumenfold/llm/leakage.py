@@ -25,8 +25,6 @@ from lumenfold.llm.words import coded_words, word_hashes_of
 
 MINIMUM = 13
 BLOCK_WORDS = 2_000_000
-#: Seeds of one document and item beyond which only the first place of a repeated gram counts for the tiles.
-MOST_SEEDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,9 +69,6 @@ def tiles(document: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray,
 
     Ties go to the earlier place in the item, then in the document.
     """
-    if len(i) > MOST_SEEDS:
-        _, first = np.unique(i, return_index=True)
-        i, j = i[first], j[first]
     true = np.ones(len(i), bool)
     for n in range(size):  # hashes may collide, words decide
         true &= document[i + n] == item[j + n]

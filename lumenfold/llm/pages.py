@@ -29,7 +29,7 @@ from lumenfold.llm.components import components
 _ENCODED = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BLANKS = re.compile(r"[\s_­​-‏⁠﻿]+")
 SHARES = {"test": 0.15, "val": 0.15}
-#: Rows that one bit of the bitset stands for at most 1/FINEST of.
+#: Bits of a bitset; larger totals are counted in units first, then filled exactly.
 FINEST = 1 << 22
 
 
@@ -118,32 +118,77 @@ def choose(sizes: dict[int, int], target: int) -> dict[int, int]:
     return taken
 
 
+def choose_from_many(sizes: dict[int, int], target: int, finest: int = FINEST) -> dict[int, int]:
+    """As `choose`, for totals beyond `finest`: large pages by the bitset in units, small ones to fill the rest exactly.
+
+    A unit is a `finest`th of the target. Pages of at least a unit are chosen to come close
+    to the target from below, less what rounding them may add; what is left is filled with
+    smaller pages, the largest size first as long as they fit, and at last once more by an
+    exact bitset over what is left of each size, which is less than a few units away. So no
+    page is too small to be chosen, and the total is as close as the small pages allow.
+    """
+    if target <= finest:
+        return choose(sizes, target)
+    unit = -(-target // finest)
+    large = {s: n for s, n in sizes.items() if s >= unit}
+    units: dict[int, int] = {}
+    for s, n in large.items():
+        units[-(-s // unit)] = units.get(-(-s // unit), 0) + n  # rounded up, so that the true total is no more
+    small = sum(s * n for s, n in sizes.items() if s < unit)
+    wanted = choose(units, target // unit)
+    taken: dict[int, int] = {}
+    rest = target
+    for s in sorted(large, reverse=True):
+        n = min(large[s], wanted.get(-(-s // unit), 0))
+        if n:
+            wanted[-(-s // unit)] -= n
+            taken[s], rest = n, rest - s * n
+    # Pages whose rounding left room are added while there is more room than small pages can fill.
+    for s in sorted(large, reverse=True):
+        n = min(large[s] - taken.get(s, 0), max(0, rest - small) // s)
+        if n:
+            taken[s], rest = taken.get(s, 0) + n, rest - s * n
+    for s in sorted((s for s in sizes if s < unit), reverse=True):
+        spare = min(rest, 2 * unit)  # kept open for the exact end
+        n = min(sizes[s], max(0, rest - spare) // s)
+        if n:
+            taken[s], rest = n, rest - s * n
+    left = {s: sizes[s] - taken.get(s, 0) for s in sizes if sizes[s] > taken.get(s, 0) and s <= 2 * max(rest, 1)}
+    if 0 < rest <= finest:
+        for s, n in choose(left, rest).items():
+            taken[s] = taken.get(s, 0) + n
+    elif rest > 0:  # only pages larger than a unit are left: in units again, over what is left
+        for s, n in choose_from_many(left, rest, finest).items() if rest < target else ():
+            taken[s] = taken.get(s, 0) + n
+    return taken
+
+
+def split_plan(counted: dict[int, int], shares: dict[str, float], finest: int = FINEST) -> list[tuple[int, int, int, str]]:
+    """(size, low, high, split): pages of each size from place low to below high go to the split; the others to train.
+
+    counted: the number of pages of each size. Targets are shares of all rows.
+    """
+    total = sum(size * n for size, n in counted.items())
+    left, plan, begun = dict(counted), [], dict.fromkeys(counted, 0)
+    for name, share in shares.items():
+        for size, take in sorted(choose_from_many({s: n for s, n in left.items() if n}, round(total * share), finest).items()):
+            plan.append((size, begun[size], begun[size] + take, name))
+            begun[size], left[size] = begun[size] + take, left[size] - take
+    return plan
+
+
 def assign_splits(passages: DataFrame, article: str = "wiki_id", title: str = "title", shares: dict[str, float] | None = None) -> DataFrame:
     """(article, page, new_split): one split for all passages of a page, close to the wanted shares of rows.
 
     Pages of one size are taken in the order of the hash of their least article. The driver
-    gets one row for each page size that occurs, not one for each page; beyond FINEST rows
-    sizes are counted in units of rows/FINEST.
+    gets one row for each page size that occurs, not one for each page. Rows with a null
+    article belong to no page and have no row; an empty table gives none.
     """
     shares = SHARES if shares is None else shares
     labelled = pages(passages, article, title)
     rows = passages.where(F.col(article).isNotNull()).groupBy(F.col(article).cast("long").alias("article")).agg(F.count("*").alias("rows"))
     sized = labelled.join(rows, "article").groupBy("page").agg(F.sum("rows").alias("rows"))
-    counted = {r["rows"]: r["n"] for r in sized.groupBy("rows").agg(F.count("*").alias("n")).toLocalIterator()}
-    total = sum(size * n for size, n in counted.items())
-    unit = max(1, -(-total // FINEST))
-    left, plan, begun = dict(counted), [], dict.fromkeys(counted, 0)
-    for name, share in shares.items():
-        units: dict[int, int] = {}
-        for size, n in left.items():
-            if n and round(size / unit):
-                units[round(size / unit)] = units.get(round(size / unit), 0) + n
-        wanted = choose(units, round(total * share / unit))
-        for size in sorted(left, reverse=True):
-            take = min(left[size], wanted.get(round(size / unit), 0))
-            if take:
-                plan.append((size, begun[size], begun[size] + take, name))
-                begun[size], left[size], wanted[round(size / unit)] = begun[size] + take, left[size] - take, wanted[round(size / unit)] - take
+    plan = split_plan({r["rows"]: r["n"] for r in sized.groupBy("rows").agg(F.count("*").alias("n")).toLocalIterator()}, shares)
     # The place of a page among those of its size, in two steps so that no task ranks all pages of one size.
     placed = sized.withColumn("h", F.xxhash64("page")).withColumn("part", F.pmod("h", F.lit(4096)))
     before = placed.groupBy("rows", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("rows").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("rows", "part", F.coalesce("before", F.lit(0)).alias("before"))

@@ -28,6 +28,8 @@ from lumenfold.plans.lineage import cut
 
 #: Labelled passages that the model is fitted to.
 FIT_ROWS = 12_000
+#: Partitions of these passages; the scan that finds them has its own.
+FIT_PARTS = 8
 #: The vocabulary: words of at least so many of them, of which one subject has at least this share.
 LEAST_TEXTS, LEAST_SHARE = 8, 0.3
 FLAT_TOPICS, ROUNDS, INNER = 3, 8, 12
@@ -35,8 +37,6 @@ ALPHA, FLAT_ALPHA, ETA = 0.05, 0.3, 0.02
 TOP_TERMS, CLEAR = 20, 0.5
 #: A sentence counts if so many of its words are of some subject, and one subject has this share of them.
 LEAST_WORDS, LEAST_LEAD = 0.8, 0.5
-#: Subjects that a text has at most.
-MOST = 2
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n+")
@@ -94,7 +94,7 @@ class Model:
                 self.to_subject[topic, subject] = 1
 
     def assign(self, texts: list[str | None]) -> list[list[str]]:
-        """The subjects of each text, at most MOST, in the order of their words."""
+        """The subjects of each text, most words first."""
         place = self.place
         owner: list[int] = []
         words: list[list[int]] = []
@@ -117,7 +117,7 @@ class Model:
             mine = by_text.setdefault(n, {})
             mine[subject] = mine.get(subject, 0.0) + words_of
         for n, mine in by_text.items():
-            out[n] = [self.subjects[s] for s, _ in sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:MOST]]
+            out[n] = [self.subjects[s] for s, _ in sorted(mine.items(), key=lambda x: (-x[1], x[0]))]
         return out
 
 
@@ -126,7 +126,7 @@ def fit_sample(labelled: DataFrame, identity: str, rows: int) -> DataFrame:
     there = labelled.count()
     share = min(1.0, rows / max(1, there))
     chosen = labelled.where(F.pmod(F.xxhash64(identity), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return cut(chosen.coalesce(8))
+    return cut(chosen.repartition(FIT_PARTS, F.xxhash64("id")))
 
 
 def fit(passages: DataFrame, taxonomy: DataFrame, identity: str, text: str, general: str, subtopics: str, rows: int = FIT_ROWS) -> tuple | None:
@@ -203,7 +203,7 @@ def fit(passages: DataFrame, taxonomy: DataFrame, identity: str, text: str, gene
 
     for _ in range(ROUNDS):
         given = spark.sparkContext.broadcast(topics.astype(np.float32))
-        parts = corpus.mapInArrow(expected(given), "counts binary").toLocalIterator()  # at most 8, of vocabulary x topics numbers
+        parts = corpus.mapInArrow(expected(given), "counts binary").toLocalIterator()  # FIT_PARTS at most, of vocabulary x topics numbers
         total = sum(np.frombuffer(p.counts, np.float32).reshape(size, -1).astype(np.float64) for p in parts)
         topics = (total + ETA).T
         topics /= topics.sum(axis=1, keepdims=True)

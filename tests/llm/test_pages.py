@@ -77,3 +77,35 @@ def test_subset_sums_come_closest():
         taken = pages.choose(sizes, target)
         assert all(0 <= taken[s] <= sizes[s] for s in taken)
         assert abs(sum(s * c for s, c in taken.items()) - target) == min(abs(t - target) for t in sums)
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**7, 10**8, 10**9, 10**11])
+def test_shares_at_any_size(rows):
+    """A hub with a tenth of the rows, pages of 1 to 4."""
+    counted = {rows // 10: 1} | {s: 9 * rows // 100 for s in range(1, 5)}
+    total, got = sum(s * n for s, n in counted.items()), {}
+    for size, low, high, name in pages.split_plan(counted, pages.SHARES):
+        assert 0 <= low < high <= counted[size]
+        got[name] = got.get(name, 0) + size * (high - low)
+    assert all(abs(got[name] / total - share) < 0.001 for name, share in pages.SHARES.items())
+
+
+def test_many_rows_as_few():
+    """Units and the exact end come as close as small pages allow, never take more than there are, and lose no size."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        sizes = {int(s): int(c) for s, c in zip(rng.integers(1, 400, 8), rng.integers(1, 30, 8))} | {1: 40}
+        target = int(rng.integers(1, sum(s * n for s, n in sizes.items()) // 2))
+        taken = pages.choose_from_many(sizes, target, 64)
+        assert all(0 <= n <= sizes[s] for s, n in taken.items())
+        assert abs(sum(s * n for s, n in taken.items()) - target) <= max(40, target // 10)
+    assert sum(s * n for s, n in pages.choose_from_many({1: 1000}, 500, 64).items()) == 500
+
+
+def test_splits_over_many_rows(spark, monkeypatch):
+    rows = [(w, f"U{w}") for w in range(3000) for _ in range(1 + w % 4)] + [(5000, "hub")] * 800
+    df = spark.createDataFrame(rows, "wiki_id long, title string")
+    monkeypatch.setattr(pages, "split_plan", lambda counted, shares, plan=pages.split_plan: plan(counted, shares, 300))
+    by = {r.article: r.new_split for r in pages.assign_splits(df).collect()}
+    shares = {s: sum(by[w] == s for w, _ in rows) / len(rows) for s in ("train", "val", "test")}
+    assert abs(shares["val"] - 0.15) < 0.001 and abs(shares["test"] - 0.15) < 0.001
