@@ -7,8 +7,9 @@ unmarked words first, marked in both texts, then the longest of what is left, un
 has MINIMUM words. Tiles may come in any order in the document, so reordered passages add
 up to the same coverage of the item.
 
-Only the items are broadcast, in blocks of at most BLOCK_WORDS words; the corpus is read
-once for each block and never shuffled.
+Items of at most about BLOCK_WORDS words are broadcast, so the corpus is read once and
+never shuffled. More items are joined: a bitmap of bounded size lets only those hashes of
+the corpus through that items may have, and the texts of pairs that share one are tiled.
 """
 
 from __future__ import annotations
@@ -22,10 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import coded_words, word_hashes_of
+from lumenfold.plans.lineage import shuffle_partitions
 
 MINIMUM = 13
 BLOCK_WORDS = 2_000_000
+#: Seeds that are listed at a time.
+PORTION = 2_000_000
+#: Share of the items' words that `p7_covered` asks for.
+COVERED = 0.5
+#: Bits of the filter of item grams: so many a gram, in all at most 2**MOST_BITS; and of one piece of it.
+GRAM_BITS, MOST_BITS, PIECE = 16, 30, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Length, place in the document and place in the item of each match.
+Matches = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -56,19 +66,49 @@ class Items:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[(self.gram * _BASE) >> self.shift] = True
 
-    def seeds(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in `gram` and in self.gram of equal hashes."""
+    def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in `gram` whose hash is here, where its run in self.gram begins, and the length of that."""
         at = np.flatnonzero(self.maybe[(gram * _BASE) >> self.shift])
         low, high = np.searchsorted(self.gram, gram[at], "left"), np.searchsorted(self.gram, gram[at], "right")
-        many = high - low
-        return np.repeat(at, many), np.repeat(low, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        there = high > low
+        return at[there], low[there], (high - low)[there]
 
+    def pairs(self, flat: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, Matches]]:
+        """(document, item, words, matches) of texts of `count` words each that share grams with items, in portions of PORTION seeds."""
+        end = np.cumsum(count)
+        at, low, many = self.hits(grams(flat, self.size))
+        owner = np.searchsorted(end, at, "right")
+        inside = at + self.size <= end[owner] if len(at) else np.zeros(0, bool)
+        at, low, many, owner = at[inside], low[inside], many[inside], owner[inside]
+        seeds = np.bincount(owner, many, len(end)).astype(np.int64) if len(at) else np.zeros(len(end), np.int64)
+        usual = seeds[owner] <= PORTION
+        portion = np.cumsum(np.where(seeds <= PORTION, seeds, 0)) // PORTION
+        for p in np.unique(portion[owner[usual]]).tolist():
+            own = usual & (portion[owner] == p)
+            times = many[own]
+            i, of = np.repeat(at[own], times), np.repeat(owner[own], times)
+            to = np.repeat(low[own], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            item = self.item[to]
+            order = np.lexsort((item, of))
+            i, to, of, item = i[order], to[order], of[order], item[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (of[1:] != of[:-1]) | (item[1:] != item[:-1])
+            begin = np.flatnonzero(new).tolist()
+            for x, y in zip(begin, [*begin[1:], len(i)]):
+                d, n = int(of[x]), int(item[x])
+                start = int(end[d] - count[d])
+                words = flat[start : end[d]]
+                yield d, n, words, matches_of(words, self.words[n], i[x:y] - start, self.place[to[x:y]], self.size)
+        for d in np.unique(owner[~usual]).tolist():  # texts that repeat themselves
+            words = flat[end[d] - count[d] : end[d]]
+            begin, first = np.unique(low[owner == d], return_index=True)
+            some = np.unique(np.concatenate([self.item[x : x + n] for x, n in zip(begin.tolist(), many[owner == d][first].tolist())]))
+            for n in some.tolist():
+                yield d, n, words, matches_in(words, self.words[n], self.size)
 
-def tiles(document: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Tiles (length, place in the document, place in the item) from the seeds (i, j), longest first.
 
-    Ties go to the earlier place in the item, then in the document.
-    """
+def matches_of(document: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, size: int) -> Matches:
+    """Length and places in document and item of the longest matches that the seeds (i, j) are in."""
     true = np.ones(len(i), bool)
     for n in range(size):  # hashes may collide, words decide
         true &= document[i + n] == item[j + n]
@@ -78,8 +118,39 @@ def tiles(document: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray,
     new = np.ones(len(i), bool)
     new[1:] = (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] != i[:-1] + 1)
     begin = np.flatnonzero(new)
-    length = np.diff(np.concatenate((begin, [len(i)]))) + size - 1
-    heap = [(-n, b, a) for n, a, b in zip(length.tolist(), i[begin].tolist(), j[begin].tolist())]
+    return np.diff(np.concatenate((begin, [len(i)]))) + size - 1, i[begin], j[begin]
+
+
+def matches_in(document: np.ndarray, item: np.ndarray, size: int) -> Matches:
+    """As `matches_of`, without a list of all seeds, of which two texts that repeat themselves have the product of their lengths.
+
+    Goes through the item's places and keeps, for each place of the document, how long the
+    match that ends there is by now.
+    """
+    one, two = grams(document, size), grams(item, size)
+    found: list[np.ndarray] = []
+    run = np.zeros(len(one) + 1, np.int64)  # run[i + 1]: seeds of the match whose last one is at i
+    for j in range(len(two) + 1):
+        own = np.zeros(len(one), np.int64)
+        if j < len(two):
+            at = np.flatnonzero(one == two[j])
+            for n in range(size):
+                at = at[document[at + n] == item[j + n]]
+            own[at] = run[at] + 1
+        ended = np.flatnonzero((run > 0) & (np.concatenate((own, [0])) == 0))
+        found.append(np.stack((run[ended] + size - 1, ended - run[ended], j - run[ended])))
+        run[1:] = own
+        run[0] = 0
+    length, a, b = np.concatenate(found, axis=1)
+    return length, a, b
+
+
+def tiles(document: np.ndarray, item: np.ndarray, matches: Matches, size: int) -> list[tuple[int, int, int]]:
+    """Tiles (length, place in the document, place in the item), longest first.
+
+    Ties go to the earlier place in the item, then in the document.
+    """
+    heap = [(-n, b, a) for n, a, b in zip(*(x.tolist() for x in matches))]
     heapq.heapify(heap)
     marked_a, marked_b = np.zeros(len(document), bool), np.zeros(len(item), bool)
     out = []
@@ -98,66 +169,120 @@ def tiles(document: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray,
     return out
 
 
-def item_blocks(items: DataFrame, identity: str, text: str) -> Iterator[tuple[list[int], list[str]]]:
-    """The distinct items, block by block, streamed through the driver."""
-    ids, texts, size = [], [], 0
-    for row in items.where(F.col(identity).isNotNull() & F.col(text).isNotNull()).select(F.col(identity).cast("long").alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
-        ids.append(row.i)
-        texts.append(row.t)
-        size += len(row.t) // 3
-        if size > BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def leak_of(document: np.ndarray, item: np.ndarray, matches: Matches, size: int, coverage: float) -> tuple[int, int, float] | None:
+    """(longest, tiled, coverage) if the tiles are a leak."""
+    found = tiles(document, item, matches, size)
+    tiled = sum(t[0] for t in found)
+    return (found[0][0], tiled, tiled / len(item)) if found and tiled >= coverage * len(item) else None
 
 
-def leaks(documents: DataFrame, items: DataFrame, document_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = MINIMUM, coverage: float = 0.0) -> DataFrame:
-    """(doc_id, item_id, longest, tiled, coverage): the items that a document holds, wholly or partly.
+LEAKS_SQL = "doc_id long, item_id long, longest int, tiled int, coverage double"
 
-    longest: words of the longest tile; tiled: words in tiles; coverage: tiled by the words
-    of the item. A leak has a tile of at least `words` words and at least the `coverage`.
-    Rows with a null id or text and texts of fewer words leak nothing; an id that comes
-    several times comes out once for each item, with its best row; empty tables give no rows.
-    """
-    spark = documents.sparkSession
-    schema = "doc_id long, item_id long, longest int, tiled int, coverage double"
-    kept = documents.where(F.col(document_id).isNotNull() & F.col(text).isNotNull()).select(F.col(document_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def search(block: Items):
+def leak_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "longest", "tiled", "coverage"])
+
+
+def by_broadcast(documents: DataFrame, items: DataFrame, words: int, coverage: float) -> DataFrame:
+    """Leaks of documents (doc_id, text) and few items (item_id, text), which travel with the function: one pass, no shuffle."""
+    known = items.toArrow()  # about BLOCK_WORDS at most
+    block = Items(known.column(0).to_pylist(), known.column(1).to_pylist(), words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (hashes, code, count) = batch.column(0).to_pylist(), coded_words(batch.column(1).to_pylist())
+            rows = []
+            for d, n, own, matches in block.pairs(hashes[code] if len(code) else np.zeros(0, np.uint64), count):
+                leak = leak_of(own, block.words[n], matches, words, coverage)
+                if leak:
+                    rows.append((ids[d], int(block.ids[n]), *leak))
+            yield leak_rows(rows)
+
+    return documents.mapInArrow(search, LEAKS_SQL)
+
+
+def gram_filter(items: DataFrame, words: int, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places with those of all items' grams set, packed; made in pieces, which the driver puts together."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                place = (grams(word_hashes_of([text]), words) * _BASE) >> np.uint64(64 - bits)
+                for n in np.unique(place >> np.uint64(PIECE)).tolist():
+                    mine.setdefault(n, np.zeros(1 << PIECE, bool))[(place[place >> np.uint64(PIECE) == n] & np.uint64((1 << PIECE) - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([np.packbits(x).tobytes() for x in mine.values()], pa.binary())], names=["piece", "bits"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(blob.as_py(), np.uint8)
+                mine[n] = mine[n] | part if n in mine else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], names=["piece", "bits"])
+
+    schema, partitions = "piece int, bits binary", shuffle_partitions(items.sparkSession)
+    out = np.zeros(1 << max(0, bits - 3), np.uint8)
+    width = 1 << (PIECE - 3)
+    for row in items.mapInArrow(pieces, schema).repartitionById(partitions, F.col("piece") % partitions).mapInArrow(together, schema).toLocalIterator():
+        out[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def by_join(documents: DataFrame, items: DataFrame, words: int, coverage: float, total: int) -> DataFrame:
+    """As `by_broadcast` for any number of items: joined by the hashes of the grams that pass a filter of the items' grams."""
+    bits = min(MOST_BITS, max(PIECE, (total * GRAM_BITS).bit_length()))
+    sent = documents.sparkSession.sparkContext.broadcast(gram_filter(items, words, bits))
+
+    def grams_of(name: str, filtered: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hashes, code, count = coded_words(batch.column(1).to_pylist())
-                flat = hashes[code] if len(code) else np.zeros(0, np.uint64)
-                end = np.cumsum(count)
-                rolled = grams(flat, block.size)
-                at, to = block.seeds(rolled)
-                owner = np.searchsorted(end, at, "right")
-                inside = at + block.size <= end[owner] if len(at) else np.zeros(0, bool)
-                at, to, owner = at[inside], to[inside], owner[inside]
-                item = block.item[to]
-                order = np.lexsort((item, owner))
-                at, to, owner, item = at[order], to[order], owner[order], item[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
-                begin = np.flatnonzero(new).tolist()
-                rows = []
-                for x, y in zip(begin, [*begin[1:], len(at)]):
-                    d, n = int(owner[x]), int(item[x])
-                    start = int(end[d] - count[d])
-                    found = tiles(flat[start : end[d]], block.words[n], at[x:y] - start, block.place[to[x:y]], block.size)
-                    tiled = sum(t[0] for t in found)
-                    if found and tiled >= coverage * len(block.words[n]):
-                        rows.append((d, int(block.ids[n]), found[0][0], tiled, tiled / len(block.words[n])))
-                columns = list(zip(*rows)) if rows else [[]] * 5
-                doc = batch.column(0).take(pa.array(columns[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64())], names=["doc_id", "item_id", "longest", "tiled", "coverage"])
+                ids, found = [], []
+                for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = np.unique(grams(word_hashes_of([text]), words))
+                    if filtered and len(own):
+                        place = ((own * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
+                        own = own[sent.value[place >> 3] >> (7 - (place & 7)) & 1 == 1]
+                    found.append(own)
+                    ids += [n] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(ids, pa.int64())], names=["gram", name])
 
         return run
 
-    out = spark.createDataFrame([], schema)
-    for ids, texts in item_blocks(items, item_id, text):
-        block = Items(ids, texts, words)
-        if len(block.gram):
-            out = out.unionByName(kept.mapInArrow(search(block), schema))
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, text, n, item in zip(*(c.to_pylist() for c in batch.columns)):
+                own, count = word_hashes_of([text]), np.zeros(1, np.int64)
+                count[0] = len(own)
+                block = Items([n], [item], words)
+                for _, _, own, matches in block.pairs(own, count):
+                    leak = leak_of(own, block.words[0], matches, words, coverage)
+                    if leak:
+                        rows.append((d, n, *leak))
+            yield leak_rows(rows)
+
+    left = documents.mapInArrow(grams_of("doc_id", True), "gram long, doc_id long")
+    right = items.mapInArrow(grams_of("item_id", False), "gram long, item_id long")
+    candidates = left.join(right, "gram").select("doc_id", "item_id").distinct()
+    pairs = candidates.join(documents, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
+    return pairs.mapInArrow(compared, LEAKS_SQL)
+
+
+def leaks(documents: DataFrame, items: DataFrame, document_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = MINIMUM, coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, longest, tiled, coverage): the items that a document holds, wholly or partly.
+
+    longest: words of the longest tile; tiled: words in tiles; coverage: tiled by the words
+    of the item. A leak has a tile of at least `words` words and at least the `coverage`, in
+    whatever order its tiles stand. Rows with a null id or text and texts of fewer words leak
+    nothing; an id that comes several times comes out once for each item, with its best row;
+    empty tables give no rows. Items of up to about `block_words` words are broadcast, more
+    are joined by their grams; the rows are the same.
+    """
+    kept = documents.where(F.col(document_id).isNotNull() & F.col(text).isNotNull()).select(F.col(document_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).distinct()
+    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    out = by_broadcast(kept, known, words, coverage) if total <= 3 * block_words else by_join(kept, known, words, coverage, total // 3)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("tiled", "longest", "coverage")).alias("best")).select("doc_id", "item_id", "best.longest", "best.tiled", "best.coverage")

@@ -94,6 +94,12 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+@R.register()
+def p7_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks that cover half of the item or more, in whatever order its passages stand."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), coverage=leakage.COVERED)
+
+
 @R.register()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")

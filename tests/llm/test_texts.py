@@ -160,10 +160,9 @@ def test_leaks_whole_partly_and_reordered(spark, items):
 
 
 def test_leaks_in_blocks_of_items_and_long_repetitive_texts(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
     items = spark.createDataFrame([(i, f"id{i} " + ITEM) for i in range(6)] + [(99, "a " * 200)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "z " * 5000 + ITEM), (2, "a " * 3000)], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()}
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, block_words=10).collect()}
     assert got == {(1, i) for i in range(6)} | {(2, 99)}
 
 
@@ -176,4 +175,33 @@ def test_tiles_are_greedy_and_do_not_overlap():
             if (doc[a : a + 5] == item[b : b + 5]).all():
                 i.append(a)
                 j.append(b)
-    assert leakage.tiles(doc, item, np.array(i), np.array(j), 5) == [(20, 0, 10), (10, 20, 0)]
+    assert leakage.tiles(doc, item, leakage.matches_of(doc, item, np.array(i), np.array(j), 5), 5) == [(20, 0, 10), (10, 20, 0)]
+
+
+def test_matches_without_lists_of_seeds():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        doc, item = (rng.integers(0, 3, n).astype(np.uint64) for n in (rng.integers(5, 60), rng.integers(5, 40)))
+        one, two = leakage.grams(doc, 4), leakage.grams(item, 4)
+        i, j = np.nonzero(one[:, None] == two[None, :])
+        listed = {tuple(x) for x in np.stack(leakage.matches_of(doc, item, i, j, 4), 1).tolist()}
+        assert {tuple(x) for x in np.stack(leakage.matches_in(doc, item, 4), 1).tolist()} == listed
+
+
+def test_broadcast_and_join_agree(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words, 40))) for i in range(30)] + [(50, "la " * 60), (51, None), (50, "la " * 60)]
+    docs = []
+    for d in range(200):
+        text = " ".join(rng.choice(words, 50)).split()
+        if d % 3 == 0:
+            own = items[d % 30][1].split()
+            text[20:20] = own[20:] + own[:18]
+        docs.append((d, " ".join(text)))
+    docs += [(900, "la " * 5000), (901, None), (902, "")]
+    one, two = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(leakage, "PORTION", 500)
+    wide, joined = ({tuple(r) for r in leakage.leaks(one, two, block_words=n).collect()} for n in (10**6, 10))
+    assert wide == joined and len(wide) == 68 and (900, 50, 60, 60, 1.0) in wide
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(one, two, coverage=0.5).collect()} == {x[:2] for x in wide if x[4] >= 0.5}
