@@ -28,6 +28,8 @@ PHRASES = {
     "ottoman_history": "Ottoman Empire history",
     "world_wars": "World War I and World War II",
 }
+# Names that are not the identifier with capitals.
+NAMES = {"history_of_science": "History of Science", "football": "Football (Soccer)"}
 PERSPECTIVES = {"history": "history of {topic}"}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
-from lumenfold.operators import conversation, corpus, profile, store
+from lumenfold.operators import conversation, hierarchy, profile, store
 from lumenfold.plans.lineage import cut
 from lumenfold.queries import Registry, corpora
 from lumenfold.sources.tables import table
@@ -26,14 +26,18 @@ tu AS (SELECT *, CASE WHEN list_max(p) >= 0.35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """(session, turn, line, probs array, weight)."""
-    lines = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("session"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike("^(user|assistant): "))
-    numbered = lines.withColumn("turn", F.row_number().over(Window.partitionBy("session").orderBy("at")))
-    slots = F.transform(F.regexp_extract_all(F.lower("line"), F.lit("([a-z]+)"), 1), lambda w: F.conv(F.substring(F.md5(w), -1, 1), 16, 10).cast("int") % 4)
-    scored = numbered.withColumn("slots", slots)
+    scored = spoken(spark, d).withColumn("slots", F.transform("words", lambda w: F.conv(F.substring(F.md5(w), -1, 1), 16, 10).cast("int") % 4))
     probs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.size(F.filter("slots", lambda s: s == k)) / F.size("slots"))
     return scored.select("session", "turn", "line", probs.alias("probs")).withColumn("weight", F.when(F.array_max("probs") >= 0.35, 1.0).otherwise(0.0))
 
 
+def spoken(spark: SparkSession, d: str) -> DataFrame:
+    """(session, turn, line, words): the turns of a document stand in one row, so they are numbered without a shuffle."""
+    said = F.filter(F.split("text", "\n"), lambda line: line.rlike("^(user|assistant): "))
+    lines = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("session"), F.posexplode(said).alias("at", "line"))
+    return lines.select("session", (F.col("at") + 1).cast("long").alias("turn"), "line", F.regexp_extract_all(F.lower("line"), F.lit("([a-z]+)"), 1).alias("words"))
+
+
 def mapped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("probs", F.map_from_arrays(F.array(*map(F.lit, LABELS)), "probs"))
 
@@ -47,8 +51,8 @@ SELECT session, turn, round(s0[1], 6) AS a, round(s0[2], 6) AS b, round(s0[3], 6
 @R.register(_FOLD)
 def v1_decayed_scores(spark, d):
     """Decayed scores after every turn; two idle turns clear them."""
-    rows = conversation.decayed_scores(turns(spark, d), LABELS, 0.7, 2)
-    return rows.select("session", "turn", *(F.round(F.col("scores")[i], 6).alias(x) for i, x in enumerate(LABELS)), F.col("idle").cast("long").alias("idle"))
+    rows = conversation.decayed_scores(mapped(turns(spark, d)), LABELS, 0.7, 2)
+    return rows.select(F.col("session").cast("long").alias("session"), "turn", *(F.round(F.col("scores")[x], 6).alias(x) for x in LABELS), F.col("idle").cast("long").alias("idle"))
 
 
 _ARG = "list_max(list_transform(range(1, 5), lambda i: CASE WHEN {v}[i] = list_max({v}) THEN i ELSE 0 END))"
@@ -72,20 +76,115 @@ def v3_themes(spark, d):
     return conversation.themes(mapped(turns(spark, d)), RULES).select(F.col("session").cast("long").alias("session"), "turn", "dominant", "expired", F.col("idle").cast("long").alias("idle"), topics.alias("topics"))
 
 
-@R.register()
-def v6_phrases(spark, d):
-    """A phrase for the theme of every conversation's last turn, toy labels standing for four general topics."""
-    names = dict(zip(LABELS, ("physics", "books", "science", "history")))
-    last = conversation.themes(mapped(turns(spark, d)), RULES).groupBy("session").agg(F.max_by("topics", "turn").alias("topics"))
+#: The real labels in the order of their names, which decides ties; toy scores spread words over the subtopics by their hash.
+TOPICS = sorted(hierarchy.GENERALS)
+SUBTOPICS = sorted(r[5] for r in hierarchy.taxonomy_rows())
+PARENTS = [TOPICS.index(next(g for g, (_, _, subs) in hierarchy.GENERALS.items() if s in subs)) for s in SUBTOPICS]
+
+
+def topical_turns(spark: SparkSession, d: str) -> DataFrame:
+    """(session, turn, line, words, probs, sub_probs, weight): shares of a turn's words by subtopic and by general topic."""
+    slots = F.transform("words", lambda w: F.conv(F.substring(F.md5(w), -2, 2), 16, 10).cast("int") % len(SUBTOPICS))
+    rows = spoken(spark, d).withColumn("slots", slots).withColumn("parents", F.transform("slots", lambda s: F.array(*map(F.lit, PARENTS))[s]))
+    share = lambda names, column: F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.size(F.filter(column, lambda s: s == k)) / F.size(column)))
+    scored = rows.withColumns({"probs": share(TOPICS, "parents"), "sub_probs": share(SUBTOPICS, "slots")})
+    return scored.withColumn("weight", F.when(F.array_max(F.map_values("probs")) >= 0.3, 1.0).otherwise(0.0)).drop("slots", "parents")
+
+
+def _list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+_N, _Q, _HEX = len(TOPICS), len(SUBTOPICS), "strpos('0123456789abcdef', md5(x)[{0}:{0}]) - 1"
+_ZERO8, _ZERO28 = (f"{[0.0] * n}::DOUBLE[]" for n in (_N, _Q))
+_TOPICAL = f"""WITH RECURSIVE {_TURNS.split("sc AS")[0]}
+sk AS (SELECT session, turn, line, list_transform(w, lambda x: (({_HEX.format(31)}) * 16 + {_HEX.format(32)}) % {_Q}) AS k FROM wd),
+pq AS (SELECT session, turn, line, list_transform(range(0, {_Q}), lambda j: length(list_filter(k, lambda x: x = j)) / length(k)::DOUBLE) AS q, list_transform(range(0, {_N}), lambda g: length(list_filter(k, lambda x: {PARENTS}[x + 1] = g)) / length(k)::DOUBLE) AS p FROM sk),
+tu AS (SELECT *, CASE WHEN list_max(p) >= 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM pq),
+st AS (SELECT session, 0::BIGINT AS turn, {_ZERO8} AS s, {_ZERO28} AS z, 0 AS idle, 0::BIGINT AS dom, 0::BIGINT AS ch, 0 AS streak, false AS expired FROM tu WHERE turn = 1
+UNION ALL SELECT session, turn, CASE WHEN over THEN {_ZERO8} ELSE n END, CASE WHEN over THEN {_ZERO28} ELSE m END, idle,
+  CASE WHEN over THEN 0 WHEN weight <= 0 THEN dom WHEN take THEN lead WHEN vote = dom THEN dom WHEN again >= 2 THEN vote ELSE dom END,
+  CASE WHEN over THEN 0 WHEN weight <= 0 THEN ch WHEN take OR vote = dom OR again >= 2 THEN 0 ELSE vote END,
+  CASE WHEN over THEN 0 WHEN weight <= 0 THEN streak WHEN take OR vote = dom OR again >= 2 THEN 0 ELSE again END, over
+FROM (SELECT *, weight <= 0 AND idle >= 2 AS over, dom = 0 OR coalesce(n[dom] / nullif(list_sum(n), 0), 0) < 0.2 AS take, {_ARG.format(v='n').replace('range(1, 5)', f'range(1, {_N + 1})')} AS lead, vote, CASE WHEN vote = ch THEN streak + 1 ELSE 1 END AS again
+  FROM (SELECT tu.session, tu.turn, weight, list_transform(range(1, {_N + 1}), lambda i: s[i] * 0.7 + weight * p[i]) AS n, list_transform(range(1, {_Q + 1}), lambda i: z[i] * 0.7 + weight * q[i]) AS m, CASE WHEN weight > 0 THEN 0 ELSE idle + 1 END AS idle, dom, ch, streak, {_ARG.format(v='p').replace('range(1, 5)', f'range(1, {_N + 1})')} AS vote FROM st JOIN tu ON tu.session = st.session AND tu.turn = st.turn + 1))),
+sh AS (SELECT session, turn, dom, g, s[g] / list_sum(s) AS x, row_number() OVER (PARTITION BY session, turn ORDER BY s[g] DESC, g) AS r FROM st, (SELECT unnest(range(1, {_N + 1})) AS g) WHERE list_sum(s) > 0 AND s[g] / list_sum(s) >= 0.2),
+ac AS (SELECT session, turn, g, x, row_number() OVER (PARTITION BY session, turn ORDER BY CASE WHEN g = dom THEN 0 ELSE 1 END, r) AS nth FROM sh WHERE r <= 3),
+kid AS (SELECT unnest(range(1, {_Q + 1})) AS j, unnest({[g + 1 for g in PARENTS]}) AS g),
+su AS (SELECT ac.session, ac.turn, ac.nth, kid.g, j, z[j] AS v, sum(z[j]) OVER (PARTITION BY ac.session, ac.turn, kid.g ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS al FROM ac JOIN st USING (session, turn) JOIN kid ON kid.g = ac.g),
+sr AS (SELECT session, turn, nth, g, j, round_even(v / al, 4) AS share, row_number() OVER (PARTITION BY session, turn, g ORDER BY v DESC, j) AS place FROM su WHERE al > 0 AND v / al >= 0.35)"""
+
+
+@R.register(f"""{_TOPICAL}, tp AS (SELECT session, turn, string_agg({_list(TOPICS)}[g] || printf(':%.4f', round_even(x, 4)), ' ' ORDER BY nth) AS topics FROM ac GROUP BY ALL),
+sp AS (SELECT session, turn, string_agg({_list(SUBTOPICS)}[j] || printf(':%.4f', share), ' ' ORDER BY nth, place) AS subtopics FROM sr WHERE place <= 2 GROUP BY ALL)
+SELECT session, turn, CASE WHEN dom > 0 THEN {_list(TOPICS)}[dom] END AS dominant, expired, coalesce(topics, '') AS topics, coalesce(subtopics, '') AS subtopics FROM st LEFT JOIN tp USING (session, turn) LEFT JOIN sp USING (session, turn) WHERE turn > 0""")
+def v6_subtopics(spark, d):
+    """Active general topics after every turn, and the active subtopics of each."""
+    shown = lambda column, name: F.array_join(F.transform(column, lambda t: F.concat(t[name], F.lit(":"), F.format_string("%.4f", t["share"]))), " ")
+    found = conversation.themes(topical_turns(spark, d), RULES)
+    return found.select(F.col("session").cast("long").alias("session"), "turn", "dominant", "expired", shown("topics", "topic").alias("topics"), shown("subtopics", "id").alias("subtopics"))
+
+
+def last_themes(spark: SparkSession, d: str) -> DataFrame:
+    """(session, turn, theme) of every conversation's last turn."""
+    last = conversation.themes(topical_turns(spark, d), RULES).groupBy("session").agg(F.max_by(F.struct("turn", "topics", "subtopics"), "turn").alias("x")).select(F.col("session").cast("long").alias("session"), "x.*")
+    return last.select("session", "turn", conversation.composed(F.transform("topics", lambda t: t["topic"]), conversation.focus_of(F.col("subtopics"))).alias("theme"))
 
-    compose = conversation.compose  # a function travels alone, a module with all it holds
 
-    def phrases(batches):
-        for batch in batches:
-            batch["phrase"] = [compose([names[t["topic"]] for t in topics], {}) for topics in batch["topics"]]
-            yield batch[["session", "phrase"]]
+_ROWS = {r[1]: r for r in hierarchy.taxonomy_rows()}
+_SUBS = {r[5]: r for r in hierarchy.taxonomy_rows()}
+_NAMED = [hierarchy.NAMES.get(x, x.replace("_", " ").title()) for x in TOPICS], [hierarchy.NAMES.get(x, x.replace("_", " ").title()) for x in SUBTOPICS]
+_BROADER = [TOPICS.index(_ROWS[t][3]) + 1 if _ROWS[t][3] else None for t in TOPICS]
+_COMPOSED = f"""{_TOPICAL}, fc AS (SELECT session, turn, g, j FROM sr WHERE place = 1 AND share >= 0.5),
+go AS (SELECT ac.session, ac.turn, list(ac.g ORDER BY nth) AS g, list({_list([_ROWS[t][1] for t in TOPICS])}[ac.g] ORDER BY nth) AS ph, list(coalesce({_list([_SUBS[x][6] for x in SUBTOPICS])}[j], {_list(TOPICS)}[ac.g]) ORDER BY nth) AS sp, coalesce(list({_list(SUBTOPICS)}[j] ORDER BY nth) FILTER (WHERE j IS NOT NULL), []) AS chosen, coalesce(list({_list(_NAMED[1])}[j] ORDER BY nth) FILTER (WHERE j IS NOT NULL), []) AS names FROM ac LEFT JOIN fc ON fc.session = ac.session AND fc.turn = ac.turn AND fc.g = ac.g GROUP BY ALL),
+ix AS (SELECT session, max(turn) AS turn FROM tu GROUP BY 1), al AS (SELECT ix.session, ix.turn, coalesce(g, []) AS g, coalesce(ph, []) AS ph, coalesce(sp, []) AS sp, coalesce(chosen, []) AS chosen, coalesce(names, []) AS names FROM ix LEFT JOIN go USING (session, turn)),
+dm AS (SELECT *, list_filter(range(1, length(g) + 1), lambda i: {_list([_ROWS[t][2] for t in TOPICS])}[g[i]] = 'domain') AS dd, list_filter(range(1, length(g) + 1), lambda i: {_list([_ROWS[t][2] for t in TOPICS])}[g[i]] = 'format') AS ff FROM al),
+nw AS (SELECT *, list_filter(dd, lambda i: coalesce(list_contains(list_transform(dd, lambda k: g[k]), {_list(_BROADER)}[g[i]]), false))[1] AS nar, list_filter(dd, lambda i: g[i] = {TOPICS.index('history') + 1})[1] AS fra FROM dm),
+fd AS (SELECT *, CASE WHEN fra IS NOT NULL THEN list_filter(dd, lambda i: i <> fra)[1] END AS oth, {_list(TOPICS)}[{_list(_BROADER)}[g[nar]]] AS bro FROM nw),
+cp AS (SELECT *, CASE WHEN length(g) = 0 THEN '' WHEN length(g) = 1 THEN sp[1] WHEN length(ff) > 0 AND length(dd) > 0 AND nar IS NOT NULL THEN bro || ' ' || ph[ff[1]] || ' about ' || ph[nar]
+  WHEN length(ff) > 0 AND length(dd) > 0 THEN array_to_string(list_transform(dd[1:2], lambda i: ph[i]), ' and ') || ' ' || ph[ff[1]] WHEN nar IS NOT NULL THEN sp[nar] || ' (' || bro || ')'
+  WHEN oth IS NOT NULL THEN 'history of ' || sp[oth] ELSE array_to_string(list_transform(dd[1:2], lambda i: sp[i]), ' and ') END AS phrase FROM fd),
+cc AS (SELECT *, list_transform(CASE WHEN nar IS NULL THEN dd ELSE [nar] || list_filter(dd, lambda i: i <> nar) END, lambda i: sp[i]) AS cs FROM cp),
+cq AS (SELECT *, list_filter(range(1, length(cs) + 1), lambda i: list_position(cs, cs[i]) = i AND cs[i] <> phrase) AS keep FROM cc), th AS (SELECT *, list_transform(keep, lambda i: cs[i]) AS concepts,
+  CASE WHEN length(g) = 0 THEN '(no theme yet)' WHEN length(g) = 1 AND length(chosen) = 1 THEN {_list(_NAMED[0])}[g[1]] || ' > ' || names[1] ELSE array_to_string(list_transform(g, lambda i: {_list(_NAMED[0])}[i]), ' + ') END AS label FROM cq)"""
 
-    return last.mapInPandas(phrases, "session string, phrase string")
+
+@R.register(f"{_COMPOSED} SELECT session, turn, label, phrase FROM th")
+def q1_phrases(spark, d):
+    """Label and phrase of every conversation's last theme."""
+    return last_themes(spark, d).select("session", "turn", "theme.label", "theme.phrase")
+
+
+@R.register(f"{_COMPOSED} SELECT session, array_to_string(chosen, '|') AS subtopics, array_to_string(concepts, '|') AS concepts FROM th")
+def q2_concepts(spark, d):
+    """The subtopics that stand for topics of every conversation's last theme, and the concepts behind its phrase."""
+    return last_themes(spark, d).select("session", F.array_join("theme.subtopics", "|").alias("subtopics"), F.array_join("theme.concepts", "|").alias("concepts"))
+
+
+_TRIED = "[trim(phrase || ' ' || kw), phrase] || concepts"
+
+
+@R.register(f"""{_COMPOSED}, kd AS (SELECT th.*, coalesce((SELECT array_to_string(list_filter(regexp_extract_all(lower(line), '[a-z]+'), lambda x: length(x) >= 12)[1:1], ' ') FROM tu WHERE tu.session = th.session AND tu.turn = th.turn), '') AS kw FROM th), tr AS (SELECT session, phrase, {_TRIED} AS t FROM kd)
+SELECT session, CASE WHEN phrase = '' THEN '' ELSE array_to_string(list_transform(list_filter(range(1, length(t) + 1), lambda i: list_position(t, t[i]) = i AND t[i] <> ''), lambda i: t[i])[1:4], '|') END AS queries FROM tr""")
+def q4_queries(spark, d):
+    """Queries for every conversation's last theme, with the first long word of the last turn as its keyword."""
+    said = spoken(spark, d).select("session", "turn", F.slice(F.filter("words", lambda w: F.length(w) >= 12), 1, 1).alias("keywords"))
+    rows = last_themes(spark, d).join(said, ["session", "turn"])
+    return rows.select("session", F.array_join(conversation.search_queries(F.col("theme.phrase"), F.col("keywords"), F.col("theme.concepts")), "|").alias("queries"))
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """(session, at, text, status, probs, sub_probs): turns whose scores are flat are uncertain, short ones uninformative."""
+    status = F.when(F.size("words") < 4, "uninformative").when(F.col("weight") > 0, "ok").otherwise("uncertain")
+    return topical_turns(spark, d).select("session", F.col("turn").alias("at"), F.col("line").alias("text"), status.alias("status"), "probs", "sub_probs")
+
+
+@R.register()
+def v8_turns(spark, d):
+    """Every message of every conversation as a session processes it: theme, phrase and queries after it."""
+    words = profile.vocabulary(corpora.delivered(spark, d).where("s = 'train' and g is not null and text is not null"), "passage_id", "text", "g")
+    out = conversation.processed(messages(spark, d), words, RULES)
+    return out.select("session", "turn", "status", "expired", "label", "phrase", F.array_join("concepts", "|").alias("concepts"), F.array_join("queries", "|").alias("queries"))
 
 
 @R.register()
