@@ -235,16 +235,17 @@ def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", 100 * share)
 
 
-#: Patterns of things that plain text should not hold, by name.
+# Patterns of things that plain text should not hold, by name.
 ANOMALIES = {
-    "html": r"<[a-zA-Z/][^>]{0,200}>",
+    "html_tag": r"<[a-zA-Z/][^>]{0,80}>",
     "url": r"https?://|www\.",
-    "mention": r"(^|[^A-Za-z0-9_])@[A-Za-z0-9_]+",
-    "hashtag": r"(^|[^A-Za-z0-9_])#[A-Za-z0-9_]+",
-    "mojibake": "Ã.|â€",
-    "replacement": "\ufffd",
+    "mention": r"(?U)(?<!\w)@\w+",
+    "hashtag": r"(?U)(?<!\w)#\w+",
+    "emoji": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]",
+    "mojibake": "Ã.|â€|Â ",
+    "replacement_char": "\ufffd",
     "non_ascii": r"[^\x00-\x7f]",
-    "latex": r"\\[a-zA-Z]+\{|\{\\displaystyle",
+    "latex": r"\$[^$]+\$|(?U)\\\w+\{",
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.plans.lineage import broadcast_if_few
+
 # The taxonomy, general topics in label order with role, broader topic and
 # their subtopics; phrases are the names but for those given.
 GENERALS = {
@@ -33,6 +35,40 @@ NAMES = {"history_of_science": "History of Science", "football": "Football (Socc
 PERSPECTIVES = {"history": "history of {topic}"}
 
 
+# Category names that no crawl goes through, those of people and bodies, and those of single subtopics.
+EXCLUDED_EVERYWHERE = (
+    "(?i)stubs?$", "(?i)(^|_)lists?(_|$)", "(?i)templates?", "(?i)wikipedia", "(?i)(^|_)images?(_|$)", "(?i)video_games",
+    "(?i)(^|_)portals?(_|$)", "(?i)redirects?", "(?i)disambiguation", "(?i)hidden_categories", "(?i)articles_", "(?i)^works_by_",
+    "(?i)_logos?$", "(?i)(^|_)people(_|$)", "(?i)popular_culture", "(?i)fiction",
+    "(?i)(^|_)(films?|songs?|albums?|television|anime|manga)(_|$)", "(?i)(^|_)(awards?|prizes?)(_|$)", "(?i)recipients_of",
+)
+EXCLUDED_GROUPS = {
+    "science_person": (
+        "(?i)(physicists|chemists|biologists|geneticists|ecologists|astronomers|astrophysicists|mathematicians|scientists|engineers|"
+        "researchers|inventors|people|alumni|awards|prizes|laureates|medalists|academic_journals|journals|periodicals|institutes|"
+        "organizations|organisations|companies|societies|museums|universities|laboratories|conferences|fictional|in_fiction|"
+        "in_popular_culture|films|television|songs|albums|games|toys)",
+    ),
+}
+EXCLUDED_OF = {
+    "quantum_mechanics": ("(?i)quantum_information|quantum_computing|quantum_cryptograph",),
+    "relativity": ("(?i)critics|^Dimension$",),
+    "classical_mechanics": ("(?i)acoustic|(^|_)sound|noise|audio|music|hearing|loudspeaker|microphone",),
+    "periodic_table": ("(?i)predicted_by",),
+    "quantum_computing": ("(?i)post-quantum|companies",),
+    "artificial_intelligence": ("(?i)(^|_)art$|artificial_intelligence_art|conferences|competitions|publications|deaths|existential_risk|regulation",),
+    "scientific_method": ("(?i)techniques|data_analysis|heuristics|religion|dating_methods|evidence-based|hypotheses", "(?i)^research_methods$|scientific_observation"),
+    "history_of_science": ("(?i)by_discipline|natural_history|naturalist|hoax|romantic|librar|museum|expedition|instrument|timeline|measurement|genealog|defunct|former_|books|works_about|organizations",),
+    "science_books": ("(?i)psychology|social_sciences",),
+    "poetry": ("(?i)organizations|publishers|museums|festivals|houses|depictions|characters|aviation",),
+    "world_wars": ("(?i)cultural|media|works_about|(^|_)(art|arts|music|literature|memorials?)(_|$)|controversies", "(?i)science_and_technology_during"),
+    "ancient_history": ("(?i)^historians_of",),
+}
+# The general topics whose subtopics leave out people and bodies, and names of pages that are no articles.
+WITHOUT_PEOPLE = ("physics", "biology", "chemistry", "technology", "science")
+NO_ARTICLE = r"^Category:|^(List|Lists|Index|Outline|Timeline|Glossary)_of_|\(disambiguation\)"
+
+
 class TaxonomyError(ValueError):
     """A taxonomy that is not one."""
 
@@ -86,19 +122,48 @@ def encode_subtopics(subs: Column, generals: dict = GENERALS) -> Column:
     return F.array(*(F.array_contains(subs, s).cast("int") for _, _, group in generals.values() for s in group))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, depth: int, exclude: str | None = None) -> DataFrame:
+def exclusions(generals: dict = GENERALS, everywhere: tuple = EXCLUDED_EVERYWHERE, own: dict = EXCLUDED_OF, groups: dict | None = None) -> list[tuple[str, str]]:
+    """(subtopic, pattern): the union of the patterns for all, for a subtopic, and for the named groups it leaves out.
+
+    groups: subtopic -> names in EXCLUDED_GROUPS; by default those of WITHOUT_PEOPLE.
+    """
+    if groups is None:
+        groups = {s: ("science_person",) for g in WITHOUT_PEOPLE if g in generals for s in generals[g][2]}
+    every = [s for _, _, subs in generals.values() for s in subs]
+    return [(s, p) for s in every for p in dict.fromkeys((*everywhere, *own.get(s, ()), *(p for n in groups.get(s, ()) for p in EXCLUDED_GROUPS[n])))]
+
+
+def is_article(name: Column) -> Column:
+    """Whether a page's name, blanks as underscores, is that of an article: no category, list, index or disambiguation."""
+    return ~name.rlike(NO_ARTICLE)
+
+
+def membership_statistics(membership: DataFrame, deepest: int = 2) -> DataFrame:
+    """(subtopic, articles, depth_0, ...): how many titles each subtopic reaches, and at which least depth."""
+    least = membership.groupBy("title", "subtopic").agg(F.min("depth").alias("depth"))
+    return least.groupBy("subtopic").agg(F.count("*").alias("articles"), *(F.count(F.when(F.col("depth") == k, 1)).alias(f"depth_{k}") for k in range(deepest + 1)))
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, depth: int, exclude: str | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """(seed, node, depth, excluded): nodes reached from each seed over (parent, child) edges, at their least depth.
 
     Breadth first, at most `depth` steps (each one join and one aggregate, no collecting).
-    A node whose name matches `exclude` is recorded and not expanded; seeds are never
-    tested. Cycles and repeated edges do no harm.
+    A node whose name matches `exclude`, or a pattern of its seed in `patterns` (seed,
+    pattern), is recorded and not expanded; seeds are never tested. Cycles and repeated
+    edges do no harm. patterns: a dimension, a list for each seed.
     """
     named = F.col("node").rlike(exclude) if exclude else F.lit(False)
+    if patterns is not None:
+        own = broadcast_if_few(patterns.groupBy("seed").agg(F.collect_set("pattern").alias("_patterns")))
+        named = named | F.exists(F.coalesce("_patterns", F.array().cast("array<string>")), lambda p: F.rlike("node", p))
     found = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("excluded")).distinct()
     level = found
     for step in range(1, depth + 1):
         reached = level.where(~F.col("excluded")).join(edges.select(F.col("parent").alias("node"), "child"), "node").select("seed", F.col("child").alias("node")).distinct()
-        level = reached.join(found, ["seed", "node"], "left_anti").select("seed", "node", F.lit(step).alias("depth"), named.alias("excluded"))
+        new = reached.join(found, ["seed", "node"], "left_anti")
+        if patterns is not None:
+            new = new.join(own, "seed", "left")
+        level = new.select("seed", "node", F.lit(step).alias("depth"), named.alias("excluded"))
         found = found.unionByName(level)
     return found
 

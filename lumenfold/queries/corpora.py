@@ -70,6 +70,44 @@ def c1_crawl(spark, d):
     return found.select("seed", "node", F.col("depth").cast("int").alias("depth"))
 
 
+_PATTERNS = "(VALUES " + ", ".join("('{}', '{}')".format(s, p.replace("'", "''")) for s, p in hierarchy.exclusions()) + ") AS x(subtopic, pattern)"
+
+
+@R.register(f"SELECT subtopic, count(*) AS excluded FROM (SELECT DISTINCT subtopic, title FROM (SELECT DISTINCT replace(title, ' ', '_') AS title FROM articles WHERE title IS NOT NULL) JOIN {_PATTERNS} ON regexp_matches(title, pattern)) GROUP BY subtopic")
+def h5_patterns(spark, d):
+    """How many names in the catalogue a crawl of each subtopic would not go through."""
+    titles = table(spark, d, "articles").where("title is not null").select(F.replace(F.col("title"), F.lit(" "), F.lit("_")).alias("title")).distinct()
+    each: dict[str, list[str]] = {}
+    for sub, pattern in hierarchy.exclusions():
+        each.setdefault(sub, []).append(pattern)
+    hits = F.array_compact(F.array(*(F.when(F.greatest(*(F.col("title").rlike(p) for p in ps)), F.lit(sub)) for sub, ps in each.items())))
+    return titles.select(F.explode(hits).alias("subtopic")).groupBy("subtopic").agg(F.count("*").alias("excluded"))
+
+
+@R.register(f"""WITH RECURSIVE edges AS (SELECT general AS parent, subtopic AS child FROM taxonomy_subtopics UNION SELECT subtopic, replace(title, ' ', '_') FROM {MEMBERS}), pt AS (SELECT DISTINCT general AS seed, pattern FROM taxonomy_subtopics JOIN {_PATTERNS} USING (subtopic)),
+walk AS (SELECT DISTINCT general AS seed, general AS node, 0 AS depth, false AS excluded FROM taxonomy_subtopics UNION SELECT w.seed, child, depth + 1, EXISTS (SELECT 1 FROM pt WHERE pt.seed = w.seed AND regexp_matches(child, pattern)) FROM walk w JOIN edges ON parent = node WHERE depth < 2 AND NOT excluded)
+SELECT seed, excluded, count(*) AS n FROM (SELECT seed, node, bool_or(excluded) AS excluded FROM walk GROUP BY ALL) GROUP BY ALL""")
+def h5_crawl(spark, d):
+    """What a crawl reaches and what it does not go through, each seed with the patterns of its subtopics."""
+    dim = table(spark, d, "taxonomy_subtopics")
+    named = membership(spark, d).select(F.col("subtopic").alias("parent"), F.replace(F.col("title"), F.lit(" "), F.lit("_")).alias("child"))
+    edges = dim.select(F.col("general").alias("parent"), F.col("subtopic").alias("child")).unionByName(named)
+    patterns = spark.createDataFrame(hierarchy.exclusions(), "subtopic string, pattern string").join(dim, "subtopic").select(F.col("general").alias("seed"), "pattern").distinct()
+    return hierarchy.crawl(edges, dim.select(F.col("general").alias("seed")).distinct(), 2, patterns=patterns).groupBy("seed", "excluded").agg(F.count("*").alias("n"))
+
+
+@R.register(r"SELECT wiki_id FROM articles WHERE title IS NOT NULL AND NOT regexp_matches(replace(title, ' ', '_'), '^Category:|^(List|Lists|Index|Outline|Timeline|Glossary)_of_|\(disambiguation\)')")
+def c2_articles(spark, d):
+    """Entries of the catalogue that are articles, not lists, indexes or the like."""
+    return table(spark, d, "articles").where("title is not null").where(hierarchy.is_article(F.replace(F.col("title"), F.lit(" "), F.lit("_")))).select("wiki_id")
+
+
+@R.register(f"SELECT subtopic, count(*) AS articles, count(*) FILTER (WHERE depth = 0) AS depth_0, count(*) FILTER (WHERE depth = 1) AS depth_1, count(*) FILTER (WHERE depth = 2) AS depth_2 FROM {MEMBERS} GROUP BY subtopic")
+def c4_statistics(spark, d):
+    """Articles of each subtopic by depth."""
+    return hierarchy.membership_statistics(membership(spark, d))
+
+
 @R.register(f"""WITH m AS (SELECT * FROM {MEMBERS} JOIN {DIM} USING (subtopic)), b AS (SELECT title, general, min(depth) AS gd FROM m GROUP BY ALL),
 w AS (SELECT title, min(gd) AS best FROM b GROUP BY 1), n AS (SELECT title, best, count(*) AS winners, min(general) AS general FROM b JOIN w USING (title) WHERE gd = best GROUP BY ALL)
 SELECT title, CASE WHEN winners = 1 THEN n.general END AS general, CASE WHEN winners = 1 THEN (SELECT string_agg(subtopic, '|' ORDER BY subtopic) FROM m WHERE m.title = n.title AND m.general = n.general AND (m.depth = best OR m.depth <= 1)) END AS subtopics, best AS depth, winners > 1 AS ambiguous FROM n""")

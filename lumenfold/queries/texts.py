@@ -103,8 +103,14 @@ def t18_length_buckets(spark, d):
     return passages(spark, d).where("text is not null").groupBy(F.lower(F.trim("split")).alias("split"), X.length_bucket(X.word_count(F.col("text"))).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@R.register("SELECT source, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {n}" for n, p in X.ANOMALIES.items() if n not in ("replacement", "non_ascii")) + ", count(*) FILTER (WHERE contains(text, chr(65533))) AS replacement, count(*) FILTER (WHERE strlen(text) <> length(text)) AS non_ascii FROM documents GROUP BY source")
+#: The same patterns in the dialect without look-behind, whose word characters are ASCII only.
+_W = r"[\p{L}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]"
+_PLAIN = X.ANOMALIES | {"mention": f"(^|[^{_W[1:-1]}])@{_W}", "hashtag": f"(^|[^{_W[1:-1]}])#{_W}", "latex": r"\$[^$]+\$|\\" + _W + r"+\{"}
+
+
+@R.register("SELECT source, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}'))" + f" AS {n}" for n, p in _PLAIN.items() if n not in ("replacement_char", "non_ascii")) + ", count(*) FILTER (WHERE contains(text, chr(65533))) AS replacement_char, count(*) FILTER (WHERE strlen(text) <> length(text)) AS non_ascii FROM documents GROUP BY source")
 def t20_anomalies(spark, d):
+    """Texts of each source with markup, addresses, emoji, broken characters and formulas."""
     return table(spark, d, "documents").groupBy("source").agg(*(F.count(F.when(F.col("text").rlike(p), 1)).alias(n) for n, p in X.ANOMALIES.items()))
 
 
