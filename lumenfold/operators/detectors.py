@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.vectors import dot, log_sum_exp, unit
+from lumenfold.operators.evaluation import quantile
 from lumenfold.plans.lineage import cut
 
 
@@ -103,8 +104,8 @@ def mahalanobis_scores(rows: DataFrame, identity: str, vector: str, means: np.nd
 
 
 def quantile_threshold(rows: DataFrame, score: str, keep_out: float = 0.05) -> DataFrame:
-    """(threshold): the exact interpolated quantile."""
-    return rows.agg(F.percentile(score, keep_out).alias("threshold"))
+    """(threshold): the exact interpolated quantile; null if there are no scores."""
+    return quantile(rows, score, [keep_out]).select(F.col("value").alias("threshold"))
 
 
 def accepts_english(words: Column, lexicon: DataFrame, lang: Column, confidence: Column, thresholds: dict[str, float], rows: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def off_topic_report(rows: DataFrame) -> DataFrame:
     offsets = before.select("piece", F.coalesce(F.sum("pi").over(up), F.lit(0)).alias("bi"), F.coalesce(F.sum("po").over(up), F.lit(0)).alias("bo"))
     inner = Window.partitionBy("piece").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = pieces.withColumns({"ci": F.sum("i").over(inner), "co": F.sum("o").over(inner)}).join(F.broadcast(offsets), "piece").select("i", "o", (F.col("ci") + F.col("bi")).alias("ci"), (F.col("co") + F.col("bo")).alias("co"))
-    sizes = rows.agg(F.sum(F.col("inside").cast("long")).alias("n_in"), F.sum((~F.col("inside")).cast("long")).alias("n_ood"), F.expr("percentile(CASE WHEN inside THEN score END, 0.05)").alias("thr"))
+    sizes = rows.agg(F.sum(F.col("inside").cast("long")).alias("n_in"), F.sum((~F.col("inside")).cast("long")).alias("n_ood")).crossJoin(quantile(rows.where("inside"), "score", [0.05]).select(F.col("value").alias("thr")))
     areas = running.agg(F.sum(F.col("i") * (F.col("co") - F.col("o") / 2)).alias("wins"), F.sum(F.when(F.col("o") > 0, F.col("o") * F.col("co") / (F.col("co") + F.col("ci")))).alias("ap"))
     high = rows.crossJoin(F.broadcast(sizes.select("thr"))).agg(F.avg(F.when(~F.col("inside"), (F.col("score") >= F.col("thr")).cast("double"))).alias("fpr_at_95_tpr"))
     return areas.crossJoin(sizes).crossJoin(high).select((F.col("wins") / (F.col("n_in") * F.col("n_ood"))).alias("auroc"), (F.col("ap") / F.col("n_ood")).alias("aupr_ood"), "fpr_at_95_tpr", "n_in", "n_ood")
@@ -161,3 +161,109 @@ def drift(pairs: DataFrame, one: str, two: str) -> DataFrame:
     gap = F.array_max(F.zip_with(F.col(one).cast("array<double>"), F.col(two).cast("array<double>"), lambda x, y: F.abs(x - y)))
     c = cosine(F.col(one), F.col(two))
     return pairs.agg(F.min(c).alias("min_cosine"), F.avg(c).alias("mean_cosine"), F.max(gap).alias("max_difference"))
+
+
+def off_topic_pairs(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """`off_topic_report` of (inside set, outside set) pairs, from (name, score): with columns one, two."""
+    out = None
+    for one, two in pairs:
+        own = rows.where(F.col("name").isin(one, two)).select("score", (F.col("name") == one).alias("inside"))
+        report = off_topic_report(own).select(F.lit(one).alias("one"), F.lit(two).alias("two"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+def section_reports(rows: DataFrame, sections: dict[str, Column], classes: int) -> DataFrame:
+    """(section, metric, value) of `multiclass_report` and, with a column status, of `gate_summary`, for each named filter."""
+    out = None
+    for name, condition in sections.items():
+        own = rows.where(condition)
+        reports = [multiclass_report(own, classes)]
+        if "status" in rows.columns:
+            reports.append(gate_summary(with_decision(own)).drop("n", "accuracy"))
+        for report in reports:
+            entries = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in report.columns))).alias("x")
+            long = report.select(F.lit(name).alias("section"), entries).select("section", "x.*")
+            out = long if out is None else out.unionByName(long)
+    return out
+
+
+def gate_rates(rows: DataFrame, bucket: str) -> DataFrame:
+    """(bucket and `all`: english_accepted, non_english_rejected, balanced_accuracy, n_english, n_non_english) from (english, accepted).
+
+    One pass by grouping sets; rates are null where there are no such rows.
+    """
+    english, accepted = F.col("english"), F.col("accepted").cast("double")
+    grouped = rows.withColumn("_b", F.col(bucket)).groupingSets([["_b"], []], "_b").agg(
+        F.grouping_id().alias("_id"),
+        F.avg(F.when(english, accepted)).alias("english_accepted"),
+        F.avg(F.when(~english, 1 - accepted)).alias("non_english_rejected"),
+        F.count(F.when(english, 1)).alias("n_english"),
+        F.count(F.when(~english, 1)).alias("n_non_english"),
+    )
+    both = (F.col("english_accepted") + F.col("non_english_rejected")) / 2
+    return grouped.select(F.when(F.col("_id") == 1, "all").otherwise(F.col("_b")).alias(bucket), "english_accepted", "non_english_rejected", both.alias("balanced_accuracy"), "n_english", "n_non_english")
+
+
+def accepted_cases(found: DataFrame, cases: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(case, steps, passed, ok): of each case (key, case, expected) how many steps have the expected value; missing steps fail, nulls may be expected."""
+    met = cases.join(found.select(*key, F.col(column).alias("_found"), F.lit(True).alias("_there")), key, "left")
+    hit = F.coalesce(F.col("_there"), F.lit(False)) & F.col("_found").eqNullSafe(F.col("expected"))
+    return met.groupBy("case").agg(F.count("*").alias("steps"), F.sum(hit.cast("long")).alias("passed"), F.bool_and(hit).alias("ok"))
+
+
+def threshold_sweep(rows: DataFrame, grid: list[float], labels: int, decide) -> DataFrame:
+    """(threshold, micro_f1, macro_f1, samples_f1) of the decisions decide(threshold) about `truth`; one aggregate for all thresholds."""
+    sums = []
+    for k, t in enumerate(grid):
+        chosen = decide(t)
+        both = F.zip_with(chosen, F.col("truth"), lambda c, y: (c * y).cast("double"))
+        size = F.zip_with(chosen, F.col("truth"), lambda c, y: (c + y).cast("double"))
+        sums.append(F.avg(F.coalesce(F.try_divide(2 * total(both), total(size)), F.lit(0.0))).alias(f"f{k}"))
+        for j in range(labels):
+            sums += [F.sum(both[j]).alias(f"h{k}_{j}"), F.sum(size[j]).alias(f"s{k}_{j}")]
+    one = rows.agg(*sums)
+    points = []
+    for k, t in enumerate(grid):
+        h, s = ([F.col(f"{x}{k}_{j}") for j in range(labels)] for x in "hs")
+        f1 = [F.coalesce(F.try_divide(2 * a, b), F.lit(0.0)) for a, b in zip(h, s)]
+        points.append(F.struct(F.lit(t).alias("threshold"), F.coalesce(F.try_divide(2 * sum(h[1:], h[0]), sum(s[1:], s[0])), F.lit(0.0)).alias("micro_f1"), (sum(f1[1:], f1[0]) / labels).alias("macro_f1"), F.col(f"f{k}").alias("samples_f1")))
+    return one.select(F.explode(F.array(*points)).alias("p")).select("p.*")
+
+
+def best_by(rows: DataFrame, group: list[str], metric: str, ties: list[str]) -> DataFrame:
+    """The row of each group with the largest `metric`; ties go to the smallest of `ties`."""
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*(group or [F.lit(1)])).orderBy(F.desc(metric), *ties)))
+    return ranked.where(F.col("_r") == 1).drop("_r")
+
+
+def chosen(rows: DataFrame, first: str, tolerance: float, second: str, ties: list[str]) -> DataFrame:
+    """`rows` with `chosen`: of those within `tolerance` of the best `first`, the one of the best `second`; ties to the smallest of `ties`.
+
+    rows: one row a candidate, a report.
+    """
+    top = rows.agg(F.max(first).alias("_top"))
+    close = rows.crossJoin(F.broadcast(top)).withColumn("_close", F.col(first) >= F.col("_top") - tolerance)
+    place = F.row_number().over(Window.orderBy(F.desc("_close"), F.desc(F.when(F.col("_close"), F.col(second))), *ties))
+    return close.withColumn("chosen", F.col("_close") & (place == 1)).drop("_top", "_close")
+
+
+def quantile(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """(share, value): exact interpolated quantiles of the values that are not null.
+
+    Values are counted first; running counts go over ranges of values, so no task holds all
+    distinct ones. No values give nulls.
+    """
+    at = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    pieces = cut(at.repartitionByRange("v").withColumn("piece", F.spark_partition_id()))
+    sizes = pieces.groupBy("piece").agg(F.sum("n").alias("pn"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("pn").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("piece", "before")
+    inner = Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = pieces.withColumn("c", F.sum("n").over(inner)).join(F.broadcast(offsets), "piece").select("v", "n", (F.col("c") + F.col("before")).alias("c"))
+    wanted = sizes.agg(F.sum("pn").alias("all")).select("all", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("place", F.col("share") * (F.col("all") - 1))
+    # The values at the places below and above, counted from 0; a value covers the places c - n up to c - 1.
+    covers = lambda k: (F.col("c") > k) & (F.col("c") - F.col("n") <= k)
+    low, high = F.floor("place"), F.ceil("place")
+    met = running.crossJoin(F.broadcast(wanted)).groupBy("share").agg(F.max(F.when(covers(low), F.col("v"))).alias("low"), F.max(F.when(covers(high), F.col("v"))).alias("high"), F.max(F.col("place") - low).alias("part"))
+    all_ = rows.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
+    return all_.join(F.broadcast(met), "share", "left").select("share", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value"))

@@ -57,6 +57,41 @@ def fit_multilabel(rows: DataFrame, features: str, target: str, labels: int, c:
     return out
 
 
+def first_positive(target: Column) -> Column:
+    """The 0-based place of the first 1 of an array of 0 and 1; 0 if there is none."""
+    return argmax(target)
+
+
+def fit_flat(rows: DataFrame, features: str, target: str, labels: int, c: float, iterations: int = 200) -> Softmax:
+    """One softmax over all labels, the class of a row being its first positive one; labels never first get -Infinity."""
+    return fit_softmax(rows.select(features, first_positive(F.col(target)).alias("y")), features, "y", c, labels, iterations)
+
+
+def head_plan(rows: DataFrame, general: str, target: str, parents: list[int]) -> DataFrame:
+    """(general, label, n, positives, fitted): the rows each label's head within its general topic would learn from.
+
+    A head is fitted only where some rows of the general topic have the label and some do not. One aggregate.
+    """
+    sums = rows.where(F.col(general).isNotNull()).groupBy(F.col(general).alias("general")).agg(F.count("*").alias("n"), *(F.sum(F.col(target)[j].cast("long")).alias(f"p{j}") for j in range(len(parents))))
+    each = F.explode(F.array(*(F.struct(F.lit(g).alias("of"), F.lit(j).alias("label"), F.col(f"p{j}").alias("positives")) for j, g in enumerate(parents)))).alias("x")
+    long = sums.select("general", "n", each).where(F.col("x.of") == F.col("general"))
+    return long.select("general", "x.label", "n", "x.positives", ((F.col("x.positives") > 0) & (F.col("x.positives") < F.col("n"))).alias("fitted"))
+
+
+def fit_hierarchical(rows: DataFrame, features: str, general: str, target: str, parents: list[int], c: float) -> dict[int, Softmax]:
+    """A two-class head for each label, fitted on the rows of its general topic only; labels without both classes there have none."""
+    plan = sorted((r.general, r.label) for r in head_plan(rows, general, target, parents).where("fitted").toLocalIterator())  # one row a label at most
+    out = {}
+    for g, j in plan:
+        out[j] = fit_softmax(rows.where(F.col(general) == g).select(features, F.col(target)[j].alias("y")), features, "y", c, 2)
+    return out
+
+
+def similarity_probs(similarities: Column, sharpness: float = 0.05) -> Column:
+    """Probabilities of labels from the cosines with their descriptions."""
+    return softmax(similarities, sharpness)
+
+
 def multilabel_probs(heads: dict[int, Softmax], features: Column, labels: int) -> Column:
     return F.array(*(softmax(heads[j].logits(features))[1] if j in heads else F.lit(0.0) for j in range(labels)))
 
@@ -67,7 +102,7 @@ def fit_alternative(kind: str, rows: DataFrame, features: str, y: str):
     if kind == "majority":
         return rows.groupBy(y).count().orderBy(F.desc("count"), y).first()[y]
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=15)).fit(ready)
+        return OneVsRest(classifier=LinearSVC(maxIter=50)).fit(ready)
     return NaiveBayes(modelType={"naive_bayes": "multinomial", "complement_naive_bayes": "complement"}[kind]).fit(ready)
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
+from lumenfold.operators.evaluation import quantile
 
 
 def text_profile(rows: DataFrame) -> DataFrame:
     """One row: counts of rows, nulls and distinct texts, median and 95th percentile of words."""
     words = X.word_count(F.when(F.trim("text") != "", F.col("text"))).cast("double")
-    return rows.agg(
-        F.count("*").alias("rows"),
-        *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{n}") for c, n in (("text", "text"), ("title", "title"), ("g", "general"), ("s", "split"))),
-        F.count_distinct("text").alias("distinct_text"),
-        *(F.round(F.percentile(words, q), 6).alias(n) for q, n in ((0.5, "median_words"), (0.95, "p95_words"))),
-    )
+    counts = rows.agg(F.count("*").alias("rows"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(f"null_{n}") for c, n in (("text", "text"), ("title", "title"), ("g", "general"), ("s", "split"))))
+    distinct = rows.where("text is not null").select(F.sha2("text", 256).alias("k")).distinct().agg(F.count("*").alias("distinct_text"))
+    found = quantile(rows.select(words.alias("words")), "words", [0.5, 0.95]).agg(*(F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 6).alias(n) for q, n in ((0.5, "median_words"), (0.95, "p95_words"))))
+    return counts.crossJoin(distinct).crossJoin(found)
 
 
 def top_tokens(rows: DataFrame, group: str, text: str, n: int) -> DataFrame:
@@ -59,7 +58,7 @@ def vocabulary(rows: DataFrame, identity: str, text: str, label: str, least: int
 def hashed_vectors(rows: DataFrame, identity: str, text: str, slots: int = 4096) -> DataFrame:
     """(id, slot, x): unit vectors of word counts, a word's slot being the end of its MD5; slots a power of 16."""
     digits = {16: 1, 256: 2, 4096: 3, 65536: 4}[slots]
-    words = rows.select(identity, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)).alias("w"))
-    counted = words.groupBy(identity, F.conv(F.substring(F.md5("w"), -digits, digits), 16, 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
-    norms = counted.groupBy(identity).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counted.join(norms, identity).select(identity, "slot", (F.col("n") / F.col("norm")).alias("x"))
+    words = rows.select(F.col(identity).alias("_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)).alias("w"))
+    counted = words.groupBy("_id", F.conv(F.substring(F.md5("w"), -digits, digits), 16, 10).cast("long").alias("slot")).agg(F.count("*").alias("n"))
+    norms = counted.groupBy("_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counted.join(norms, "_id").select(F.col("_id").alias(identity), "slot", (F.col("n") / F.col("norm")).alias("x"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
-from lumenfold.operators import detectors, evaluation, heads, hierarchy
+from lumenfold.operators import detectors, evaluation, heads, hierarchy, profile
 from lumenfold.plans import topic_model
 from lumenfold.plans.lineage import cut
 from lumenfold.queries import Registry, corpora
@@ -269,6 +269,179 @@ def x5_gate_recalls(spark, d):
     """How many of the other classes each quantile of the known ones rejects."""
     rows = evaluation.with_decision(predictions(spark, d)).select((F.col("y") < 7).alias("inside"), "conf")
     ks = [0.01, 0.05, 0.1]
-    limits = rows.where("inside").agg(F.percentile("conf", F.array(*map(F.lit, ks))).alias("t")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, ks)).alias("keep_out"), F.col("t").alias("threshold"))).alias("x")).select("x.*")
+    limits = evaluation.quantile(rows.where("inside"), "conf", ks).select(F.col("share").alias("keep_out"), F.col("value").alias("threshold"))
     other = rows.where("not inside").crossJoin(F.broadcast(limits))
     return other.groupBy("keep_out", "threshold").agg(F.round(F.avg((F.col("conf") < F.col("threshold")).cast("double")), 6).alias("recall")).select("keep_out", F.round("threshold", 6).alias("threshold"), "recall")
+
+
+_POSITIVE = "coalesce(nullif(list_position(y, 1), 0), 1) - 1"
+
+
+@R.register(f"WITH {_MULTI} SELECT ({_POSITIVE})::BIGINT AS label, count(*) AS n FROM b GROUP BY 1")
+def m16_first_positive(spark, d):
+    """The classes that a flat head over labels learns."""
+    return labelled(spark, d).groupBy(heads.first_positive(F.col("y")).cast("long").alias("label")).agg(F.count("*").alias("n"))
+
+
+_GROUPS = [j % 3 for j in range(12)]
+
+
+@R.register(f"WITH {_MULTI}, x AS (SELECT e.label % 3 AS g, b.y FROM b JOIN embeddings e USING (vec_id)), k AS (SELECT unnest(range(0, 12)) AS j, unnest({_GROUPS}) AS g) SELECT k.g::BIGINT AS general, k.j AS label, count(*) AS n, CAST(sum(y[k.j + 1]) AS BIGINT) AS positives, sum(y[k.j + 1]) > 0 AND sum(y[k.j + 1]) < count(*) AS fitted FROM x JOIN k USING (g) GROUP BY ALL")
+def m18_grouped_heads(spark, d):
+    """The rows that each label's head learns from, within its general topic."""
+    rows = labelled(spark, d).join(table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("g")), "vec_id")
+    return heads.head_plan(rows, "g", "y", _GROUPS).select(F.col("general").cast("long").alias("general"), F.col("label").cast("long").alias("label"), "n", "positives", "fitted")
+
+
+_DESCRIBED = [(g, f"{g.title()}: a text about {g.replace('_', ' ')}, including " + ", ".join(r[6] for r in hierarchy.taxonomy_rows() if r[1] == g) + ".") for g in hierarchy.GENERALS]
+_SLOT = "strpos('0123456789abcdef', md5(w)[30:30]) * 256 - 256 + strpos('0123456789abcdef', md5(w)[31:31]) * 16 - 16 + strpos('0123456789abcdef', md5(w)[32:32]) - 1"
+_HASHED = f"SELECT id, slot, count(*) / sqrt(sum(count(*) * count(*)) OVER (PARTITION BY id)) AS x FROM (SELECT id, {_SLOT} AS slot FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {{0}})) GROUP BY id, slot"
+
+
+@R.register(f"""WITH t AS ({_HASHED.format("(SELECT item_id AS id, text FROM heldout_items)")}), l AS ({_HASHED.format("(VALUES " + ", ".join(f"({n}, '{text}')" for n, (_, text) in enumerate(_DESCRIBED)) + ") AS v(id, text)")}),
+i AS (SELECT item_id AS id, n FROM heldout_items, (SELECT unnest(range(0, 8)) AS n)), c AS (SELECT i.id, i.n, coalesce(sum(t.x * l.x), 0) AS c FROM i LEFT JOIN t ON t.id = i.id LEFT JOIN l ON l.id = i.n AND l.slot = t.slot GROUP BY ALL),
+e AS (SELECT *, exp((c - max(c) OVER (PARTITION BY id)) / 0.05) AS e FROM c) SELECT id AS item_id, n AS label, round(e / sum(e) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS p FROM e""")
+def m10_label_similarity(spark, d):
+    """Zero-shot probabilities of the general topics of held-out texts, by the cosine with a sentence that describes each."""
+    labels = profile.hashed_vectors(spark.createDataFrame(list(enumerate(t for _, t in _DESCRIBED)), "n long, text string"), "n", "text").select("n", "slot", F.col("x").alias("y"))
+    items = table(spark, d, "heldout_items").select("item_id", "text")
+    dots = profile.hashed_vectors(items, "item_id", "text").join(F.broadcast(labels), "slot").groupBy("item_id", "n").agg(F.sum(F.col("x") * F.col("y")).alias("c"))  # eight descriptions
+    mapped = dots.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "c"))).alias("m"))
+    cosines = F.transform(F.sequence(F.lit(0), F.lit(len(_DESCRIBED) - 1)), lambda n: F.coalesce(F.try_element_at("m", n.cast("long")), F.lit(0.0)))
+    probs = items.select("item_id").join(mapped, "item_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<bigint,double>"))).select("item_id", heads.similarity_probs(cosines).alias("p"))
+    return probs.select("item_id", F.posexplode("p").alias("label", "p")).select("item_id", F.col("label").cast("long").alias("label"), F.round("p", 6).alias("p"))
+
+
+_NAMES = "CASE WHEN y < 5 THEN 'known' WHEN y < 7 THEN 'near' ELSE 'far' END"
+_PAIRS = [("known", "near"), ("known", "far")]
+
+def _pair_sql(one: str, two: str) -> str:
+    return f"""SELECT * FROM (WITH s AS (SELECT round(conf, 9) AS score, name = '{one}' AS inside FROM nm WHERE name IN ('{one}', '{two}')), g AS (SELECT score, count(*) FILTER (WHERE inside) AS i, count(*) FILTER (WHERE NOT inside) AS o FROM s GROUP BY 1), c AS (SELECT *, sum(i) OVER (ORDER BY score) AS ci, sum(o) OVER (ORDER BY score) AS co FROM g),
+z AS (SELECT count(*) FILTER (WHERE inside) AS n_in, count(*) FILTER (WHERE NOT inside) AS n_ood, quantile_cont(score, 0.05) FILTER (WHERE inside) AS thr FROM s)
+SELECT '{one}' AS one, '{two}' AS two, (SELECT round(sum(i * (co - o / 2)) / any_value(n_in * n_ood), 6) FROM c, z) AS auroc, (SELECT round(sum(o * co / (co + ci)) FILTER (WHERE o > 0) / any_value(n_ood), 6) FROM c, z) AS aupr_ood, (SELECT round(avg(CASE WHEN score >= thr THEN 1 ELSE 0 END), 6) FROM s, z WHERE NOT inside) AS fpr_at_95_tpr, n_in, n_ood FROM z)"""
+
+
+@R.register(f"WITH {_PRED}, nm AS (SELECT conf, {_NAMES} AS name FROM dec) " + " UNION ALL ".join(_pair_sql(*p) for p in _PAIRS))
+def e6_pairs(spark, d):
+    """How well the confidence tells one set of classes from each of two others."""
+    rows = evaluation.with_decision(predictions(spark, d)).select(F.round("conf", 9).alias("score"), F.when(F.col("y") < 5, "known").when(F.col("y") < 7, "near").otherwise("far").alias("name"))
+    return evaluation.off_topic_pairs(rows, _PAIRS).select("one", "two", *(F.round(c, 6).alias(c) for c in ("auroc", "aupr_ood", "fpr_at_95_tpr")), "n_in", "n_ood")
+
+
+@R.register(R.sql["e4_multilabel"].replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT vec_id FROM dec WHERE hit = 1))", 1).replace("WITH ", f"WITH {_PRED}, ", 1))
+def e7_given_correct(spark, d):
+    """The multilabel report of the vectors whose class is predicted right."""
+    right = evaluation.with_decision(predictions(spark, d)).where("hit = 1").select("vec_id")
+    report = evaluation.multilabel_report(labelled(spark, d).join(right, "vec_id", "left_semi"), 12)
+    return report.select("n", "labels_supported", *(F.round(c, 6).alias(c) for c in ("micro_f1", "samples_f1", "hamming_loss", "subset_accuracy", "precision_at_1", "recall_at_3", "macro_f1", "macro_f1_supported", "weighted_f1")))
+
+
+_METRICS = ("accuracy", "log_loss", "brier", "ok_rate", "uncertain_rate", "answered_accuracy")
+_SECTION = f"(SELECT section, count(*)::DOUBLE AS n, avg(hit) AS accuracy, avg(-ln(greatest(least(probs[y + 1], 1.0), 1e-12))) AS log_loss, avg(list_sum(list_transform(range(0, 10), lambda i: (probs[i + 1] - CASE WHEN i = y THEN 1 ELSE 0 END) ** 2))) AS brier, avg(CASE WHEN conf >= 0.3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS ok_rate, avg(CASE WHEN conf < 0.3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS uncertain_rate, avg(hit) FILTER (WHERE conf >= 0.3) AS answered_accuracy FROM (SELECT *, unnest(CASE WHEN vec_id % 2 = 0 THEN ['dev', 'all'] ELSE ['locked', 'all'] END) AS section FROM dec) GROUP BY 1)"
+
+
+@R.register(f"WITH {_PRED}, r AS {_SECTION} " + " UNION ALL ".join(f"SELECT section, '{m}' AS metric, round({m}, 6) AS value FROM r" for m in ("n", *_METRICS)))
+def e15_sections(spark, d):
+    """Reports of the stages' sections, one value a row."""
+    rows = predictions(spark, d).withColumn("status", F.when(F.array_max("probs") < 0.3, "uncertain").otherwise("ok"))
+    sections = {"all": F.lit(True), "dev": F.col("vec_id") % 2 == 0, "locked": F.col("vec_id") % 2 == 1}
+    found = evaluation.section_reports(rows, sections, CLASSES).where(F.col("metric").isin("n", *_METRICS))
+    return found.select("section", "metric", F.round("value", 6).alias("value"))
+
+
+_SWEEP = [0.1, 0.2, 0.3, 0.4, 0.5]
+
+
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    """(within, top, truth): a vector's true subtopics are two that its label names."""
+    rows = subtopic_probs(spark, d).withColumn("top", V.argmax(F.col("general")))
+    truth = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda j: ((j == F.col("label") * 2) | (j == F.col("label") * 2 + 1)).cast("int"))
+    return rows.join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id").select("within", "top", truth.alias("truth"))
+
+
+_SWEPT = f"""{_SUBS}, best AS (SELECT vec_id, arg_max(g, (pg, -g)) AS top FROM lg GROUP BY 1), own AS (SELECT lg.vec_id, lg.label, j, CASE WHEN g = top THEN p / greatest(pg, 1e-12) ELSE -1 END AS w FROM lg JOIN best USING (vec_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, j) AS r FROM own), dc AS (SELECT vec_id, j, t, CASE WHEN r = 1 OR w >= t THEN 1 ELSE 0 END AS c, CASE WHEN j IN (label * 2, label * 2 + 1) THEN 1 ELSE 0 END AS y FROM rk, (SELECT unnest({_SWEEP})::DOUBLE AS t)),
+lb AS (SELECT t, j, sum(c * y) AS h, sum(c + y) AS s FROM dc GROUP BY ALL), sm AS (SELECT t, avg(f) AS samples_f1 FROM (SELECT t, vec_id, coalesce(2 * sum(c * y) / nullif(sum(c + y), 0), 0) AS f FROM dc GROUP BY ALL) GROUP BY t),
+sw AS (SELECT t AS threshold, 2 * sum(h) / sum(s) AS micro_f1, avg(coalesce(2 * h / nullif(s, 0), 0)) AS macro_f1, any_value(samples_f1) AS samples_f1 FROM lb JOIN sm USING (t) GROUP BY t)"""
+
+
+@R.register(f"WITH {_SWEPT} SELECT threshold, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1, round(samples_f1, 6) AS samples_f1, threshold = (SELECT arg_max(threshold, (round(macro_f1, 6), -threshold)) FROM sw) AS best FROM sw")
+def x2_sweep(spark, d):
+    """F1 of the subtopics at each threshold, and the threshold of the best macro F1."""
+    rows = swept(spark, d)
+    found = evaluation.threshold_sweep(rows, _SWEEP, 28, lambda t: heads.decide_subtopics(F.col("within"), hierarchy.parents(), F.col("top"), t))
+    rounded = found.select("threshold", *(F.round(c, 6).alias(c) for c in ("micro_f1", "macro_f1", "samples_f1")))
+    best = evaluation.best_by(rounded, [], "macro_f1", ["threshold"]).select(F.col("threshold").alias("best"))
+    return rounded.crossJoin(F.broadcast(best)).withColumn("best", F.col("threshold") == F.col("best"))
+
+
+def _at(offset: int, sharpness: float) -> str:
+    return f"SELECT {offset} AS feature, {sharpness}::DOUBLE AS head, avg(CASE WHEN list_position(l, list_max(l)) - 1 = y THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy, avg(ln(list_sum(list_transform(l, lambda x: exp({sharpness} * (x - l[y + 1])))))) AS log_loss FROM (SELECT label AS y, list_transform(embedding[{offset}:{offset + 9}], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)"
+
+
+_CHOICES = [(offset, sharp) for offset in (1, 11, 21) for sharp in (1.0, 5.0)]
+
+
+def benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, head, accuracy, log_loss) of a grid of ten coordinates each and of how sharp they are taken; one aggregate."""
+    aggs = []
+    for k, (offset, sharp) in enumerate(_CHOICES):
+        logits = F.slice("x", offset, 10)
+        probs = V.softmax(logits, 1.0 / sharp)
+        aggs += [F.avg((V.argmax(logits) == F.col("label")).cast("double")).alias(f"a{k}"), F.avg(-F.log(probs[F.col("label")])).alias(f"l{k}")]
+    points = F.array(*(F.struct(F.lit(o).alias("feature"), F.lit(s).alias("head"), F.col(f"a{k}").alias("accuracy"), F.col(f"l{k}").alias("log_loss")) for k, (o, s) in enumerate(_CHOICES)))
+    return embeddings(spark, d).agg(*aggs).select(F.explode(points).alias("p")).select("p.*")
+
+
+@R.register("WITH g AS (" + " UNION ALL ".join(_at(*c) for c in _CHOICES) + ") SELECT head, feature, round(accuracy, 6) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY round(accuracy, 9) DESC, feature) AS r FROM g) WHERE r = 1")
+def x1_best(spark, d):
+    """The best features for each head of a grid."""
+    best = evaluation.best_by(benchmark(spark, d).withColumn("accuracy", F.round("accuracy", 9)), ["head"], "accuracy", ["feature"])
+    return best.select("head", "feature", F.round("accuracy", 6).alias("accuracy"))
+
+
+@R.register("WITH g AS (" + " UNION ALL ".join(_at(*c) for c in _CHOICES) + "), k AS (SELECT *, round(accuracy, 9) >= (SELECT max(round(accuracy, 9)) FROM g) - 0.02 AS near FROM g) SELECT feature, head, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, near AND row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN round(-log_loss, 9) END DESC NULLS LAST, feature, head) = 1 AS chosen FROM k")
+def x6_choice(spark, d):
+    """The grid with its choice: of those within 0.02 of the best accuracy the one of the least loss."""
+    rows = benchmark(spark, d).withColumn("accuracy", F.round("accuracy", 9)).withColumn("gain", F.round(-F.col("log_loss"), 9))
+    found = evaluation.chosen(rows, "accuracy", 0.02, "gain", ["feature", "head"])
+    return found.select("feature", "head", F.round("accuracy", 6).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"), "chosen")
+
+
+_STAGES = (1.0, 1.5)
+_WARM = "l AS (SELECT vec_id, label AS y, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10 / {0}) AS l FROM embeddings)"
+
+
+def _stage_sql(t: float) -> str:
+    pred = _PRED.replace(_PRED[: _PRED.index("ex AS")], _WARM.format(t) + ",\n", 1)
+    bins = _BINS.format(n=15)
+    return f"SELECT * FROM (WITH {pred} SELECT {t}::DOUBLE AS temperature, (SELECT round(sum(n * abs(a - c)) / sum(n), 6) FROM (SELECT bin, count(*) AS n, avg(hit) AS a, avg(conf) AS c FROM {bins} GROUP BY bin)) AS ece, round(avg(-ln(greatest(probs[y + 1], 1e-12))), 6) AS log_loss, round(avg(hit), 6) AS accuracy FROM dec)"
+
+
+@R.register(" UNION ALL ".join(_stage_sql(t) for t in _STAGES))
+def x3_calibration(spark, d):
+    """Calibration error and loss before and after a temperature."""
+    out = None
+    for t in _STAGES:
+        rows = predictions(spark, d).select("vec_id", "y", V.softmax(F.col("logits"), t).alias("probs"))
+        one = evaluation.multiclass_report(rows, CLASSES).select(F.lit(t).alias("temperature"), *(F.round(c, 6).alias(c) for c in ("ece", "log_loss", "accuracy")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _detector_sql(name: str, score: str) -> str:
+    return f"SELECT * FROM (WITH s AS (SELECT round({score}, 9) AS score, y < 7 AS inside FROM dec), g AS (SELECT score, count(*) FILTER (WHERE inside) AS i, count(*) FILTER (WHERE NOT inside) AS o FROM s GROUP BY 1), c AS (SELECT *, sum(o) OVER (ORDER BY score) AS co FROM g), z AS (SELECT count(*) FILTER (WHERE inside) AS n_in, count(*) FILTER (WHERE NOT inside) AS n_ood, quantile_cont(score, 0.05) FILTER (WHERE inside) AS thr FROM s) SELECT '{name}' AS detector, (SELECT round(sum(i * (co - o / 2)) / any_value(n_in * n_ood), 6) FROM c, z) AS auroc, (SELECT round(avg(CASE WHEN score < thr THEN 1 ELSE 0 END), 6) FROM s, z WHERE NOT inside) AS recall)"
+
+
+_ENERGY = "list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))))"
+
+
+@R.register(f"WITH {_PRED}, r AS ({_detector_sql('msp', 'conf')} UNION ALL {_detector_sql('energy', _ENERGY)}), k AS (SELECT *, auroc >= (SELECT max(auroc) FROM r) - 0.01 AS near FROM r) SELECT detector, auroc, recall, near AND row_number() OVER (ORDER BY near DESC, CASE WHEN near THEN recall END DESC NULLS LAST, detector) = 1 AS chosen FROM k")
+def x7_detectors(spark, d):
+    """Two detectors of unknown classes, and the choice among those of about the best AUROC: that of the best recall."""
+    rows, out = evaluation.with_decision(predictions(spark, d)), None
+    for name, score in (("msp", F.col("conf")), ("energy", detectors.energy(F.col("logits"), 1.0))):
+        one = evaluation.off_topic_report(rows.select(F.round(score, 9).alias("score"), (F.col("y") < 7).alias("inside")))
+        one = one.select(F.lit(name).alias("detector"), F.round("auroc", 6).alias("auroc"), F.round(1 - F.col("fpr_at_95_tpr"), 6).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return evaluation.chosen(out, "auroc", 0.01, "recall", ["detector"])
