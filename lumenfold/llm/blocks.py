@@ -1,12 +1,17 @@
-"""Exchange of fixed-width records in packed blocks.
+"""Exchange of fixed-width records in packed blocks, and the pairs of records that share a key.
 
 Similarity operators send tens of small records for each row to the task that owns the
 record's key. As rows of their own these would cost the JVM more than the comparison
 does, so each task packs the records that go to one bucket into one binary value, and
 Spark shuffles those. Keys are spread over `BUCKETS_A_PARTITION` buckets for each
-shuffle partition. Records of one key meet in one bucket; if a key has more than `HOT`
-records (one key may hold a third of all rows), its records are cut into tiles of `HOT`,
-and the pairs of tiles are shared out over all tasks in a second exchange.
+shuffle partition, each a partition of its own. Records of one key meet in one bucket.
+
+A hot key (one key may hold a third of all rows) is never held by one task. A writer that
+has many records of a key at a time cuts them into tiles of bounded size right away, which
+go to any task, and tells the key's bucket so by a mark; the bucket makes tiles of the few
+records that came to it one by one. All tiles of a key are numbered, and each is sent to
+the cells of a triangle that its number is in, so every pair of tiles meets in some task
+that holds just these two.
 """
 
 from __future__ import annotations
@@ -15,33 +20,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.plans.lineage import shuffle_partitions
+from lumenfold.plans.lineage import broadcast_if_few, cut, shuffle_partitions
 
 BUCKETS_A_PARTITION = 4
+#: Records of a key in one bucket from which it is cut into tiles, and the size of those.
 HOT = 2048
+#: Records of a key, of all that a writer holds, from which the writer makes tiles.
+LOCAL = 1024
 #: Records that a task gathers before it packs them.
 GATHER = 1_500_000
 #: Pairs that a task compares at a time.
 PORTION = 1 << 19
-BLOCK = pa.schema([("bucket", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
-BLOCK_SQL = "bucket int, left binary, right binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("hot", pa.int64()), ("tile", pa.int64()), ("records", pa.binary())])
+BLOCK_SQL = "bucket int, hot long, tile long, records binary"
 
 
 def split(records: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The records of each bucket."""
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    begins, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]
-    for a, b in zip(begins, ends):
-        if b > a:
-            yield int(bucket[a]), records[a:b]
+    for i, n in zip(*(x.tolist() for x in runs(bucket))):
+        yield int(bucket[i]), records[i : i + n]
 
 
-def blocks(rows: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
+Row = tuple[int, int | None, int | None, bytes | None]
+
+
+def blocks(rows: list[Row]) -> pa.RecordBatch:
+    """Rows of a bucket's records (hot, tile null), of a tile, or of a mark that a key is hot (tile, records null)."""
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BLOCK.types)] if rows else [pa.array([], t) for t in BLOCK.types], schema=BLOCK)
 
 
@@ -57,17 +67,48 @@ def unsqueeze(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype)
 
 
-def packed(parts: Iterator[np.ndarray], key: str, buckets: int, gather: int = GATHER, compress: bool = False) -> Iterator[pa.RecordBatch]:
-    """Blocks of the records of `parts`, by the bucket of their key."""
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of equal values in the sorted `keys`."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return begin, np.diff(np.concatenate((begin, [len(keys)])))
+
+
+class Tiles:
+    """Rows for the tiles that a task makes, numbered alike whenever it runs."""
+
+    def __init__(self, size: int, stage: int):
+        self.size, self.next = size, (stage << 60) | (TaskContext.get().partitionId() << 32)
+
+    def of(self, key: int, records: np.ndarray, partitions: int) -> list[Row]:
+        out = []
+        for x in range(0, len(records), self.size):
+            out.append(((self.next * 0x9E3779B1 >> 7) % partitions, key, self.next, squeeze(records[x : x + self.size])))
+            self.next += 1
+        return out
+
+
+def packed(parts: Iterator[np.ndarray], key: str, buckets: int, gather: int = GATHER, compress: bool = False, local: int | None = None, tile: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Blocks of the records of `parts`, by the bucket of their key; tiles of keys that `local` records at hand share."""
     held: list[np.ndarray] = []
-    size = 0
+    size, tiles = 0, Tiles(tile or HOT, 0)
 
     def flush() -> pa.RecordBatch:
         records = np.concatenate(held)
         held.clear()
-        if compress:  # sorted keys compress
-            records = records[np.argsort(records[key])]
-        return blocks([(b, squeeze(r) if compress else r.tobytes(), None) for b, r in split(records, bucket_of(records[key], buckets))])
+        records = records[np.argsort(records[key], kind="stable")]  # sorted keys compress, too
+        begin, length = runs(records[key])
+        many = length >= (local or LOCAL)
+        rows: list[Row] = []
+        for i, n in zip(begin[many].tolist(), length[many].tolist()):
+            k = int(records[key][i])
+            rows += tiles.of(k, records[i : i + n], buckets)
+            rows.append((int(bucket_of(records[key][i : i + 1], buckets)[0]), k, None, None))
+        if many.any():
+            records = records[np.repeat(~many, length)]
+        rows += [(b, None, None, squeeze(r) if compress else r.tobytes()) for b, r in split(records, bucket_of(records[key], buckets))]
+        return blocks(rows)
 
     for part in parts:
         if len(part):
@@ -94,14 +135,6 @@ def unique_pairs(pairs: np.ndarray) -> np.ndarray:
     return pairs[once]
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and length of each run of equal values in the sorted `keys`."""
-    if not len(keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-    return begin, np.diff(np.concatenate((begin, [len(keys)])))
-
-
 def neighbours(begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i < j, of all pairs within the runs, in bounded portions."""
     at = np.repeat(begin, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
@@ -121,155 +154,222 @@ def longs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[c]).view(np.int64)) for c in ("a", "b")], names=["a", "b"])
 
 
-def entry_partitions(entries: DataFrame) -> DataFrame:
-    """Blocks, each in the partition that owns its bucket."""
-    partitions = shuffle_partitions(entries.sparkSession)
-    return entries.repartitionById(partitions, F.col("bucket") % partitions)
+def bucket_count(df: DataFrame) -> int:
+    return BUCKETS_A_PARTITION * shuffle_partitions(df.sparkSession)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], dtype: np.dtype, compressed: bool = False) -> Iterator[np.ndarray]:
-    """The records of each bucket of a partition."""
+def gathered(batches: Iterator[pa.RecordBatch], dtype: np.dtype, compressed: bool, passed: list[Row], hot: set[int]) -> Iterator[np.ndarray]:
+    """The records of each bucket of a partition, after all rows are read; tiles go to `passed`, marked keys to `hot`."""
     by: dict[int, list[bytes]] = {}
     for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            by.setdefault(b, []).append(blob.as_py())
+        for b, key, tile, blob in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3)):
+            if key is None:
+                by.setdefault(b, []).append(blob.as_py())
+            elif tile is None:
+                hot.add(key)
+            else:
+                passed.append((b, key, tile, blob.as_py()))
     for b in list(by):
         blobs = by.pop(b)
         yield np.concatenate([unsqueeze(x, dtype) for x in blobs]) if compressed else np.frombuffer(b"".join(blobs), dtype)
 
 
+Within = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[np.ndarray]]
+Across = Callable[[np.ndarray, "np.ndarray | None"], Iterator[np.ndarray]]
+Pack = Callable[[list[np.ndarray]], list[tuple[int, bytes]]]
+
+
+def meetings(entries: DataFrame, dtype: np.dtype, key: str, order: Callable[[np.ndarray], np.ndarray], within: Within, across: Across, pack: Pack, compressed: bool = False, hot: int | None = None, tile: int | None = None) -> DataFrame:
+    """Blocks (bucket, records) of what is found among records that share a key.
+
+    entries: blocks made by `packed`. order(records) sorts the records of a bucket by key
+    and drops repeats; within(records, begin, length) compares those of each of the runs,
+    across(left, right) those of two tiles of a key, and across(left, None) those of one;
+    pack(found) makes the rows of a result, by bucket. Found records may repeat.
+    """
+    buckets, hot, tile = bucket_count(entries), hot or HOT, tile or HOT
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        passed: list[Row] = []
+        marked: set[int] = set()
+        tiles = Tiles(tile, 1)
+        for records in gathered(batches, dtype, compressed, passed, marked):
+            if passed:
+                yield blocks(passed)
+                passed.clear()
+            records = order(records)
+            begin, length = runs(records[key])
+            large = length > hot
+            if marked:
+                large |= np.isin(records[key][begin], np.fromiter(marked, np.int64, len(marked)))
+            for i, n in zip(begin[large].tolist(), length[large].tolist()):
+                yield blocks(tiles.of(int(records[key][i]), records[i : i + n], buckets))
+            usual = ~large & (length > 1)
+            for part in within(records, begin[usual], length[usual]):
+                found.append(part)
+                if sum(map(len, found)) > GATHER:
+                    yield blocks([(b, None, None, r) for b, r in pack(found)])
+                    found = []
+        if passed:
+            yield blocks(passed)
+        if found:
+            yield blocks([(b, None, None, r) for b, r in pack(found)])
+
+    met = cut(entries.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, BLOCK_SQL))
+    small, large = met.where("hot IS NULL").select("bucket", "records"), met.where("hot IS NOT NULL").select("hot", "tile", "records")
+    if large.isEmpty():
+        return small
+    # Tiles are numbered by key without their records.
+    by = Window.partitionBy("hot")
+    numbered = large.select("hot", "tile").withColumns({"i": F.row_number().over(by.orderBy("tile")) - 1, "tiles": F.count("*").over(by)})
+    placed = large.join(broadcast_if_few(numbered), ["hot", "tile"])
+    cells = placed.select("hot", "i", "records", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))).alias("j"))
+    cells = cells.select("hot", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") > F.col("j")).alias("second"), "records")
+    paired = cells.repartition(buckets, "hot", "low", "high").sortWithinPartitions("hot", "low", "high", "second")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        cell, left = None, None
+        for batch in batches:
+            for hot_, low, high, second, blob in zip(*(batch.column(n).to_pylist() for n in range(4)), batch.column(4)):
+                records = unsqueeze(blob.as_py(), dtype)
+                if low == high:
+                    parts = across(records, None)
+                elif not second:
+                    cell, left = (hot_, low, high), records
+                    continue
+                else:
+                    assert cell == (hot_, low, high), "a tile lacks its partner"
+                    parts = across(left, records)
+                for part in parts:
+                    found.append(part)
+                    if sum(map(len, found)) > GATHER:
+                        yield result(pack(found))
+                        found = []
+        if found:
+            yield result(pack(found))
+
+    def result(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], names=["bucket", "records"])
+
+    return small.unionByName(paired.mapInArrow(compare, "bucket int, records binary"))
+
+
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+
 
+def distinct_pairs(found: DataFrame) -> DataFrame:
+    """(a, b) as bigints, each pair once, of blocks that are routed by their pairs. A task holds its share of the pairs."""
 
-def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept, compressed: bool = False) -> DataFrame:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for blob in batch.column(1):
+                held.append(np.frombuffer(blob.as_py(), PAIR))
+                size += len(held[-1])
+                if size > 2 * GATHER:
+                    held = [unique_pairs(np.concatenate(held))]
+                    size = len(held[0]) // 2
+        if held:
+            yield longs(unique_pairs(np.concatenate(held)))
+
+    return found.repartitionById(bucket_count(found), F.col("bucket")).mapInArrow(finish, "a long, b long")
+
+
+def by_pair(buckets: int) -> Pack:
+    def pack(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        pairs = unique_pairs(np.concatenate(found))
+        return [(b, r.tobytes()) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], buckets))]
+
+    return pack
+
+
+def once_each(key: str, *others: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Sorts records by key, then the others, and drops repeats of all these."""
+
+    def order(records: np.ndarray) -> np.ndarray:
+        records = records[np.lexsort(tuple(records[c] for c in (*reversed(others), key)))]
+        once = np.ones(len(records), bool)
+        once[1:] = np.logical_or.reduce([records[c][1:] != records[c][:-1] for c in (key, *others)])
+        return records[once]
+
+    return order
+
+
+def chunks(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of left and right records, about PORTION at a time."""
+    step = max(1, PORTION // max(1, len(right)))
+    for i in range(0, len(left), step):
+        part = left[i : i + step]
+        yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+
+def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
     """Distinct pairs (a, b), a < b, of identities that share a key and that `accept` lets through.
 
     entries: blocks made by `packed`. accept(left, right) gets records pairwise and tells
     which pairs stay. Identities are 64-bit and come out as bigint, ordered as unsigned.
     """
-    partitions = shuffle_partitions(entries.sparkSession)
-    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
 
     def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         ok = (left[identity] != right[identity]) & accept(left, right)
         x, y = left[identity][ok], right[identity][ok]
-        out = np.empty(len(x), pair)
+        out = np.empty(len(x), PAIR)
         out["a"], out["b"] = np.minimum(x, y), np.maximum(x, y)
         return out
 
-    def route(found: list[np.ndarray]) -> list[tuple[int, bytes, bytes | None]]:
-        pairs = unique_pairs(np.concatenate(found))
-        return [(b, r.tobytes(), None) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], partitions))]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for records in gathered(batches, dtype, compressed):
-            records = records[np.lexsort((records[identity], records[key]))]
-            once = np.ones(len(records), bool)
-            once[1:] = (records[key][1:] != records[key][:-1]) | (records[identity][1:] != records[identity][:-1])
-            records = records[once]
-            begin, length = runs(records[key])
-            for i, n in zip(begin[length > HOT].tolist(), length[length > HOT].tolist()):
-                tiles = [records[x : min(x + HOT, i + n)].tobytes() for x in range(i, i + n, HOT)]
-                for x in range(len(tiles)):
-                    yield blocks([((i + x * 31 + y) % partitions, tiles[x], tiles[y]) for y in range(x, len(tiles))])
-            small = (length > 1) & (length <= HOT)
-            for x, y in neighbours(begin[small], length[small]):
-                found.append(kept(records[x], records[y]))
-            if sum(map(len, found)) > GATHER:
-                yield blocks(route(found))
-                found = []
-        if found:
-            yield blocks(route(found))
+    def within(records: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+        for x, y in neighbours(begin, length):
+            yield kept(records[x], records[y])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for left, right in zip(batch.column(1), batch.column(2)):
-                if not right.is_valid:
-                    found.append(np.frombuffer(left.as_py(), pair))
-                    continue
-                x, y = np.frombuffer(left.as_py(), dtype), np.frombuffer(right.as_py(), dtype)
-                for i in range(0, len(x), 64):  # 64 x HOT pairs at a time
-                    found.append(kept(np.repeat(x[i : i + 64], len(y)), np.tile(y, len(x[i : i + 64]))))
-            if sum(map(len, found)) > GATHER:
-                yield longs(unique_pairs(np.concatenate(found)))
-                found = []
-        if found:
-            yield longs(unique_pairs(np.concatenate(found)))
+    def across(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
+        for x, y in chunks(left, left if right is None else right):
+            yield kept(x, y)
 
-    met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
-    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])
+    return distinct_pairs(meetings(entries, dtype, key, once_each(key, identity), within, across, by_pair(bucket_count(entries))))
 
 
-def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
+def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept, useful: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Distinct pairs (a, b) of identities of side 0 and of side 1 that share a key and that `accept` lets through.
 
-    As `self_pairs`, for records with a field `side`; equal identities of both sides may be paired.
+    As `self_pairs`, for records with a field `side`; equal identities of both sides may be
+    paired. useful(records, begin, length) tells of each record whether any record of the
+    other side in its run may be accepted with it.
     """
-    partitions = shuffle_partitions(entries.sparkSession)
-    pair = np.dtype([("a", "<u8"), ("b", "<u8")])
 
     def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         ok = accept(left, right)
-        out = np.empty(np.count_nonzero(ok), pair)
+        out = np.empty(np.count_nonzero(ok), PAIR)
         out["a"], out["b"] = left[identity][ok], right[identity][ok]
         return out
 
-    def route(found: list[np.ndarray]) -> list[tuple[int, bytes, bytes | None]]:
-        pairs = unique_pairs(np.concatenate(found))
-        return [(b, r.tobytes(), None) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], partitions))]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for records in gathered(batches, dtype):
-            records = records[np.lexsort((records[identity], records["side"], records[key]))]
-            once = np.ones(len(records), bool)
-            once[1:] = (records[key][1:] != records[key][:-1]) | (records[identity][1:] != records[identity][:-1]) | (records["side"][1:] != records["side"][:-1])
-            records = records[once]
-            begin, length = runs(records[key])
-            ones = np.concatenate(([0], np.cumsum(records["side"])))
-            other = (ones[begin + length] - ones[begin]).astype(np.int64)
-            own = length - other
-            hot = (own > 0) & (other > 0) & (length > HOT)
-            for i, m, n in zip(begin[hot].tolist(), own[hot].tolist(), other[hot].tolist()):
-                left = [records[x : min(x + HOT, i + m)].tobytes() for x in range(i, i + m, HOT)]
-                right = [records[x : min(x + HOT, i + m + n)].tobytes() for x in range(i + m, i + m + n, HOT)]
-                for x in range(len(left)):
-                    yield blocks([((i + x * 31 + y) % partitions, left[x], right[y]) for y in range(len(right))])
-            use = (own > 0) & (other > 0) & ~hot
-            begin, own, other = begin[use], own[use], other[use]
-            left = np.repeat(begin, own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
-            right, many = np.repeat(begin + own, own), np.repeat(other, own)
-            done = np.cumsum(many)
-            cuts = np.searchsorted(done, np.arange(0, done[-1], PORTION)).tolist() if len(done) else []
-            for x, y in zip(cuts, [*cuts[1:], len(left)]):
-                if x < y:
-                    times = many[x:y]
-                    j = np.repeat(right[x:y], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-                    found.append(kept(records[np.repeat(left[x:y], times)], records[j]))
-            if sum(map(len, found)) > GATHER:
-                yield blocks(route(found))
-                found = []
-        if found:
-            yield blocks(route(found))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for left, right in zip(batch.column(1), batch.column(2)):
-                if not right.is_valid:
-                    found.append(np.frombuffer(left.as_py(), pair))
-                    continue
-                x, y = np.frombuffer(left.as_py(), dtype), np.frombuffer(right.as_py(), dtype)
-                for i in range(0, len(x), 64):
-                    found.append(kept(np.repeat(x[i : i + 64], len(y)), np.tile(y, len(x[i : i + 64]))))
-            if sum(map(len, found)) > GATHER:
-                yield longs(unique_pairs(np.concatenate(found)))
-                found = []
-        if found:
-            yield longs(unique_pairs(np.concatenate(found)))
-
-    met = entry_partitions(entries).mapInArrow(meet, BLOCK_SQL)
-    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "a long, b long").dropDuplicates(["a", "b"])
-
+    def within(records: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+        own = records[np.repeat(begin, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))]
+        if useful is not None and len(own):
+            own = own[useful(own, *runs(own[key]))]
+        begin, length = runs(own[key])
+        ones = np.concatenate(([0], np.cumsum(own["side"])))
+        other = (ones[begin + length] - ones[begin]).astype(np.int64)
+        mine = length - other
+        use = (mine > 0) & (other > 0)
+        begin, mine, other = begin[use], mine[use], other[use]
+        left = np.repeat(begin, mine) + (np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine))
+        right, many = np.repeat(begin + mine, mine), np.repeat(other, mine)
+        done = np.cumsum(many)
+        cuts = np.searchsorted(done, np.arange(0, done[-1], PORTION)).tolist() if len(done) else []
+        for x, y in zip(cuts, [*cuts[1:], len(left)]):
+            if x < y:
+                times = many[x:y]
+                j = np.repeat(right[x:y], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+                yield kept(own[np.repeat(left[x:y], times)], own[j])
+
+    def across(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
+        for one, two in [(left, left)] if right is None else [(left, right), (right, left)]:
+            for x, y in chunks(one[one["side"] == 0], two[two["side"] == 1]):
+                yield kept(x, y)
+
+    return distinct_pairs(meetings(entries, dtype, key, once_each(key, "side", identity), within, across, by_pair(bucket_count(entries))))

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.bits import Filter, filter_of
 from lumenfold.llm.words import coded_words, word_hashes_of
-from lumenfold.plans.lineage import shuffle_partitions
 
 MINIMUM = 13
 BLOCK_WORDS = 2_000_000
@@ -31,8 +31,6 @@ BLOCK_WORDS = 2_000_000
 PORTION = 2_000_000
 #: Share of the items' words that `p7_covered` asks for.
 COVERED = 0.5
-#: Bits of the filter of item grams: so many a gram, in all at most 2**MOST_BITS; and of one piece of it.
-GRAM_BITS, MOST_BITS, PIECE = 16, 30, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Length, place in the document and place in the item of each match.
 Matches = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -203,48 +201,17 @@ def by_broadcast(documents: DataFrame, items: DataFrame, words: int, coverage: f
     return documents.mapInArrow(search, LEAKS_SQL)
 
 
-def gram_filter(items: DataFrame, words: int, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places with those of all items' grams set, packed; made in pieces, which the driver puts together."""
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                place = (grams(word_hashes_of([text]), words) * _BASE) >> np.uint64(64 - bits)
-                for n in np.unique(place >> np.uint64(PIECE)).tolist():
-                    mine.setdefault(n, np.zeros(1 << PIECE, bool))[(place[place >> np.uint64(PIECE) == n] & np.uint64((1 << PIECE) - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([np.packbits(x).tobytes() for x in mine.values()], pa.binary())], names=["piece", "bits"])
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(blob.as_py(), np.uint8)
-                mine[n] = mine[n] | part if n in mine else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.int32()), pa.array([x.tobytes() for x in mine.values()], pa.binary())], names=["piece", "bits"])
-
-    schema, partitions = "piece int, bits binary", shuffle_partitions(items.sparkSession)
-    out = np.zeros(1 << max(0, bits - 3), np.uint8)
-    width = 1 << (PIECE - 3)
-    for row in items.mapInArrow(pieces, schema).repartitionById(partitions, F.col("piece") % partitions).mapInArrow(together, schema).toLocalIterator():
-        out[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def by_join(documents: DataFrame, items: DataFrame, words: int, coverage: float, total: int) -> DataFrame:
     """As `by_broadcast` for any number of items: joined by the hashes of the grams that pass a filter of the items' grams."""
-    bits = min(MOST_BITS, max(PIECE, (total * GRAM_BITS).bit_length()))
-    sent = documents.sparkSession.sparkContext.broadcast(gram_filter(items, words, bits))
 
-    def grams_of(name: str, filtered: bool):
+    def grams_of(name: str, wanted: Filter | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, found = [], []
                 for n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = np.unique(grams(word_hashes_of([text]), words))
-                    if filtered and len(own):
-                        place = ((own * _BASE) >> np.uint64(64 - bits)).astype(np.int64)
-                        own = own[sent.value[place >> 3] >> (7 - (place & 7)) & 1 == 1]
+                    if wanted is not None:
+                        own = own[wanted.passes(own)]
                     found.append(own)
                     ids += [n] * len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(ids, pa.int64())], names=["gram", name])
@@ -264,8 +231,8 @@ def by_join(documents: DataFrame, items: DataFrame, words: int, coverage: float,
                         rows.append((d, n, *leak))
             yield leak_rows(rows)
 
-    left = documents.mapInArrow(grams_of("doc_id", True), "gram long, doc_id long")
-    right = items.mapInArrow(grams_of("item_id", False), "gram long, item_id long")
+    right = items.mapInArrow(grams_of("item_id", None), "gram long, item_id long")
+    left = documents.mapInArrow(grams_of("doc_id", filter_of(right.select(F.col("gram").alias("hash")), total)), "gram long, doc_id long")
     candidates = left.join(right, "gram").select("doc_id", "item_id").distinct()
     pairs = candidates.join(documents, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
     return pairs.mapInArrow(compared, LEAKS_SQL)

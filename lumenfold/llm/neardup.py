@@ -1,7 +1,7 @@
 """Near-duplicate texts: candidates by shared rare words, checked by odd sketches, then exactly.
 
-Every text is a bag of words (`words.Bags`). Two bags that agree share one of the rarest
-elements of both, as many as `overlap.indexed_terms` says, so a posting for each of these
+Every text is a bag of words (`words.Bags`). Two bags that agree share one of the heaviest
+elements of both, as many as `overlap.postings` indexes, so a posting for each of these
 brings all agreeing pairs together and none is lost, whatever words an edit replaced. A
 posting carries the odd sketch of the whole bag, a parity bitmap of 128 bits; the one bits
 of the XOR of two never exceed the number of elements in which the bags differ, which
@@ -9,9 +9,9 @@ drops nearly all accidental pairs on the spot and no agreeing one. What is left
 compared exactly.
 
 Exact copies of a bag are one class from the start, so a text that a third of all rows
-repeat is compared once. Every further record count is bounded by the packed blocks of
-`blocks`, which cut hot postings into tiles. Pairs to compare grow as the squared length
-of the postings of one element, that is with the rows that a vocabulary is spread over.
+repeat is compared once. Postings of a hot element are cut into tiles that no task holds
+all of (`blocks`). Pairs to compare grow as the squared length of the postings of one
+element, that is with the rows that a vocabulary is spread over.
 
 `samples`, `odd_sketch` and `similarity` estimate the similarity from MinHash samples
 instead; candidates by bands of these lost pairs near the bound and are no longer used.
@@ -24,15 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
+from lumenfold.llm.bits import Filter, filter_of
 from lumenfold.llm.components import components
+from lumenfold.llm.rarity import WEIGHT_BITS, heaviest_first, heavy_terms, needs
 from lumenfold.llm.words import Bags, mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
 BANDS, ROWS, BITS = 16, 4, 128
+#: Signatures that a task remembers to have sent.
+SEEN = 200_000
 
 
 def samples(bags: Bags, rows: np.ndarray, count: int, weight: np.ndarray) -> np.ndarray:
@@ -72,13 +77,12 @@ def similarity(ones: float, count: int = BANDS * ROWS, bits: int = BITS) -> floa
     return max(0.0, 1 - math.log(1 - 2 * ones / bits) / math.log(1 - 2 / bits) / (2 * count))
 
 
-def candidates(texts: DataFrame, text: str, agreement: float) -> DataFrame:
+def candidates(texts: DataFrame, text: str, agreement: float, heavy: Broadcast) -> DataFrame:
     """Pairs (a, b) of bag signatures that share an indexed element and whose odd sketches allow the agreement."""
     from lumenfold.llm import overlap  # which needs this module
 
-    accept = overlap.acceptance(agreement)
-    postings = overlap.postings(texts.select(text, F.lit(0).alias("side")), "side", text, agreement)
-    return blocks.self_pairs(postings, overlap.POSTING, "key", "sig", accept)
+    postings = overlap.postings(texts.select(text, F.lit(0).alias("side")), "side", text, agreement, heavy)
+    return blocks.self_pairs(postings, overlap.POSTING, "key", "sig", overlap.acceptance(agreement))
 
 
 def bag_members(texts: DataFrame, identity: str, text: str) -> DataFrame:
@@ -94,37 +98,57 @@ def bag_members(texts: DataFrame, identity: str, text: str) -> DataFrame:
     return kept.mapInArrow(signatures, f"sig long, {identity} {dict(kept.dtypes)[identity]}")
 
 
-def bag_elements(texts: DataFrame, text: str) -> DataFrame:
-    """(sig, n, elements) once for each distinct bag: its number of words and its hashed elements."""
+def bag_elements(texts: DataFrame, text: str, agreement: float, wanted: Filter, heavy: Broadcast) -> DataFrame:
+    """(sig, n, need, elements) of the bags whose signature passes the filter, once each.
+
+    n: the number of words; need: the least dot product with an agreeing bag; elements:
+    hashes whose last WEIGHT_BITS bits are the squared weight.
+    """
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             bags = Bags(batch.column(0).to_pylist())
             _, rows = np.unique(bags.signature, return_index=True)
             rows = rows[bags.full[rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(bags.signature[rows].view(np.int64)), pa.array(bags.count[rows].astype(np.int32)), bags.short_elements(rows)], names=["sig", "n", "elements"])
-
-    found = texts.where(F.col(text).isNotNull()).select(text).mapInArrow(elements, "sig long, n int, elements array<int>")
+            rows = rows[wanted.passes(bags.signature[rows])]
+            rows = rows[~np.isin(bags.signature[rows], seen)]
+            seen = np.concatenate((seen, bags.signature[rows]))[-SEEN:]
+            order, weight = heaviest_first(bags, heavy.value)
+            need = needs(bags, np.concatenate(([0], np.cumsum(weight))), agreement)
+            weighed = bags.elements[order] >> np.uint64(WEIGHT_BITS) << np.uint64(WEIGHT_BITS) | weight.astype(np.uint64)
+            columns = [pa.array(bags.signature[rows].view(np.int64)), pa.array(bags.count[rows].astype(np.int32)), pa.array(need[rows]), bags.listed(rows, weighed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "n", "need", "elements"])
+
+    found = texts.where(F.col(text).isNotNull()).select(text).mapInArrow(elements, "sig long, n int, need long, elements array<long>")
     return found.repartition(shuffle_partitions(texts.sparkSession), "sig").dropDuplicates(["sig"])
 
 
-def agreeing(pairs: DataFrame, left: DataFrame, right: DataFrame, agreement: float) -> DataFrame:
-    """The pairs (a, b) of signatures whose bags agree to at least `agreement`, with `common` and `longer`."""
-    a = left.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("elements").alias("e_a"))
-    b = right.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("elements").alias("e_b"))
-    compared = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("e_a", "e_b")).alias("common"), F.greatest("n_a", "n_b").alias("longer"))
-    return compared.where(F.col("common") >= agreement * F.col("longer") - F.lit(1e-9))
+def agreeing(pairs: DataFrame, texts: DataFrame, text: str, agreement: float, heavy: Broadcast) -> DataFrame:
+    """The pairs (a, b) of signatures whose bags agree to at least `agreement`, with `dot`, `common` and `longer`.
+
+    dot: the exact dot product, which has to be what either bag needs; common: the number of
+    common elements, which decides. pairs is read twice, so it should be cut. Only bags that
+    are in some pair are shuffled.
+    """
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("hash"))
+    bags = bag_elements(texts, text, agreement, filter_of(sides, 2 * pairs.count()), heavy)
+    a, b = (bags.select(F.col("sig").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "need", "elements"))) for s in "ab")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", F.greatest("need_a", "need_b").alias("need"), F.greatest("n_a", "n_b").alias("longer"), F.array_intersect("elements_a", "elements_b").alias("both"))
+    dot = F.aggregate("both", F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)))
+    compared = met.select("a", "b", dot.alias("dot"), "need", F.size("both").alias("common"), "longer").where(F.col("dot") >= F.col("need"))
+    return compared.where(F.col("common") >= agreement * F.col("longer") - F.lit(1e-9)).drop("need")
 
 
 def near_duplicate_bags(texts: DataFrame, text: str = "text", agreement: float = 0.75) -> DataFrame:
-    """Links (a, b, common, longer) between different bags that agree to at least `agreement`.
+    """Links (a, b, dot, common, longer) between different bags that agree to at least `agreement`.
 
     The agreement is the number of common words, with repetition and in any order, by the
     words of the longer text. Null, empty and wordless texts take no part; an empty table
     gives no rows; other columns of `texts` do not matter.
     """
-    elements = bag_elements(texts, text)
-    return agreeing(candidates(texts, text, agreement), elements, elements, agreement)
+    heavy = texts.sparkSession.sparkContext.broadcast(heavy_terms(texts, text))
+    return agreeing(cut(candidates(texts, text, agreement, heavy)), texts, text, agreement, heavy)
 
 
 def near_duplicate_pairs(texts: DataFrame, identity: str = "passage_id", text: str = "text", agreement: float = 0.75) -> DataFrame:

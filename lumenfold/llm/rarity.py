@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,15 @@ from lumenfold.llm.words import Bags
 #: An element is heavy if at least one in so many texts has it. At most HEAVY times the
 #: mean number of words of a text are heavy, whatever the number of texts.
 HEAVY = 1000
+#: Steps of a squared weight for each doubling of rarity, and the largest weight, which has WEIGHT_BITS bits.
+STEPS, WEIGHT_BITS = 1.5, 4
 
 
-def heavy_terms(texts: DataFrame, text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the elements found in at least a 1/HEAVY of the texts of a partition.
+Heavy = tuple[np.ndarray, np.ndarray, int]
+
+
+def heavy_terms(texts: DataFrame, text: str) -> Heavy:
+    """Hashes, sorted, and counts of the elements found in at least a 1/HEAVY of the texts, and the number of texts.
 
     An element that is so frequent over all texts is so in some partition; the counts are lower bounds.
     """
@@ -33,11 +39,12 @@ def heavy_terms(texts: DataFrame, text: str, rows: int) -> tuple[np.ndarray, np.
         keep = found * HEAVY >= seen
         yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(found[keep])], names=["term", "n"])
 
+    rows = texts.count()
     summed = texts.select(text).mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     table = summed.where(F.col("n") * HEAVY >= rows).toArrow()
     hashes, n = table.column("term").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return hashes[order], n[order], rows
 
 
 def times_found(elements: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -46,3 +53,38 @@ def times_found(elements: np.ndarray, hashes: np.ndarray, counts: np.ndarray) ->
         return np.zeros(len(elements), np.int64)
     at = np.minimum(np.searchsorted(hashes, elements), len(hashes) - 1)
     return np.where(hashes[at] == elements, counts[at], 0)
+
+
+def squared_weights(times: np.ndarray, rows: int) -> np.ndarray:
+    """Squared weights of elements found `times` often: whole numbers of WEIGHT_BITS bits that grow with the logarithm of their rarity.
+
+    Elements that are not heavy weigh alike, as if found in 1/HEAVY of the `rows`.
+    """
+    often = np.maximum(times, max(1.0, rows / HEAVY))
+    return 1 + np.floor(STEPS * np.log2(np.maximum(1.0, rows / often))).astype(np.int64)
+
+
+def heaviest_first(bags: Bags, heavy: Heavy) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the elements of all bags, of each bag the heaviest (rarest) first, and their squared weights in it.
+
+    Equal counts go by the hash of the element, so the order is the same in every bag.
+    """
+    hashes, often, rows = heavy
+    times = times_found(bags.elements, hashes, often)
+    order = np.lexsort((bags.elements, times, bags.owner))
+    return order, squared_weights(times[order], rows)
+
+
+def shared_terms(n: int, agreement: float) -> int:
+    """How many of its `n` elements a text at least shares with a partner that it agrees with."""
+    return max(1, math.ceil(agreement * n - 1e-9))
+
+
+def needs(bags: Bags, sums: np.ndarray, agreement: float) -> np.ndarray:
+    """For each bag the least dot product with a partner that it agrees with: the squared weights of its lightest elements.
+
+    sums: running sums, from 0 on, of the squared weights in the order of `heaviest_first`.
+    """
+    least = {n: shared_terms(n, agreement) if n else 0 for n in np.unique(bags.count).tolist()}
+    end = bags.start + bags.count
+    return sums[end] - sums[end - np.array([least[n] for n in bags.count.tolist()], np.int64)] if len(end) else np.zeros(0, np.int64)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
 from lumenfold.llm.words import mix
-from lumenfold.plans.lineage import cut, shuffle_partitions
+from lumenfold.plans.lineage import cut
 
 #: At least so many tables; `tables_for` adds more.
 TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
@@ -39,8 +39,8 @@ TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
 RECALL, SAMPLE = 0.98, 1 << 17
 #: Vectors that an average bucket would hold if all were unrelated.
 BUCKET = 5000
-#: Cells of a bucket's matrix of cosines beyond which the bucket is cut into tiles, and of a matrix product.
-HOT_CELLS, CELLS = 1 << 30, 1 << 22
+#: Vectors of a bucket, and of those that a writer holds, from which it is cut into tiles; the size of these; cells of a matrix product.
+HOT, LOCAL, TILE, CELLS = 1 << 15, 1 << 13, 1 << 13, 1 << 22
 FOUND = np.dtype([("id", "<i8"), ("other", "<i8"), ("cosine", "<f4")])
 
 
@@ -143,7 +143,7 @@ def keys_of(x: np.ndarray, hashes: int, table: int, probes: int) -> tuple[np.nda
 
 def table_entries(vectors: DataFrame, size: int, hashes: int, tables: int, probes: int) -> DataFrame:
     """Packed entries of all vectors in their own and their probed buckets."""
-    buckets = blocks.BUCKETS_A_PARTITION * shuffle_partitions(vectors.sparkSession)
+    buckets = blocks.bucket_count(vectors)
     kind = entry_type(size)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -158,7 +158,7 @@ def table_entries(vectors: DataFrame, size: int, hashes: int, tables: int, probe
                     out["key"], out["id"], out["v"], out["side"] = key[new], ids[new], steps[new], side > 0
                     yield out
 
-    return vectors.mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets, 200_000, True), blocks.BLOCK_SQL)
+    return vectors.mapInArrow(lambda b: blocks.packed(entries(b), "key", buckets, 200_000, True, LOCAL, TILE), blocks.BLOCK_SQL)
 
 
 def best(found: np.ndarray, k: int) -> np.ndarray:
@@ -190,55 +190,46 @@ def compare(left: np.ndarray, right: np.ndarray, cosine: float, k: int) -> Itera
 
 def met_in_buckets(entries: DataFrame, size: int, cosine: float, k: int) -> DataFrame:
     """(id, other, cosine): a superset of every id's k best among those met; rows may repeat."""
-    partitions = shuffle_partitions(entries.sparkSession)
-    kind = entry_type(size)
+    buckets = blocks.bucket_count(entries)
 
-    def route(found: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
         kept = best(np.concatenate(found), k)
-        return blocks.blocks([(b, r.tobytes(), None) for b, r in blocks.split(kept, blocks.bucket_of(kept["id"], partitions))])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for records in blocks.gathered(batches, kind, True):
-            records = records[np.lexsort((records["side"], records["key"]))]
-            begin, length = blocks.runs(records["key"])
-            looking = np.concatenate(([0], np.cumsum(records["side"])))
-            at_home = length - (looking[begin + length] - looking[begin]).astype(np.int64)
-            for i, m, n in zip(begin.tolist(), at_home.tolist(), length.tolist()):
-                if m * n > HOT_CELLS:
-                    left = [records[x : min(x + blocks.HOT, i + m)].tobytes() for x in range(i, i + m, blocks.HOT)]
-                    right = [records[x : min(x + blocks.HOT, i + n)].tobytes() for x in range(i, i + n, blocks.HOT)]
-                    for x in range(len(left)):
-                        for y in range(x, len(right)):
-                            yield blocks.blocks([((i + x * 31 + y) % partitions, left[x], right[y])])
-                elif m and n > 1:
-                    found += compare(records[i : i + m], records[i : i + n], cosine, k)
-            if sum(map(len, found)) > blocks.GATHER:
-                yield route(found)
-                found = []
-        if found:
-            yield route(found)
+        return [(b, r.tobytes()) for b, r in blocks.split(kept, blocks.bucket_of(kept["id"], buckets))]
+
+    def order(records: np.ndarray) -> np.ndarray:
+        return records[np.lexsort((records["side"], records["key"]))]
+
+    def within(records: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+        looking = np.concatenate(([0], np.cumsum(records["side"])))
+        at_home = length - (looking[begin + length] - looking[begin]).astype(np.int64)
+        for i, m, n in zip(begin.tolist(), at_home.tolist(), length.tolist()):
+            if m:
+                yield from compare(records[i : i + m], records[i : i + n], cosine, k)
+
+    def across(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
+        home = left[left["side"] == 0]
+        if right is None:
+            yield from compare(home, left, cosine, k)
+        else:
+            yield from compare(home, right, cosine, k)
+            yield from compare(left[left["side"] == 1], right[right["side"] == 0], cosine, k)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for left, right in zip(batch.column(1), batch.column(2)):
-                if right.is_valid:
-                    found += compare(np.frombuffer(left.as_py(), kind), np.frombuffer(right.as_py(), kind), cosine, k)
-                else:
-                    found.append(np.frombuffer(left.as_py(), FOUND))
-            if sum(map(len, found)) > 4 * blocks.GATHER:
-                found = [best(np.concatenate(found), k)]
-                if len(found[0]) > 2 * blocks.GATHER:
-                    yield rows(found.pop())
-        if found:
-            yield rows(best(np.concatenate(found), k))
-
-    def rows(found: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in FOUND.names], names=list(FOUND.names))
-
-    met = blocks.entry_partitions(entries).mapInArrow(meet, blocks.BLOCK_SQL)
-    return met.repartitionById(partitions, F.col("bucket")).mapInArrow(finish, "id long, other long, cosine float")
+            for blob in batch.column(1):
+                held.append(np.frombuffer(blob.as_py(), FOUND))
+                size += len(held[-1])
+                if size > 2 * blocks.GATHER:
+                    held = [best(np.concatenate(held), k)]
+                    size = len(held[0]) // 2
+        if held:
+            found = best(np.concatenate(held), k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in FOUND.names], names=list(FOUND.names))
+
+    found = blocks.meetings(entries, entry_type(size), "key", order, within, across, pack, True, HOT, TILE)
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(finish, "id long, other long, cosine float")
 
 
 def crowds_of(vectors: DataFrame, size: int, k: int) -> DataFrame:

@@ -92,10 +92,9 @@ class Bags:
             self.signature[full] = np.add.reduceat(mix(self.elements ^ _GOLDEN), self.start[full])
         self.full = full
 
-    def short_elements(self, rows: np.ndarray) -> pa.Array:
-        """list<int32> of the elements of the texts `rows`, hashed to 32 bits."""
-        values = (self.elements >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def listed(self, rows: np.ndarray, elements: np.ndarray) -> pa.Array:
+        """list<int64> of the `elements`, given for all texts, of the texts `rows`."""
         count = self.count[rows]
         offsets = np.concatenate(([0], np.cumsum(count)))
         at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], count) + np.repeat(self.start[rows], count)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[at]))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(elements[at].view(np.int64)))

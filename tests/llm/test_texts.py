@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumenfold.llm import blocks, leakage, neardup, overlap
+from lumenfold.llm import blocks, leakage, neardup, overlap, rarity
 from lumenfold.llm.words import Bags, words
 
 
@@ -94,8 +94,10 @@ def test_near_duplicates_at_the_edges(spark):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
-def test_hot_bands_are_cut_into_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("local", [5, 1000])
+def test_hot_bands_are_cut_into_tiles(spark, monkeypatch, local):
     monkeypatch.setattr(blocks, "HOT", 8)
+    monkeypatch.setattr(blocks, "LOCAL", local)
     rows = [(f"{i:03d}", "same words in all of these texts here " + f"x{i}") for i in range(60)]
     found = pairs_of(neardup.near_duplicate_pairs(spark.createDataFrame(rows, "passage_id string, text string")))
     assert len(found) >= 0.9 * 60 * 59 / 2
@@ -115,10 +117,42 @@ def test_classes_follow_links(spark):
     assert len({got[x][0] for x in "abc"}) == 1 != got["d"][0] and got["d"][1] == 0 and got["b"][1] == 2
 
 
-def test_index_prefix_is_enough():
+def test_shared_terms():
     for n in range(1, 200):
-        kept = overlap.indexed_terms(n, 0.75)
-        assert 1 <= kept <= n and n - kept < 0.75 * n
+        assert 0.75 * n <= rarity.shared_terms(n, 0.75) < 0.75 * n + 1
+
+
+def test_bounds_lose_no_pair():
+    """Every agreeing pair has a posting of one term in both texts that all bounds let through, and the dot product it needs."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], rng.integers(3, 30), p=np.arange(40, 0, -1) / 820)) for _ in range(150)]
+    texts += [" ".join(x for x in t.split() if rng.random() > 0.1) for t in texts]
+    bags = Bags(texts)
+    values, counts = np.unique(bags.elements, return_counts=True)
+    order, weight = rarity.heaviest_first(bags, (values, counts, len(texts)))
+    sums = np.concatenate(([0], np.cumsum(weight)))
+    need = rarity.needs(bags, sums, 0.75)
+    accept = overlap.acceptance(0.75)
+    listed = []
+    for i in range(len(texts)):
+        own = np.zeros(bags.count[i], overlap.POSTING)
+        at = order[bags.start[i] : bags.start[i] + bags.count[i]]
+        own["rest"] = sums[bags.start[i] + bags.count[i]] - sums[bags.start[i] : bags.start[i] + bags.count[i]]
+        own["need"], own["n"] = need[i], bags.count[i]
+        for e in bags.elements[at]:
+            own["low" if e >> np.uint64(57) < 64 else "high"] ^= np.uint64(1) << ((e >> np.uint64(57)) & np.uint64(63))
+        listed.append((bags.elements[at], own, weight[bags.start[i] : bags.start[i] + bags.count[i]]))
+    agreed = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            (one, p, w), (two, q, _) = listed[a], listed[b]
+            common = np.intersect1d(one, two)
+            if len(common) >= 0.75 * max(len(one), len(two)) - 1e-9 and len(one):
+                agreed += 1
+                met = [(np.flatnonzero(one == e)[0], np.flatnonzero(two == e)[0]) for e in common]
+                assert any(p["rest"][i] >= need[a] and q["rest"][j] >= need[b] and accept(p[i : i + 1], q[j : j + 1])[0] for i, j in met)
+                assert w[np.isin(one, common)].sum() >= max(need[a], need[b])
+    assert agreed > 100
 
 
 def test_overlaps_against_brute_force(spark):
@@ -133,8 +167,10 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlapping(df.limit(0)).count() == 0
 
 
-def test_overlap_hot_lists_are_cut_into_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("local", [5, 1000])
+def test_overlap_hot_lists_are_cut_into_tiles(spark, monkeypatch, local):
     monkeypatch.setattr(blocks, "HOT", 8)
+    monkeypatch.setattr(blocks, "LOCAL", local)
     rows = [(i % 2, "same words in all of these texts here " + f"x{i}") for i in range(60)]
     assert overlap.overlapping(spark.createDataFrame(rows, "train int, text string")).count() == 900
 

@@ -1,6 +1,7 @@
 """Similar vectors against all pairs, and at their edges."""
 
 import numpy as np
+import pytest
 
 from lumenfold.llm import blocks, vectors
 
@@ -83,12 +84,14 @@ def test_crowds_of_equal_vectors_tie_to_the_least_ids(spark):
     assert [n for _, n in sorted(got[41])] == [1, 2, 3, 4, 5]
 
 
-def test_crowded_buckets_are_cut_into_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("local", [10, 100_000])
+def test_crowded_buckets_are_cut_into_tiles(spark, monkeypatch, local):
     x = clustered(160, 64, 9, 0.05)
     df = frame(spark, range(160), x)
     whole = found(vectors.similar_pairs(df))
-    monkeypatch.setattr(vectors, "HOT_CELLS", 100)
-    monkeypatch.setattr(blocks, "HOT", 16)
+    monkeypatch.setattr(vectors, "HOT", 30)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    monkeypatch.setattr(vectors, "LOCAL", local)
     assert found(vectors.similar_pairs(df)) == whole
     assert len(whole & exact(list(range(160)), x, 5, 0.9)) >= 0.95 * len(whole)
 
