@@ -257,7 +257,9 @@ def meetings(entries: DataFrame, dtype: np.dtype, key: str, order: Callable[[np.
     return small.unionByName(paired.mapInArrow(compare, "bucket int, records binary"))
 
 
-Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Columns = dict[str, np.ndarray]
+#: accept(one, i, two, j): which pairs of the records at the places i and j may stay.
+Accept = Callable[[Columns, np.ndarray, Columns, np.ndarray], np.ndarray]
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -269,7 +271,7 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for blob in batch.column(1):
-                held.append(np.frombuffer(blob.as_py(), PAIR))
+                held.append(unsqueeze(blob.as_py(), PAIR))
                 size += len(held[-1])
                 if size > 2 * GATHER:
                     held = [unique_pairs(np.concatenate(held))]
@@ -283,7 +285,7 @@ def distinct_pairs(found: DataFrame) -> DataFrame:
 def by_pair(buckets: int) -> Pack:
     def pack(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
         pairs = unique_pairs(np.concatenate(found))
-        return [(b, r.tobytes()) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], buckets))]
+        return [(b, squeeze(r)) for b, r in split(pairs, bucket_of(pairs["a"] * np.uint64(31) ^ pairs["b"], buckets))]
 
     return pack
 
@@ -300,35 +302,45 @@ def once_each(key: str, *others: str) -> Callable[[np.ndarray], np.ndarray]:
     return order
 
 
-def chunks(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of left and right records, about PORTION at a time."""
-    step = max(1, PORTION // max(1, len(right)))
-    for i in range(0, len(left), step):
-        part = left[i : i + step]
-        yield np.repeat(part, len(right)), np.tile(right, len(part))
+def columns_of(records: np.ndarray) -> Columns:
+    """The fields as arrays of their own, which are faster to pick from than records."""
+    return {c: np.ascontiguousarray(records[c]) for c in records.dtype.names}
+
+
+def chunks(n: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places below n and below m, about PORTION at a time."""
+    step = max(1, PORTION // max(1, m))
+    for i in range(0, n, step):
+        part = np.arange(i, min(n, i + step))
+        yield np.repeat(part, m), np.tile(np.arange(m), len(part))
 
 
 def self_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, accept: Accept) -> DataFrame:
     """Distinct pairs (a, b), a < b, of identities that share a key and that `accept` lets through.
 
-    entries: blocks made by `packed`. accept(left, right) gets records pairwise and tells
-    which pairs stay. Identities are 64-bit and come out as bigint, ordered as unsigned.
+    entries: blocks made by `packed`. Identities are 64-bit and come out as bigint, ordered
+    as unsigned.
     """
 
-    def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ok = (left[identity] != right[identity]) & accept(left, right)
-        x, y = left[identity][ok], right[identity][ok]
+    def kept(one: Columns, i: np.ndarray, two: Columns, j: np.ndarray) -> np.ndarray:
+        ok = accept(one, i, two, j)
+        x, y = one[identity][i[ok]], two[identity][j[ok]]
+        x, y = x[x != y], y[x != y]
         out = np.empty(len(x), PAIR)
         out["a"], out["b"] = np.minimum(x, y), np.maximum(x, y)
         return out
 
     def within(records: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
-        for x, y in neighbours(begin, length):
-            yield kept(records[x], records[y])
+        own = columns_of(records)
+        for i, j in neighbours(begin, length):
+            for x in range(0, len(i), PORTION):
+                yield kept(own, i[x : x + PORTION], own, j[x : x + PORTION])
 
     def across(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
-        for x, y in chunks(left, left if right is None else right):
-            yield kept(x, y)
+        one = columns_of(left)
+        two = one if right is None else columns_of(right)
+        for i, j in chunks(len(left), len(left if right is None else right)):
+            yield kept(one, i, two, j)
 
     return distinct_pairs(meetings(entries, dtype, key, once_each(key, identity), within, across, by_pair(bucket_count(entries))))
 
@@ -341,10 +353,10 @@ def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, ac
     other side in its run may be accepted with it.
     """
 
-    def kept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        ok = accept(left, right)
+    def kept(one: Columns, i: np.ndarray, two: Columns, j: np.ndarray) -> np.ndarray:
+        ok = accept(one, i, two, j)
         out = np.empty(np.count_nonzero(ok), PAIR)
-        out["a"], out["b"] = left[identity][ok], right[identity][ok]
+        out["a"], out["b"] = one[identity][i[ok]], two[identity][j[ok]]
         return out
 
     def within(records: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
@@ -359,17 +371,18 @@ def cross_pairs(entries: DataFrame, dtype: np.dtype, key: str, identity: str, ac
         begin, mine, other = begin[use], mine[use], other[use]
         left = np.repeat(begin, mine) + (np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine))
         right, many = np.repeat(begin + mine, mine), np.repeat(other, mine)
-        done = np.cumsum(many)
+        done, columns = np.cumsum(many), columns_of(own)
         cuts = np.searchsorted(done, np.arange(0, done[-1], PORTION)).tolist() if len(done) else []
         for x, y in zip(cuts, [*cuts[1:], len(left)]):
             if x < y:
                 times = many[x:y]
                 j = np.repeat(right[x:y], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-                yield kept(own[np.repeat(left[x:y], times)], own[j])
+                yield kept(columns, np.repeat(left[x:y], times), columns, j)
 
     def across(left: np.ndarray, right: np.ndarray | None) -> Iterator[np.ndarray]:
         for one, two in [(left, left)] if right is None else [(left, right), (right, left)]:
-            for x, y in chunks(one[one["side"] == 0], two[two["side"] == 1]):
-                yield kept(x, y)
+            own, other = columns_of(one[one["side"] == 0]), columns_of(two[two["side"] == 1])
+            for i, j in chunks(len(own["side"]), len(other["side"])):
+                yield kept(own, i, other, j)
 
     return distinct_pairs(meetings(entries, dtype, key, once_each(key, "side", identity), within, across, by_pair(bucket_count(entries))))

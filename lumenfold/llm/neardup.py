@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm import blocks
 from lumenfold.llm.bits import Filter, filter_of
 from lumenfold.llm.components import components
-from lumenfold.llm.rarity import WEIGHT_BITS, heaviest_first, heavy_terms, needs
+from lumenfold.llm.rarity import WEIGHT_BITS, heaviest, heaviest_first, needs, surveyed
 from lumenfold.llm.words import Bags, mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
@@ -87,15 +87,23 @@ def candidates(texts: DataFrame, text: str, agreement: float, heavy: Broadcast)
 
 def bag_members(texts: DataFrame, identity: str, text: str) -> DataFrame:
     """(sig, `identity`) of every row whose text has words and whose identity is not null."""
+    kept = texts.where(F.col(identity).isNotNull() & F.col(text).isNotNull()).select(F.col(identity).alias("id"), F.col(text).alias("text"))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = Bags(batch.column(1).to_pylist())
             rows = np.flatnonzero(bags.full)
-            yield pa.RecordBatch.from_arrays([pa.array(bags.signature[rows].view(np.int64)), batch.column(0).take(pa.array(rows))], names=["sig", identity])
+            yield pa.RecordBatch.from_arrays([pa.array(bags.signature[rows].view(np.int64)), batch.column(0).take(pa.array(rows))], names=["sig", "id"])
 
-    kept = texts.where(F.col(identity).isNotNull() & F.col(text).isNotNull()).select(identity, text)
-    return kept.mapInArrow(signatures, f"sig long, {identity} {dict(kept.dtypes)[identity]}")
+    return kept.mapInArrow(signatures, f"sig long, id {dict(kept.dtypes)['id']}").withColumnRenamed("id", identity)
+
+
+def survey(texts: DataFrame, identity: str, text: str) -> tuple[DataFrame, Broadcast]:
+    """(sig, id) of every row whose text has words and whose identity is not null, once each, and the heavy terms: one pass over the texts."""
+    named = texts.select(F.col(identity).alias("id"), F.col(text).alias("text"))
+    found = cut(named.mapInArrow(surveyed, f"id {dict(named.dtypes)['id']}, term long, n long"))
+    members = found.where("id IS NOT NULL").select(F.col("term").alias("sig"), "id").distinct()
+    return members, texts.sparkSession.sparkContext.broadcast(heaviest(found, texts.count()))
 
 
 def bag_elements(texts: DataFrame, text: str, agreement: float, wanted: Filter, heavy: Broadcast) -> DataFrame:
@@ -140,14 +148,13 @@ def agreeing(pairs: DataFrame, texts: DataFrame, text: str, agreement: float, he
     return compared.where(F.col("common") >= agreement * F.col("longer") - F.lit(1e-9)).drop("need")
 
 
-def near_duplicate_bags(texts: DataFrame, text: str = "text", agreement: float = 0.75) -> DataFrame:
+def near_duplicate_bags(texts: DataFrame, text: str, agreement: float, heavy: Broadcast) -> DataFrame:
     """Links (a, b, dot, common, longer) between different bags that agree to at least `agreement`.
 
     The agreement is the number of common words, with repetition and in any order, by the
     words of the longer text. Null, empty and wordless texts take no part; an empty table
     gives no rows; other columns of `texts` do not matter.
     """
-    heavy = texts.sparkSession.sparkContext.broadcast(heavy_terms(texts, text))
     return agreeing(cut(candidates(texts, text, agreement, heavy)), texts, text, agreement, heavy)
 
 
@@ -157,9 +164,9 @@ def near_duplicate_pairs(texts: DataFrame, identity: str = "passage_id", text: s
     A row with a null identity is left out. An identity that comes several times counts
     once: its pairs are those of any of its texts. Rows of one identity are never paired.
     """
-    members = cut(bag_members(texts, identity, text).distinct())
-    links = near_duplicate_bags(texts, text, agreement).select("a", "b")
-    one, two = (members.select(F.col("sig").alias(s), F.col(identity).alias(i)) for s, i in (("a", "x"), ("b", "y")))
+    members, heavy = survey(texts, identity, text)
+    links = near_duplicate_bags(texts, text, agreement, heavy).select("a", "b")
+    one, two = (members.select(F.col("sig").alias(s), F.col("id").alias(i)) for s, i in (("a", "x"), ("b", "y")))
     across = links.join(one, "a").join(two, "b")
     repeated = members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sig").alias("a"))
     copies = one.join(repeated, "a", "left_semi")
@@ -174,9 +181,9 @@ def near_duplicate_classes(texts: DataFrame, identity: str = "passage_id", text:
     Copies are not expanded into pairs: they share their class and links. Rows without words
     or with a null identity are left out; an identity with several texts has a row for each class.
     """
-    links = cut(near_duplicate_bags(texts, text, agreement).select("a", "b"))
+    members, heavy = survey(texts, identity, text)
+    links = cut(near_duplicate_bags(texts, text, agreement, heavy).select("a", "b"))
     both = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
     groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("vertex").alias("sig"), "component")
-    members = bag_members(texts, identity, text).distinct()
     known = members.join(both.join(groups, "sig"), "sig", "left")
-    return known.groupBy(identity, F.coalesce("component", "sig").alias("class")).agg(F.max(F.coalesce("links", F.lit(0))).alias("links"))
+    return known.groupBy(F.col("id").alias(identity), F.coalesce("component", "sig").alias("class")).agg(F.max(F.coalesce("links", F.lit(0))).alias("links"))

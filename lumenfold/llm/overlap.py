@@ -80,12 +80,12 @@ def postings(texts: DataFrame, side: str, text: str, agreement: float, heavy: Br
 def acceptance(agreement: float) -> blocks.Accept:
     """Tells which pairs of postings may be of texts that agree, by residual norms, bitmaps and lengths."""
 
-    def accept(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        near = np.minimum(left["rest"], right["rest"]) >= np.maximum(left["need"], right["need"])
+    def accept(one: blocks.Columns, i: np.ndarray, two: blocks.Columns, j: np.ndarray) -> np.ndarray:
+        near = np.minimum(one["rest"][i], two["rest"][j]) >= np.maximum(one["need"][i], two["need"][j])
         at = np.flatnonzero(near)
-        one, two = left[at], right[at]
-        apart = np.bitwise_count(one["low"] ^ two["low"]).astype(np.int64) + np.bitwise_count(one["high"] ^ two["high"])
-        n, m = one["n"].astype(np.int64), two["n"].astype(np.int64)
+        i, j = i[at], j[at]
+        apart = np.bitwise_count(one["low"][i] ^ two["low"][j]).astype(np.int32) + np.bitwise_count(one["high"][i] ^ two["high"][j])
+        n, m = one["n"][i].astype(np.int32), two["n"][j].astype(np.int32)
         longer = np.maximum(n, m)
         near[at] = (longer == LARGEST) | (n + m - apart >= 2 * agreement * longer - 1e-9)
         return near

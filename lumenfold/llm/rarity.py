@@ -27,21 +27,34 @@ def heavy_terms(texts: DataFrame, text: str) -> Heavy:
 
     An element that is so frequent over all texts is so in some partition; the counts are lower bounds.
     """
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in batches:
-            seen += batch.num_rows
-            own, times = np.unique(Bags(batch.column(0).to_pylist()).elements, return_counts=True)
-            both, back = np.unique(np.concatenate((hashes, own[times > 1])), return_inverse=True)
-            found = np.bincount(back, np.concatenate((found, times[times > 1])), len(both)).astype(np.int64)
-            hashes = both
-        keep = found * HEAVY >= seen
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(found[keep])], names=["term", "n"])
-
-    rows = texts.count()
-    summed = texts.select(text).mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    table = summed.where(F.col("n") * HEAVY >= rows).toArrow()
+    found = texts.select(F.lit(None).cast("int").alias("id"), text).mapInArrow(surveyed, "id int, term long, n long")
+    return heaviest(found, texts.count())
+
+
+def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, text): (id, term, null) with the signature of each text that has words and an id, and in the end (null, term,
+    n) for the elements that at least a 1/HEAVY of the texts have."""
+    hashes, found, seen, kind = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, pa.null()
+    for batch in batches:
+        seen += batch.num_rows
+        ids, kind = batch.column(0), batch.column(0).type
+        bags = Bags(batch.column(1).to_pylist())
+        rows = np.flatnonzero(bags.full & ids.is_valid().to_numpy(zero_copy_only=False))
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(bags.signature[rows].view(np.int64)), pa.nulls(len(rows), pa.int64())], names=["id", "term", "n"])
+        own, times = np.unique(bags.elements, return_counts=True)
+        both, back = np.unique(np.concatenate((hashes, own[times > 1])), return_inverse=True)
+        found = np.bincount(back, np.concatenate((found, times[times > 1])), len(both)).astype(np.int64)
+        hashes = both
+    keep = found * HEAVY >= seen
+    if keep.any():
+        yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), kind), pa.array(hashes[keep].view(np.int64)), pa.array(found[keep])], names=["id", "term", "n"])
+
+
+def heaviest(found: DataFrame, rows: int) -> Heavy:
+    """The heavy terms of what `surveyed` finds in `rows` texts."""
+    summed = found.where("id IS NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    table = summed.where(F.col("n") * HEAVY >= rows).toArrow()  # at most HEAVY times the mean number of words
     hashes, n = table.column("term").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order], rows

@@ -9,8 +9,9 @@ takes the cosines of all vectors at home in it with all in it by one matrix prod
 keeps each vector's best; the best of all tables are merged.
 
 The coordinates travel with the entries, as multiples of 1/STEPS, byte planes compressed:
-cosines are off by some 3e-5. So vectors are shuffled tables x (1 + PROBES) times and never
-again for candidate pairs, of which there are far more. The number of hashes grows with
+cosines are off by some 3e-5. So vectors are shuffled tables x (1 + PROBES) times and not
+again for candidate pairs, of which there are far more, but for those that rounding alone
+would decide: they are reranked by exact cosines of the vectors (`reranked`). The number of hashes grows with
 the logarithm of the number of vectors, so buckets keep their size, and with it the number
 of tables (`tables_for`), so recall at the cosine bound stays; crowded buckets are cut
 into tiles that all tasks share. Equal vectors (a third of all may be) enter the tables
@@ -26,17 +27,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
 from lumenfold.llm.words import mix
-from lumenfold.plans.lineage import cut
+from lumenfold.plans.lineage import broadcast_if_few, cut
 
 #: At least so many tables; `tables_for` adds more.
 TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
 #: Estimated recall of pairs right at the cosine bound, at every number of hashes, and the sample that estimates it.
 RECALL, SAMPLE = 0.98, 1 << 17
+#: Cosines of rounded coordinates are off by less, six times their standard error; and how many beyond the k best are kept for the exact order.
+DOUBT, SPARE = 1.5e-4, 3
 #: Vectors that an average bucket would hold if all were unrelated.
 BUCKET = 5000
 #: Vectors of a bucket, and of those that a writer holds, from which it is cut into tiles; the size of these; cells of a matrix product.
@@ -174,7 +177,7 @@ def compare(left: np.ndarray, right: np.ndarray, cosine: float, k: int) -> Itera
     a, b = (r["v"].astype(np.float32) * np.float32(1 / STEPS) for r in (left, right))
     step = max(1, CELLS // max(1, len(b)))
     for x in range(0, len(a), step):
-        i, j = np.nonzero(a[x : x + step] @ b.T >= cosine - 1e-3)
+        i, j = np.nonzero(a[x : x + step] @ b.T >= cosine - 1e-3)  # single precision; the rest is decided below
         i += x
         other = left["id"][i] != right["id"][j]
         i, j = i[other], j[other]
@@ -194,7 +197,7 @@ def met_in_buckets(entries: DataFrame, size: int, cosine: float, k: int) -> Data
 
     def pack(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
         kept = best(np.concatenate(found), k)
-        return [(b, r.tobytes()) for b, r in blocks.split(kept, blocks.bucket_of(kept["id"], buckets))]
+        return [(b, blocks.squeeze(r)) for b, r in blocks.split(kept, blocks.bucket_of(kept["id"], buckets))]
 
     def order(records: np.ndarray) -> np.ndarray:
         return records[np.lexsort((records["side"], records["key"]))]
@@ -219,7 +222,7 @@ def met_in_buckets(entries: DataFrame, size: int, cosine: float, k: int) -> Data
         size = 0
         for batch in batches:
             for blob in batch.column(1):
-                held.append(np.frombuffer(blob.as_py(), FOUND))
+                held.append(blocks.unsqueeze(blob.as_py(), FOUND))
                 size += len(held[-1])
                 if size > 2 * blocks.GATHER:
                     held = [best(np.concatenate(held), k)]
@@ -268,12 +271,42 @@ def similar_vectors(vectors: DataFrame, identity: str = "vec_id", vector: str =
     entered = kept if spare.isEmpty() else kept.join(spare, "id", "left_anti")
     hashes = hashes_for(vectors.count())
     tables = tables or tables_for(hashes, probes, cosine)
-    met = met_in_buckets(table_entries(entered, size, hashes, tables, probes), size, cosine, k).select("id", F.col("other").alias("neighbour"), F.col("cosine").cast("double").alias("cosine"))
+    met = met_in_buckets(table_entries(entered, size, hashes, tables, probes), size, cosine - DOUBT, k + SPARE).select("id", F.col("other").alias("neighbour"), F.col("cosine").cast("double").alias("cosine"))
     # Everyone's list in a crowd is its k least other ids.
     crowded = crowds.select("id", F.explode(F.slice(F.array_remove("ids", F.col("id")), 1, k)).alias("neighbour"), F.lit(1.0).alias("cosine"))
     once = met.join(crowds.select("id").distinct(), "id", "left_anti").unionByName(crowded).groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")))
-    return ranked.where(F.col("place") <= k)
+    return reranked(once, kept, k, cosine)
+
+
+def reranked(found: DataFrame, vectors: DataFrame, k: int, cosine: float) -> DataFrame:
+    """(id, neighbour, cosine, place): the k best of each id, those that rounding alone decides by exact cosines.
+
+    found: (id, neighbour, cosine), cosines of rounded coordinates, off by less than DOUBT.
+    In doubt are pairs that close to the bound, and pairs that close to the k-th place where the
+    next one is as close; only these meet their vectors again.
+    """
+    by = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
+    whole = Window.partitionBy("id")
+    placed = found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + SPARE)
+    last, after = (F.max(F.when(F.col("place") == n, F.col("cosine"))).over(whole) for n in (k, k + 1))
+    marked = placed.withColumns({"last": last, "after": after})
+    open_ = (F.abs(F.col("cosine") - cosine) < DOUBT) | F.coalesce((F.abs(F.col("cosine") - F.col("last")) < 2 * DOUBT) & (F.col("last") - F.col("after") < 2 * DOUBT), F.lit(False))
+    ready = cut(marked.select("id", "neighbour", "cosine", open_.alias("open")))
+    doubted = ready.where("open").select("id", "neighbour")
+    ends = broadcast_if_few(doubted.select(F.explode(F.array("id", "neighbour")).alias("id")).distinct())
+    own = vectors.join(ends, "id", "left_semi")
+    pairs = doubted.join(own.withColumnRenamed("v", "one"), "id").join(own.select(F.col("id").alias("neighbour"), F.col("v").alias("two")), "neighbour")
+    exact = pairs.groupBy("id", "neighbour").agg(F.max(F.round(exact_cosine(F.col("one"), F.col("two")), 12)).alias("cosine"))
+    settled = ready.where("NOT open").select("id", "neighbour", "cosine").unionByName(exact.where(F.col("cosine") >= cosine))
+    return settled.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
+def exact_cosine(one: Column, two: Column) -> Column:
+    """The cosine in doubles; scaled by the largest coordinates first, so squares neither overflow nor vanish."""
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    scaled = lambda v: once(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), lambda top: F.transform(v, lambda x: x.cast("double") / top))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return once(scaled(one), lambda a: once(scaled(two), lambda b: dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
 
 
 def similar_pairs(vectors: DataFrame, **options) -> DataFrame:

@@ -142,6 +142,7 @@ def test_bounds_lose_no_pair():
         for e in bags.elements[at]:
             own["low" if e >> np.uint64(57) < 64 else "high"] ^= np.uint64(1) << ((e >> np.uint64(57)) & np.uint64(63))
         listed.append((bags.elements[at], own, weight[bags.start[i] : bags.start[i] + bags.count[i]]))
+    columns = [blocks.columns_of(own) for _, own, _ in listed]
     agreed = 0
     for a in range(len(texts)):
         for b in range(a):
@@ -150,7 +151,7 @@ def test_bounds_lose_no_pair():
             if len(common) >= 0.75 * max(len(one), len(two)) - 1e-9 and len(one):
                 agreed += 1
                 met = [(np.flatnonzero(one == e)[0], np.flatnonzero(two == e)[0]) for e in common]
-                assert any(p["rest"][i] >= need[a] and q["rest"][j] >= need[b] and accept(p[i : i + 1], q[j : j + 1])[0] for i, j in met)
+                assert any(p["rest"][i] >= need[a] and q["rest"][j] >= need[b] and accept(columns[a], np.array([i]), columns[b], np.array([j]))[0] for i, j in met)
                 assert w[np.isin(one, common)].sum() >= max(need[a], need[b])
     assert agreed > 100
 
