@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import blocks
+from lumenfold.llm.bits import filter_of
 from lumenfold.llm.words import mix
-from lumenfold.plans.lineage import broadcast_if_few, cut
+from lumenfold.plans.lineage import cut
 
 #: At least so many tables; `tables_for` adds more.
 TABLES, PROBES, WIDTH, STEPS, SEED = 4, 1, 1.5, 1 << 14, 7
@@ -293,8 +294,14 @@ def reranked(found: DataFrame, vectors: DataFrame, k: int, cosine: float) -> Dat
     open_ = (F.abs(F.col("cosine") - cosine) < DOUBT) | F.coalesce((F.abs(F.col("cosine") - F.col("last")) < 2 * DOUBT) & (F.col("last") - F.col("after") < 2 * DOUBT), F.lit(False))
     ready = cut(marked.select("id", "neighbour", "cosine", open_.alias("open")))
     doubted = ready.where("open").select("id", "neighbour")
-    ends = broadcast_if_few(doubted.select(F.explode(F.array("id", "neighbour")).alias("id")).distinct())
-    own = vectors.join(ends, "id", "left_semi")
+    ends = doubted.select(F.explode(F.array("id", "neighbour")).alias("hash")).distinct()
+    wanted = filter_of(ends, ends.count())
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.passes(batch.column(0).to_numpy())))
+
+    own = vectors.mapInArrow(passing, "id long, v array<float>")
     pairs = doubted.join(own.withColumnRenamed("v", "one"), "id").join(own.select(F.col("id").alias("neighbour"), F.col("v").alias("two")), "neighbour")
     exact = pairs.groupBy("id", "neighbour").agg(F.max(F.round(exact_cosine(F.col("one"), F.col("two")), 12)).alias("cosine"))
     settled = ready.where("NOT open").select("id", "neighbour", "cosine").unionByName(exact.where(F.col("cosine") >= cosine))
