@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.plans.lineage import broadcast_if_few, cut
+from lumenfold.operators.evaluation import quantile
+from lumenfold.plans.lineage import cut
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -103,6 +102,15 @@ def near_duplicates(texts: DataFrame, identity: str, terms: str, train: Column,
     return known.where(~F.col("fit")).join(best, "class").select("id", "best")
 
 
+def closest_report(best: DataFrame, others: int, threshold: float = 0.9) -> DataFrame:
+    """(n, max_cosine, p99_cosine, near): from (id, best), the largest cosines of those that have one; the others' count as 0.
+
+    others: how many texts were compared in all.
+    """
+    share = quantile(best.select(F.col("best").alias("v")).unionByName(best.sparkSession.range(0, max(0, others - best.count())).select(F.lit(0.0).alias("v"))), "v", [0.99])
+    return best.agg(F.lit(others).cast("long").alias("n"), F.coalesce(F.max("best"), F.lit(0.0)).alias("max_cosine"), F.count(F.when(F.col("best") >= threshold - 1e-9, 1)).alias("near")).crossJoin(share.select(F.col("value").alias("p99_cosine")))
+
+
 def top_by_hash(rows: DataFrame, strata: list[Column], text: Column, n: int) -> DataFrame:
     """The `n` rows of each stratum with the least SHA-1 of `text`; a reproducible sample or cap.
 
@@ -115,18 +123,27 @@ def top_by_hash(rows: DataFrame, strata: list[Column], text: Column, n: int) ->
 def off_topic_choice(members: DataFrame, order: list[tuple[str, str]], per_category: int) -> DataFrame:
     """(title, split, category): the first titles of each category that no earlier one took.
 
-    members: (title, split, category, depth). Categories come one after another in `order`;
-    which titles one takes depends on those before, so each is a step of its own, and the
-    number of steps is that of the categories.
+    members: (title, split, category, depth). Categories come one after another in `order`,
+    and which titles one takes depends on those before. But only its first titles can
+    matter: with the k-th category at most (k - 1) * per_category titles are taken before,
+    so of each category that many more than it takes are ranked, in one pass, and the turns
+    go over these few rows on the driver.
     """
-    taken: list[DataFrame] = []
-    for split, category in order:
-        own = members.where((F.col("split") == split) & (F.col("category") == category)).groupBy("title").agg(F.min("depth").alias("depth"))
-        for before in taken:
-            own = own.join(broadcast_if_few(before), "title", "left_anti")
-        ranked = own.orderBy("depth", F.sha1("title"), "title").limit(per_category)
-        taken.append(ranked.select("title", F.lit(split).alias("split"), F.lit(category).alias("category")))
-    return reduce(DataFrame.unionByName, taken)
+    place = {pair: n for n, pair in enumerate(order)}
+    numbers = F.create_map(*(x for (s, c), n in place.items() for x in (F.concat(F.lit(s), F.lit("\0"), F.lit(c)), F.lit(n))))
+    own = members.withColumn("turn", F.try_element_at(numbers, F.concat("split", F.lit("\0"), "category"))).where("turn IS NOT NULL")
+    least = own.groupBy("turn", "title").agg(F.min("depth").alias("depth"))
+    by = Window.partitionBy("turn").orderBy("depth", F.sha1("title"), "title")
+    first = least.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_category * len(order)).where(F.col("n") <= per_category * (F.col("turn") + 1))
+    taken: set[str] = set()
+    left = dict.fromkeys(range(len(order)), per_category)
+    rows = []
+    for r in first.orderBy("turn", "n").toLocalIterator():  # at most per_category * categories ** 2 / 2 titles
+        if left[r.turn] and r.title not in taken:
+            taken.add(r.title)
+            left[r.turn] -= 1
+            rows.append((r.title, *order[r.turn]))
+    return members.sparkSession.createDataFrame(rows, "title string, split string, category string")
 
 
 def transitions(old: DataFrame, new: DataFrame, key: str, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import SUMMARY_CHARS, TITLE_CHARS, clean_snippet, is_safe_url
+from lumenfold.functions.text import STORED_CHARS, SUMMARY_CHARS, TITLE_CHARS, clean_snippet, is_safe_url
 from lumenfold.operators.corpus import latest
 
 SCHEMA_VERSION = 1
@@ -58,6 +58,62 @@ def end_sessions(sessions: DataFrame, ended: DataFrame) -> DataFrame:
     return sessions.join(new, "session_id", "left").withColumn("ended_at", F.coalesce("ended_at", "_end")).drop("_end").select(*sessions.columns)
 
 
+#: Tables of the store; nothing else is counted or written by name.
+STORE = ("sessions", "texts", "conversation_topics", "search_results", "search_cache", "model_versions")
+
+
+def text_rows(turns: DataFrame) -> DataFrame:
+    """Rows of `texts` from (session, turn, text, status, general, confidence, subtopics array<struct>, general_probs map).
+
+    Content is cut at STORED_CHARS, probabilities have 4 decimals, nested values are JSON;
+    everything but status ok is uncertain.
+    """
+    rounded = F.transform_values("general_probs", lambda _, v: F.round(v, 4))
+    subs = F.transform("subtopics", lambda s: F.struct(s["id"].alias("id"), F.round(s["probability"], 4).alias("probability")))
+    return turns.select(
+        F.col("session").cast("string").alias("session_id"), "turn", F.substring("text", 1, STORED_CHARS).alias("content"), F.col("general").alias("general_topic"), F.col("confidence").alias("general_confidence"),
+        F.coalesce(F.to_json(subs), F.lit("[]")).alias("subtopics_json"), F.coalesce(F.to_json(rounded), F.lit("{}")).alias("general_probs_json"), (F.col("status") != "ok").cast("int").alias("uncertain"), "status",
+    )
+
+
+def topic_rows(themes: DataFrame, least: float = 0.01) -> DataFrame:
+    """Rows of `conversation_topics` from (session, turn, label, phrase, scores map, sub_scores map, query).
+
+    Scores have 4 decimals; subtopics below `least` are left out.
+    """
+    rounded = lambda c: F.transform_values(c, lambda _, v: F.round(v, 4))
+    kept = F.map_filter("sub_scores", lambda _, v: v >= least)
+    return themes.select(F.col("session").cast("string").alias("session_id"), "turn", "label", "phrase", F.to_json(rounded(F.col("scores"))).alias("general_scores_json"), F.to_json(rounded(kept)).alias("subtopic_scores_json"), F.coalesce("query", F.lit("")).alias("query"))
+
+
+def result_rows(topics: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `search_results`: the results (query, provider, rank, title, summary, url) of each topic's query; topics without results have none."""
+    return topics.select("session_id", "turn", "query").join(found, "query").select("session_id", "turn", "query", "provider", "rank", "title", "summary", "url")
+
+
+def session_texts(texts: DataFrame, session: str | None = None) -> DataFrame:
+    """(session_id, turn, content, general_topic, subtopics, uncertain, status) in the order of turns, decoded; of one session or of all."""
+    own = texts if session is None else texts.where(F.col("session_id") == session)
+    decoded = F.from_json("subtopics_json", "array<struct<id:string,probability:double>>")
+    return own.select("session_id", "turn", "content", "general_topic", decoded.alias("subtopics"), (F.col("uncertain") == 1).alias("uncertain"), "status").orderBy("session_id", "turn")
+
+
+def counted(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """(n): the rows of a table of the store; other names raise."""
+    if name not in STORE:
+        raise ValueError(f"unknown table {name}")
+    return tables[name].agg(F.count("*").alias("n"))
+
+
+def migrated(table: DataFrame, stored: int, steps: list) -> DataFrame:
+    """A stored table, brought from its version to that of `steps`, each a function of the table; newer versions are refused."""
+    if stored > len(steps):
+        raise ConstraintError(f"version {stored} is newer than {len(steps)}")
+    for step in steps[stored:]:
+        table = step(table)
+    return table
+
+
 def wikipedia_results(payloads: DataFrame, most: int = 3) -> DataFrame:
     """(id, rank, title, summary, url) from (id, payload JSON): pages by index, unsafe addresses dropped, ranks anew."""
     page = "struct<index:bigint,title:string,extract:string,fullurl:string>"
@@ -89,6 +145,15 @@ def first_answer(candidates: DataFrame) -> DataFrame:
     """Of (id, priority, answered, n_results, cached): the first candidate that has results, else `no_results`.
 
     A cached empty answer counts as answered; without any answer the search is `offline`.
+    Candidates whose provider cools down (`available`) should be gone before.
     """
     hit = F.min(F.when(F.col("n_results") > 0, F.struct("priority", "cached")))
     return candidates.groupBy("id").agg(hit.alias("h"), F.max("answered").alias("any")).select("id", F.when(F.col("h.cached"), "cached").when(F.col("h").isNotNull(), "ok").when(F.col("any"), "no_results").otherwise("offline").alias("status"), F.col("h.priority").alias("priority"))
+
+
+def available(candidates: DataFrame, failures: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """The candidates whose provider has not failed within the last `seconds`; failures: (provider, failed_at). Cached ones always stay."""
+    cooling = failures.groupBy("provider").agg(F.max("failed_at").alias("_failed"))
+    met = candidates.join(F.broadcast(cooling), "provider", "left")  # a row a provider
+    down = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("_failed") < seconds, F.lit(False))
+    return met.where(F.col("cached") | ~down).drop("_failed")

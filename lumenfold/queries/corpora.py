@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
-from lumenfold.operators import corpus, hierarchy, profile
+from lumenfold.operators import corpus, detectors, evaluation, hierarchy, profile
 from lumenfold.queries import Registry
 from lumenfold.sources.tables import table
 
@@ -143,11 +143,16 @@ c AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS cosine FROM u a JOIN u b USI
 SELECT id, round(max(cosine), 6) AS best FROM c WHERE cosine >= 0.3 - 1e-9 GROUP BY 1""")
 def c9_near_duplicates(spark, d):
     """Off-topic passages whose TF-IDF cosine with a held-out text is at least 0.3."""
+    found = corpus.near_duplicates(held_and_other(spark, d), "id", "terms", F.col("fit"), 0.3)
+    return found.select("id", F.round("best", 6).alias("best"))
+
+
+def held_and_other(spark: SparkSession, d: str) -> DataFrame:
+    """(id, fit, terms) of held-out texts, which are fitted to, and of off-topic passages."""
     held = table(spark, d, "heldout_items").select(F.concat(F.lit("h"), F.col("item_id").cast("string")).alias("id"), F.lit(True).alias("fit"), "text")
     other = table(spark, d, "ood_passages").where("text is not null").groupBy(F.col("passage_id").alias("id")).agg(F.min("text").alias("text")).select("id", F.lit(False).alias("fit"), "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), 1)
-    found = corpus.near_duplicates(held.unionByName(other).withColumn("terms", corpus.word_terms(words)), "id", "terms", F.col("fit"), 0.3)
-    return found.select("id", F.round("best", 6).alias("best"))
+    return held.unionByName(other).withColumn("terms", corpus.word_terms(words))
 
 
 @R.register()
@@ -334,3 +339,65 @@ def m2_character_passages(spark, d):
     """Character runs of the passages; counted inside each row."""
     terms = delivered(spark, d).select("passage_id", corpus.character_terms(X.words_of(F.lower("text"))).alias("t")).where(F.size("t") > 0)
     return terms.select("passage_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+def prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, length, english, words): every document and its first words, and the lower-case words of each."""
+    rows = table(spark, d, "documents").where(F.trim("text") != "").select("doc_id", (F.lower(F.substring(F.trim("lang"), 1, 2)) == "en").alias("english"), F.explode(X.first_words(F.col("text"))).alias("p")).where("english IS NOT NULL")
+    return rows.select("doc_id", "p.length", "english", F.regexp_extract_all(F.lower("p.prefix"), F.lit("([a-z]+)"), 1).alias("words"))
+
+
+_PREFIXES = f"""lx AS ({R.sql["m8_lexicon"]}), dc AS (SELECT doc_id, lower(left(trim(lang), 2)) = 'en' AS english, text, regexp_split_to_array(trim(text, E' \\t\\n\\r\\f\\v'), '[ \\t\\n\\r\\f\\v]+') AS p FROM documents WHERE trim(text) <> '' AND lang IS NOT NULL),
+px AS (SELECT doc_id, english, unnest([{{'length': 'full', 'prefix': text}}] || list_transform(list_filter([1, 2, 3], lambda k: length(p) > k), lambda k: {{'length': CAST(k AS VARCHAR), 'prefix': array_to_string(p[1:k], ' ')}}), recursive := true) FROM dc),
+un AS (SELECT DISTINCT doc_id, length FROM (SELECT doc_id, length, unnest(regexp_extract_all(lower(prefix), '[a-z]+')) AS word FROM px) WHERE word NOT IN (SELECT word FROM lx)),
+ac AS (SELECT px.doc_id, px.length, english, un.doc_id IS NULL AS accepted FROM px LEFT JOIN un ON un.doc_id = px.doc_id AND un.length = px.length)""".replace("\\\\", "\\")
+
+
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, length, english, accepted): accepted if the training passages have all words."""
+    rows = prefixes(spark, d).withColumnRenamed("english", "truth")
+    found = detectors.accepts_english(F.col("words"), m8_lexicon(spark, d), F.lit("xx"), F.lit(1.0), {k: 0.0 for k in ("0", "1", "2", "3", "4+")}, rows)
+    return found.select("doc_id", "length", F.col("truth").alias("english"), F.col("english").alias("accepted"))
+
+
+@R.register(f"WITH {_PREFIXES} SELECT CASE WHEN GROUPING(length) = 1 THEN 'all' ELSE length END AS length, round(avg(accepted::INT) FILTER (WHERE english), 6) AS english_accepted, round(avg(1 - accepted::INT) FILTER (WHERE NOT english), 6) AS non_english_rejected, round((avg(accepted::INT) FILTER (WHERE english) + avg(1 - accepted::INT) FILTER (WHERE NOT english)) / 2, 6) AS balanced_accuracy, count(*) FILTER (WHERE english) AS n_english, count(*) FILTER (WHERE NOT english) AS n_non_english FROM ac GROUP BY GROUPING SETS ((length), ())")
+def e13_gate_rates(spark, d):
+    """How the lexicon tells English by the length of what it sees, and over all."""
+    rates = evaluation.gate_rates(gated(spark, d), "length")
+    return rates.select("length", *(F.round(c, 6).alias(c) for c in ("english_accepted", "non_english_rejected", "balanced_accuracy")), "n_english", "n_non_english")
+
+
+@R.register(f"WITH {_PREFIXES} SELECT length, round(avg(accepted::INT) FILTER (WHERE english), 4) AS english_accepted, round(avg(1 - accepted::INT) FILTER (WHERE NOT english), 4) AS non_english_rejected FROM ac GROUP BY length")
+def e12_language(spark, d):
+    """Acceptance and rejection rates by the number of first words."""
+    rates = evaluation.gate_rates(gated(spark, d), "length").where("length <> 'all'")
+    return rates.select("length", F.round("english_accepted", 4).alias("english_accepted"), F.round("non_english_rejected", 4).alias("non_english_rejected"))
+
+
+_LEAST = 0.2
+
+
+@R.register(f"""WITH {_PREFIXES}, wd AS (SELECT doc_id, english, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM dc), sh AS (SELECT doc_id, any_value(english) AS english, count(*) FILTER (WHERE word NOT IN (SELECT word FROM lx)) / count(*)::DOUBLE AS share FROM wd GROUP BY doc_id),
+sw AS (SELECT t, round(avg((share <= t)::INT) FILTER (WHERE english), 6) AS a, round(avg(1 - (share <= t)::INT) FILTER (WHERE NOT english), 6) AS r FROM sh, (SELECT unnest([0.05, 0.1, 0.2, 0.4])::DOUBLE AS t) GROUP BY t),
+el AS (SELECT *, a >= {_LEAST} AS eligible FROM sw) SELECT t AS threshold, a AS english_accepted, r AS non_english_rejected, eligible, eligible AND row_number() OVER (ORDER BY eligible DESC, round((a + r) / 2, 6) DESC, t) = 1 AS chosen FROM el""")
+def x8_gate_grid(spark, d):
+    """A gate that rejects texts with too many unknown words, at several shares; chosen is the eligible one of the best balanced accuracy."""
+    words = prefixes(spark, d).where("length = 'full'").select("doc_id", "english", F.explode("words").alias("word"))
+    lexicon = m8_lexicon(spark, d).withColumn("known", F.lit(1))
+    shares = words.groupBy("doc_id", "english", "word").agg(F.count("*").alias("n")).join(lexicon, "word", "left").groupBy("doc_id", "english").agg((F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    grid = [0.05, 0.1, 0.2, 0.4]
+    kept = shares.select("english", F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), (F.col("share") <= t).alias("accepted")) for t in grid))).alias("g")).select("english", "g.*")
+    rates = evaluation.gate_rates(kept.withColumn("threshold", F.col("threshold").cast("string")), "threshold").where("threshold <> 'all'").withColumn("threshold", F.col("threshold").cast("double"))
+    rounded = rates.select("threshold", F.round("english_accepted", 6).alias("english_accepted"), F.round("non_english_rejected", 6).alias("non_english_rejected"))
+    marked = rounded.withColumn("eligible", F.col("english_accepted") >= _LEAST).withColumn("balanced", F.round((F.col("english_accepted") + F.col("non_english_rejected")) / 2, 6))
+    best = evaluation.best_by(marked.where("eligible"), [], "balanced", ["threshold"]).select("threshold", F.lit(True).alias("chosen"))
+    return marked.join(F.broadcast(best), "threshold", "left").select("threshold", "english_accepted", "non_english_rejected", "eligible", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@R.register(R.sql["c9_near_duplicates"].replace("SELECT id, round(max(cosine), 6) AS best FROM c WHERE cosine >= 0.3 - 1e-9 GROUP BY 1", "SELECT (SELECT count(DISTINCT id) FROM t WHERE NOT fit) AS n, round(max(best), 6) AS max_cosine, count(*) FILTER (WHERE best >= 0.3 - 1e-9) AS near, (SELECT round(quantile_cont(coalesce(b.best, 0), 0.99), 6) FROM (SELECT DISTINCT id FROM t WHERE NOT fit) o LEFT JOIN (SELECT id, max(cosine) AS best FROM c WHERE cosine >= 0.05 - 1e-9 GROUP BY 1) b USING (id)) AS p99_cosine FROM (SELECT id, max(cosine) AS best FROM c WHERE cosine >= 0.05 - 1e-9 GROUP BY 1)"))
+def e21_closest(spark, d):
+    """How close off-topic passages come to held-out texts: the largest and the 99th percentile of the cosines, and how many reach 0.3."""
+    texts = held_and_other(spark, d)
+    best = corpus.near_duplicates(texts, "id", "terms", F.col("fit"), 0.05)
+    report = corpus.closest_report(best, texts.where("NOT fit").select("id").distinct().count(), 0.3)
+    return report.select("n", F.round("max_cosine", 6).alias("max_cosine"), "near", F.round("p99_cosine", 6).alias("p99_cosine"))

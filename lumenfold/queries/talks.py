@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as X
-from lumenfold.operators import conversation, hierarchy, profile, store
-from lumenfold.plans.lineage import cut
+from lumenfold.operators import conversation, evaluation, hierarchy, profile, store
+from lumenfold.plans import simulation
 from lumenfold.queries import Registry, corpora
 from lumenfold.sources.tables import table
 
@@ -187,19 +187,55 @@ def v8_turns(spark, d):
     return out.select("session", "turn", "status", "expired", "label", "phrase", F.array_join("concepts", "|").alias("concepts"), F.array_join("queries", "|").alias("queries"))
 
 
+_STORED = f"""{_TOPICAL}, ms AS (SELECT pq.session, pq.turn, pq.line, list_max(p) AS conf, {_list(TOPICS)}[list_position(p, list_max(p))] AS general, CASE WHEN list_max(p) >= 0.3 THEN 'ok' ELSE 'uncertain' END AS status FROM pq)"""
+
+
+def stored_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The turns as rows of `texts`."""
+    top = F.array_max(F.map_values("probs"))
+    general = F.array_min(F.map_keys(F.map_filter("probs", lambda _, v: v == top)))
+    rows = topical_turns(spark, d).withColumns({"confidence": top, "general": general}).withColumn("status", F.when(F.col("confidence") >= 0.3, "ok").otherwise("uncertain"))
+    subs = F.transform(F.array_sort(F.map_keys(F.map_filter("sub_probs", lambda _, v: v >= 0.2))), lambda k: F.struct(k.alias("id"), F.col("sub_probs")[k].alias("probability")))
+    return store.text_rows(rows.select("session", "turn", F.col("line").alias("text"), "status", "general", "confidence", subs.alias("subtopics"), F.col("probs").alias("general_probs")))
+
+
+@R.register(f"{_STORED} SELECT session::VARCHAR AS session_id, turn, left(line, 10000) AS content, general AS general_topic, round(conf, 6) AS general_confidence, CASE WHEN status = 'ok' THEN 0 ELSE 1 END AS uncertain, status FROM ms")
+def d3_texts(spark, d):
+    """Every turn as it is stored: its content within the limit, topic, confidence and status."""
+    return stored_texts(spark, d).select("session_id", "turn", "content", "general_topic", F.round("general_confidence", 6).alias("general_confidence"), "uncertain", "status")
+
+
+@R.register(f"""{_STORED} SELECT session::VARCHAR AS session_id, turn, coalesce((SELECT string_agg({_list(SUBTOPICS)}[i] || printf(':%.4f', round_even(q[i], 4)), ' ' ORDER BY i) FROM (SELECT unnest(range(1, {_Q + 1})) AS i) WHERE q[i] >= 0.2), '') AS subtopics FROM pq""")
+def d5_session_texts(spark, d):
+    """The stored turns of every session in order, their JSON read again."""
+    shown = F.array_join(F.transform("subtopics", lambda s: F.concat(s["id"], F.lit(":"), F.format_string("%.4f", s["probability"]))), " ")
+    return store.session_texts(stored_texts(spark, d)).select("session_id", "turn", shown.alias("subtopics"))
+
+
+@R.register(f"{_COMPOSED}, sc AS (SELECT session, turn, list_sum(list_transform(s, lambda x: round_even(x, 4))) AS total, length(list_filter(z, lambda x: x >= 0.01)) AS kept FROM st) SELECT th.session::VARCHAR AS session_id, th.turn, th.label, th.phrase, phrase AS query FROM th")
+def d4_topics(spark, d):
+    """The last theme of every session as a row of `conversation_topics`."""
+    last = last_themes(spark, d)
+    said = topical_turns(spark, d).select("session", "turn", F.col("probs").alias("scores"), "sub_probs")
+    rows = last.join(said, ["session", "turn"]).select("session", "turn", "theme.label", "theme.phrase", "scores", "sub_probs", F.col("theme.phrase").alias("query")).withColumnRenamed("sub_probs", "sub_scores")
+    return store.topic_rows(rows).select("session_id", "turn", "label", "phrase", "query")
+
+
+@R.register(f"""{_TOPICAL}, ex AS (SELECT session, turn, CASE WHEN weight > 0 THEN {_list(TOPICS)}[{_ARG.format(v="p").replace("range(1, 5)", f"range(1, {_N + 1})")}] END AS expected FROM tu),
+fo AS (SELECT session, turn, CASE WHEN dom > 0 THEN {_list(TOPICS)}[dom] END AS dominant FROM st WHERE turn > 0)
+SELECT session AS "case", count(*) AS steps, CAST(sum(CASE WHEN dominant IS NOT DISTINCT FROM expected THEN 1 ELSE 0 END) AS BIGINT) AS passed, bool_and(dominant IS NOT DISTINCT FROM expected) AS ok FROM ex JOIN fo USING (session, turn) GROUP BY session""")
+def e16_acceptance(spark, d):
+    """Every conversation as a case: the dominant topic after each turn should be the one the turn votes for, none for a flat turn."""
+    rows = topical_turns(spark, d)
+    top = F.array_max(F.map_values("probs"))
+    cases = rows.select(F.col("session").cast("string").alias("session"), "turn", F.col("session").alias("case"), F.when(F.col("weight") > 0, F.array_max(F.map_keys(F.map_filter("probs", lambda _, v: v == top)))).alias("expected"))
+    return evaluation.accepted_cases(conversation.themes(rows, RULES), cases, ["session", "turn"], "dominant")
+
+
 @R.register()
 def x9_simulation(spark, d):
-    """How often the dominant topic changes under each of a grid of rules."""
-    grid = [(decay, expire, confirm, votes) for decay in (0.5, 0.7, 0.9) for expire in (2, 4) for confirm in (1, 2) for votes in (True, False)]
-    rows = cut(mapped(turns(spark, d)).select("session", "turn", "probs", "weight"))
-    out = None
-    for decay, expire, confirm, votes in grid:
-        found = conversation.themes(rows, conversation.Rules(decay, 0.2, expire, confirm, votes))
-        before = F.lag("dominant").over(Window.partitionBy("session").orderBy("turn"))
-        one = found.withColumn("changed", (before.isNotNull() & (F.col("dominant") != before)).cast("int")).agg(F.sum("changed").alias("changes"), F.count(F.when(F.col("dominant").isNotNull(), 1)).alias("with_theme"))
-        one = one.select(F.lit(decay).alias("decay"), F.lit(expire).alias("expire_after"), F.lit(confirm).alias("confirm_turns"), F.lit(votes).alias("by_votes"), "changes", "with_theme")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Generated conversations under a grid of rules: what each rule is worth, which are eligible, and the one chosen."""
+    return simulation.chosen_rules(simulation.simulated(spark, simulation.grid(), simulation.pools(topical_turns(spark, d))))
 
 
 @R.register()
