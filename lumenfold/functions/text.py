@@ -141,7 +141,7 @@ def is_heading(line: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Cleaned paragraphs of at least six words, in order, before the first back-matter heading."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))  # F.trim itself would take the index too
     back = F.array(*(F.lit(s) for s in BACK_MATTER))
     marked = F.transform(lines, lambda x: F.coalesce(is_heading(x) & F.array_contains(back, F.lower(x)), F.lit(False)))
     stop = F.array_position(marked, True)
@@ -231,6 +231,28 @@ def length_bucket(words: Column, edges: tuple[int, ...] = (0, 15, 25, 40)) -> Co
     return out.otherwise(f">{edges[-1]}")
 
 
+def seed_of(seed: Column) -> Column:
+    """struct<name, depth> of 'name@depth'; names have underscores for blanks; without a depth null."""
+    parts = F.split(seed, "@")
+    return F.struct(F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast("int").alias("depth"))
+
+
+def literal(text: Column) -> Column:
+    """A text as a quoted literal of a query language: backslashes and quotes escaped, line ends as signs."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit('"'))
+
+
+def best_guess(general: Column, confidence: Column) -> Column:
+    """What is shown of an uncertain answer: the topic with its confidence in percent; '' for none."""
+    return F.when(general.isNull(), "").otherwise(F.concat(general, F.lit(" ("), percent(confidence), F.lit(")")))
+
+
+def display(name: Column) -> Column:
+    """An identifier for people: words with capitals."""
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
 def percent(share: Column) -> Column:
     return F.format_string("%.1f%%", 100 * share)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,3 +182,97 @@ def recover(missing: DataFrame, aliases: DataFrame, dump: DataFrame, used: DataF
         out, options = cut(out), cut(options)
         if options.isEmpty():
             return out
+
+
+def with_quota(rows: DataFrame, split: Column, text: Column, quotas: dict[str, int]) -> DataFrame:
+    """`rows` with `part`: of each part named in `quotas` at most so many rows, those of the least SHA-256 of `text`; other parts have none."""
+    limit = F.try_element_at(F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair)), F.col("part"))
+    by = Window.partitionBy("part").orderBy(F.sha2(text, 256), text)
+    return rows.withColumn("part", split).withColumn("_n", F.row_number().over(by)).where((F.col("_n") <= max(quotas.values())) & (F.col("_n") <= limit)).drop("_n")
+
+
+def unseen_with_passages(titles: DataFrame, known: DataFrame, passages: DataFrame, n: int, times: int = 2) -> DataFrame:
+    """(primary, title): of each primary subtopic the first `n` unseen titles, by hash, that turn out to have a passage.
+
+    titles: (title, primary); known and passages: (title). Only the first times * n titles of each are looked at, as texts may have to be fetched for them.
+    """
+    drawn = top_by_hash(titles.join(known.select("title").distinct(), "title", "left_anti"), [F.col("primary")], F.col("title"), times * n)
+    return top_by_hash(drawn.join(passages.select("title").distinct(), "title", "left_semi"), [F.col("primary")], F.col("title"), n).select("primary", "title")
+
+
+def strata_sample(rows: DataFrame, identity: str, strata: dict[str, Column], n: int) -> DataFrame:
+    """(stratum, `identity`): `n` rows of each stratum in turn, by hash, none that an earlier stratum took.
+
+    With the k-th stratum at most (k - 1) * n rows are taken before, so k * n candidates of each are ranked in one pass and the turns go over these.
+    """
+    numbered = F.array_compact(F.array(*(F.when(condition, F.lit(k)) for k, condition in enumerate(strata.values()))))
+    each = rows.select(F.col(identity).alias("_id"), F.explode(numbered).alias("_k")).distinct()
+    by = Window.partitionBy("_k").orderBy(F.sha1(F.col("_id").cast("string")), "_id")
+    first = each.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n * len(strata)).where(F.col("_n") <= n * (F.col("_k") + 1))
+    names, taken, left, out = list(strata), set(), dict.fromkeys(range(len(strata)), n), []
+    for r in first.orderBy("_k", "_n").toLocalIterator():  # at most n * strata ** 2 / 2 rows
+        if left[r["_k"]] and r["_id"] not in taken:
+            taken.add(r["_id"])
+            left[r["_k"]] -= 1
+            out.append((names[r["_k"]], r["_id"]))
+    return rows.sparkSession.createDataFrame(out, f"stratum string, `{identity}` {dict(rows.dtypes)[identity]}")
+
+
+def fates(audited: DataFrame, current: DataFrame, key: str, label: str) -> DataFrame:
+    """(fate, n): what became of audited rows: removed, unchanged or relabelled."""
+    now = current.select(key, F.col(label).alias("_now"), F.lit(True).alias("_there"))
+    fate = F.when(F.col("_there").isNull(), "removed").when(F.col(label).eqNullSafe(F.col("_now")), "unchanged").otherwise("relabelled")
+    return audited.join(now, key, "left").groupBy(fate.alias("fate")).agg(F.count("*").alias("n"))
+
+
+def contained(documents: DataFrame, items: DataFrame, identity: str, item: str, text: str = "text", most: int = 200_000) -> DataFrame:
+    """(`identity`, `item`): documents whose text contains a whole item, character by character.
+
+    Items are sent to all tasks, `most` at a time, as one automaton that reads every text once
+    whatever their number; each block of items is one pass. Empty and null items are in nothing.
+    """
+    import ahocorasick
+
+    kinds = dict(documents.dtypes)[identity], dict(items.dtypes)[item]
+    schema = f"`{identity}` {kinds[0]}, `{item}` {kinds[1]}"
+    own = documents.where(F.col(identity).isNotNull() & F.col(text).isNotNull()).select(identity, text)
+    known = items.where(F.col(text) != "").select(item, text).distinct()
+
+    def search(block: list[tuple]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine, by = ahocorasick.Automaton(), {}
+            for n, t in block:
+                by.setdefault(t, []).append(n)
+            for t, ns in by.items():
+                machine.add_word(t, ns)
+            machine.make_automaton()
+            for batch in batches:
+                rows = [(d, n) for d, t in zip(batch[identity], batch[text]) for n in {n for _, ns in machine.iter(t) for n in ns}]
+                yield pd.DataFrame(rows, columns=[identity, item])
+
+        return run
+
+    out, block = documents.sparkSession.createDataFrame([], schema), []
+    for row in known.toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == most:
+            out, block = out.unionByName(own.mapInPandas(search(block), schema)), []
+    return out.unionByName(own.mapInPandas(search(block), schema)).distinct() if block else out.distinct()
+
+
+def texts_of_cases(cases) -> list[str]:
+    """Every sentence of nested cases: the values of "text", and strings with blanks in lists, but for comments, notes and ids."""
+    found: list[str] = []
+    open_ = [cases]
+    while open_:
+        node = open_.pop()
+        if isinstance(node, dict):
+            inside = [v for k, v in node.items() if k not in ("text", "comment", "note", "id")]
+            found += [node["text"]] if isinstance(node.get("text"), str) else []
+        elif isinstance(node, list):
+            found += [v for v in node if isinstance(v, str) and " " in v]
+            inside = [v for v in node if not isinstance(v, str)]
+        else:
+            continue
+        open_ += reversed(inside)
+    return found

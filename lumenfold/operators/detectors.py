@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.functions.vectors import dot, log_sum_exp, unit
+from lumenfold.functions.vectors import dot, log_sum_exp, softmax, unit
 from lumenfold.operators.evaluation import quantile
+from lumenfold.operators.heads import Softmax, fit_softmax
 from lumenfold.plans.lineage import cut
 
 
@@ -128,3 +129,37 @@ def route(needs_check: Column, english: Column, informative: Column, score: Colu
 
 def top_k_by_group(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)
+
+
+def _share_of(rows: DataFrame, vector: str, n: int, most: int) -> DataFrame:
+    """About `most` of the `n` rows, by the hash of the vector; all if there are no more."""
+    share = min(1.0, most / max(1, n))
+    return rows.where(F.pmod(F.xxhash64(F.col(vector)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+
+
+def fit_in_domain(known: DataFrame, other: DataFrame, vector: str, c: float = 1.0, times: int = 3, iterations: int = 200) -> Softmax:
+    """A two-class head, known against off-topic vectors, of which at most about `times` as many as known ones are used.
+
+    The score is the probability of class 1. Without off-topic rows it raises.
+    """
+    here, there = known.count(), other.count()
+    if not there:
+        raise ValueError("off-topic rows are needed")
+    both = known.select(vector, F.lit(1).alias("_y")).unionByName(_share_of(other, vector, there, times * here).select(vector, F.lit(0).alias("_y")))
+    return fit_softmax(both, vector, "_y", c, 2, iterations)
+
+
+def fit_other_class(known: DataFrame, other: DataFrame, vector: str, y: str, classes: int, c: float = 1.0, iterations: int = 200) -> Softmax:
+    """A head over the known classes and one more for off-topic vectors; the score is 1 - P(the last)."""
+    if other.isEmpty():
+        raise ValueError("off-topic rows are needed")
+    both = known.select(vector, F.col(y).alias("_y")).unionByName(other.select(vector, F.lit(classes).alias("_y")))
+    return fit_softmax(both, vector, "_y", c, classes + 1, iterations)
+
+
+def in_domain_score(head: Softmax, features: Column) -> Column:
+    return softmax(head.logits(features))[1]
+
+
+def other_class_score(head: Softmax, features: Column) -> Column:
+    return 1 - softmax(head.logits(features))[head.size - 1]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as X
 from lumenfold.operators import corpus, detectors, evaluation, hierarchy, profile
 from lumenfold.queries import Registry
+from lumenfold.sources import files
 from lumenfold.sources.tables import table
 
 R = Registry()
@@ -401,3 +402,78 @@ def e21_closest(spark, d):
     best = corpus.near_duplicates(texts, "id", "terms", F.col("fit"), 0.05)
     report = corpus.closest_report(best, texts.where("NOT fit").select("id").distinct().count(), 0.3)
     return report.select("n", F.round("max_cosine", 6).alias("max_cosine"), "near", F.round("p99_cosine", 6).alias("p99_cosine"))
+
+
+@R.register("SELECT part, site, question_id FROM (SELECT site, question_id, part, row_number() OVER (PARTITION BY part ORDER BY sha256(text), text, site, question_id) AS r FROM (SELECT DISTINCT site, question_id, text, CASE WHEN (strpos('0123456789abcdef', right(sha256(text), 1)) - 1) % 2 = 0 THEN 'dev' ELSE 'test' END AS part FROM se_locked WHERE text IS NOT NULL)) WHERE r <= CASE WHEN part = 'dev' THEN 60 ELSE 40 END")
+def c15_quotas(spark, d):
+    """At most 60 questions of one part and 40 of the other, parts by parity of the hash."""
+    rows = table(spark, d, "se_locked").where("text IS NOT NULL").select("site", "question_id", "text").distinct()
+    parity = F.conv(F.substring(F.sha2("text", 256), -1, 1), 16, 10).cast("int") % 2
+    return corpus.with_quota(rows, F.when(parity == 0, "dev").otherwise("test"), F.col("text"), {"dev": 60, "test": 40}).select("part", "site", "question_id")
+
+
+@R.register(f"""WITH c AS (SELECT title, min(string_split(subtopics, '|')[1]) AS "primary" FROM articles WHERE title IS NOT NULL AND subtopics IS NOT NULL GROUP BY title), u AS (SELECT * FROM c WHERE title NOT IN (SELECT title FROM {PASSAGES} WHERE s = 'train' AND title IS NOT NULL)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "primary" ORDER BY sha1(title), title) AS r FROM u) WHERE r <= 30), k AS (SELECT *, row_number() OVER (PARTITION BY "primary" ORDER BY sha1(title), title) AS q FROM o WHERE title IN (SELECT title FROM {PASSAGES} WHERE title IS NOT NULL))
+SELECT "primary", title FROM k WHERE q <= 15""")
+def c16_chosen(spark, d):
+    """Fifteen titles of each first subtopic that no training passage has and some passage has."""
+    titles = table(spark, d, "articles").where("title IS NOT NULL AND subtopics IS NOT NULL").groupBy("title").agg(F.min(F.split("subtopics", r"\|")[0]).alias("primary"))
+    named = delivered(spark, d).where("title IS NOT NULL")
+    return corpus.unseen_with_passages(titles, named.where("s = 'train'"), named, 15)
+
+
+_BY_HASH = "ORDER BY sha1(passage_id), passage_id"
+
+
+@R.register(f"""WITH p AS (SELECT passage_id, s, g FROM {PASSAGES}), a AS (SELECT passage_id FROM p WHERE s = 'test' {_BY_HASH} LIMIT 25), b AS (SELECT passage_id FROM p WHERE s IN ('test', 'val') AND passage_id NOT IN (FROM a) {_BY_HASH} LIMIT 25), c AS (SELECT passage_id FROM p WHERE g IS NULL AND passage_id NOT IN (FROM a) AND passage_id NOT IN (FROM b) {_BY_HASH} LIMIT 25)
+SELECT 'test' AS stratum, passage_id FROM a UNION ALL SELECT 'held out', passage_id FROM b UNION ALL SELECT 'unlabelled', passage_id FROM c""")
+def c19_strata(spark, d):
+    """Passages for an audit from strata that overlap, none twice."""
+    return corpus.strata_sample(delivered(spark, d), "passage_id", {"test": F.col("s") == "test", "held out": F.col("s").isin("test", "val"), "unlabelled": F.col("g").isNull()}, 25)
+
+
+@R.register(f"""WITH a AS (SELECT wiki_id, {GENERAL} AS g FROM articles), n AS (SELECT wiki_id, min(g) AS g FROM {PASSAGES} WHERE depth < 2 GROUP BY 1) SELECT CASE WHEN n.wiki_id IS NULL THEN 'removed' WHEN a.g IS NOT DISTINCT FROM n.g THEN 'unchanged' ELSE 'relabelled' END AS fate, count(*) AS n FROM a LEFT JOIN n USING (wiki_id) GROUP BY 1""")
+def c21_fates(spark, d):
+    """What became of the catalogue's labels in the passages that are not at the lowest depth."""
+    old = table(spark, d, "articles").select("wiki_id", F.nullif(F.lower(F.trim("general")), F.lit("")).alias("g"))
+    return corpus.fates(old, delivered(spark, d).where("depth < 2").groupBy("wiki_id").agg(F.min("g").alias("g")), "wiki_id", "g")
+
+
+@R.register("SELECT doc_id, item_id FROM documents d, heldout_items h WHERE contains(d.text, h.text)")
+def e22_contained(spark, d):
+    """Documents that contain a held-out text as it stands."""
+    return corpus.contained(table(spark, d, "documents"), table(spark, d, "heldout_items"), "doc_id", "item_id")
+
+
+@R.register(f"SELECT g AS general, s AS split, count(*) AS n, min(length(text)) AS shortest, max(length(text)) AS longest FROM {PASSAGES} WHERE text IS NOT NULL GROUP BY ALL")
+def e19_by_split(spark, d):
+    """Passages of each general topic and split, with their shortest and longest text."""
+    return delivered(spark, d).where("text IS NOT NULL").groupBy(F.col("g").alias("general"), F.col("s").alias("split")).agg(F.count("*").alias("n"), F.min(F.length("text")).cast("long").alias("shortest"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@R.register(f"SELECT s || CASE WHEN v = 1 THEN '_general' ELSE '' END AS name, count(*) AS n FROM {PASSAGES}, (SELECT unnest([0, 1]) AS v) WHERE s IN ('train', 'val', 'test') AND (v = 0 OR g IS NOT NULL) GROUP BY ALL")
+def s3_fan_out(spark, d):
+    """Rows of each split, and of those with a general topic."""
+    out = None
+    for name, rows in files.fan_out(delivered(spark, d), "s", ["train", "val", "test"], F.col("g").isNotNull()).items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n").where("n > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.register("SELECT category, CASE WHEN split = 'val' THEN 'dev' ELSE 'locked' END AS split, count(*) AS n FROM ood_passages WHERE category NOT IN (SELECT min(category) FROM ood_passages) AND split IN ('val', 'test') GROUP BY ALL")
+def s12_intents(spark, d):
+    """Off-topic passages but for one category, their splits named anew."""
+    rows = table(spark, d, "ood_passages")
+    first = rows.agg(F.min("category")).first()[0]
+    return files.without_intents(rows, "category", [first], {"val": "dev", "test": "locked"}).groupBy("category", "split").agg(F.count("*").alias("n"))
+
+
+_STOPS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in X.stop_words()) + "]"
+_PLAIN_WORDS = f"list_filter(regexp_extract_all(lower({{0}}), '[a-z][a-z''\\-]*'), lambda w: length(w) > 1 AND NOT list_contains({_STOPS}, w))".replace("\\\\", "\\")
+_STEM = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
+#: Keywords of the questions, as `q3_keywords` in another module; the vocabulary is that of m9.
+KEYWORDS_SQL = f"""WITH voc AS ({R.sql["m9_vocabulary"]}), ms AS (SELECT site || ':' || question_id AS id, min(text) AS text, min(coalesce(general, '')) AS phrase FROM se_locked GROUP BY site, question_id),
+ws AS (SELECT id, phrase, unnest(w) AS word, generate_subscripts(w, 1) AS nth FROM (SELECT id, phrase, {_PLAIN_WORDS.format("text")} AS w FROM ms)), st AS (SELECT id, word, nth, {_STEM.format("word")} AS stem FROM ws WHERE length(word) >= 4 AND NOT list_contains(list_transform({_PLAIN_WORDS.format("phrase")}, lambda x: {_STEM.format("x")}), {_STEM.format("word")})),
+kn AS (SELECT id, stem, arg_min(word, nth) AS word, arg_min(weight, nth) AS weight FROM st JOIN voc USING (word) GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS r FROM kn)
+SELECT ms.id, coalesce(string_agg(word, '|' ORDER BY r) FILTER (WHERE r <= 2), '') AS keywords FROM ms LEFT JOIN rk USING (id) GROUP BY ms.id"""

@@ -238,12 +238,13 @@ def x9_simulation(spark, d):
     return simulation.chosen_rules(simulation.simulated(spark, simulation.grid(), simulation.pools(topical_turns(spark, d))))
 
 
-@R.register()
+@R.register(corpora.KEYWORDS_SQL)
 def q3_keywords(spark, d):
     """The two most telling words of every question, but for those of its general topic."""
     words = profile.vocabulary(corpora.delivered(spark, d).where("s = 'train' and g is not null and text is not null"), "passage_id", "text", "g")
     messages = table(spark, d, "se_locked").groupBy("site", "question_id").agg(F.min("text").alias("text"), F.min(F.coalesce("general", F.lit(""))).alias("phrase"))
-    return conversation.salient_keywords(messages.select(F.concat_ws(":", "site", "question_id").alias("id"), "text", "phrase"), words)
+    found = conversation.salient_keywords(messages.select(F.concat_ws(":", "site", "question_id").alias("id"), "text", "phrase"), words)
+    return found.select("id", F.array_join("keywords", "|").alias("keywords"))
 
 
 @R.register("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

@@ -46,10 +46,18 @@ def t8_headings(spark, d):
     return lines.groupBy("source").agg(F.count("*").alias("lines"), F.count(F.when(X.is_heading(F.col("line")), 1)).alias("headings"))
 
 
-@R.register()
+_COUNT = "CASE WHEN trim({0}) = '' THEN 0 ELSE length(regexp_split_to_array(trim({0}), '[ \\t\\n\\r\\f\\v]+')) END"
+_HEADS = f"({_COUNT.format('x')} BETWEEN 1 AND 8 AND NOT regexp_matches(rtrim(x), '[.!?:;\"”)\\]]$'))"
+_BACK = "[" + ", ".join(f"'{name}'" for name in X.BACK_MATTER) + "]"
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\([ \t\n\r\f\v;,:]*\)', '', 'g'), '\([ \t\n\r\f\v]*[;,][ \t\n\r\f\v]*', '(', 'g'), '[ \t\x{00a0}]+', ' ', 'g'), '[ \t\n\r\f\v]+([,.;:])', '\1', 'g'))"
+
+
+@R.register(f"""WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: trim(y)) AS ls FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, {_HEADS} AS head, {_COUNT.format('x')} AS n FROM l), e AS (SELECT doc_id, min(pos) AS stop FROM h WHERE head AND list_contains({_BACK}, lower(x)) GROUP BY 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS at, {_CLEAN} AS paragraph FROM h LEFT JOIN e USING (doc_id) WHERE (stop IS NULL OR pos < stop) AND n >= 6 AND NOT head""")
 def t9_paragraphs(spark, d):
     """Content paragraphs of every document."""
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("at", "paragraph"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(X.paragraphs(F.col("text"))).alias("at", "paragraph")).select("doc_id", F.col("at").cast("long").alias("at"), "paragraph")
 
 
 @R.register()

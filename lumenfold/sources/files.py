@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import json
+import warnings
 from pathlib import Path
 
 import pandas as pd
@@ -86,11 +88,58 @@ def aliases_of(redirects: DataFrame, titles: DataFrame) -> DataFrame:
     return redirects.join(titles.select("title").distinct(), "title", "left_semi").groupBy("title").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
 
 
+def fan_out(rows: DataFrame, split: str, splits: list[str], in_general: Column | None = None) -> dict[str, DataFrame]:
+    """A filtered view for each split; with `in_general` also those rows of each as `<split>_general`. One scan each, nothing computed yet."""
+    own = {s: rows.where(F.col(split) == s) for s in splits}
+    return own if in_general is None else own | {f"{s}_general": df.where(in_general) for s, df in own.items()}
+
+
+def without_intents(rows: DataFrame, intent: str, excluded: list[str], splits: dict[str, str], split: str = "split") -> DataFrame:
+    """Rows of no excluded intent, their splits named anew; rows of unknown splits and of null intents are dropped."""
+    names = F.create_map(*(F.lit(x) for pair in splits.items() for x in pair))
+    return rows.where(~F.col(intent).isin(excluded)).withColumn(split, F.try_element_at(names, F.col(split))).where(F.col(split).isNotNull())
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(at, text): the lines of a file that are not blank, in order; DataMissingError if it is not there."""
+    if not Path(path.removeprefix("file://")).exists() and "://" not in path.removeprefix("file://"):
+        raise DataMissingError(path)
+    whole = spark.read.option("wholetext", True).text(path)
+    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "text")).where(F.trim("text") != "")
+
+
+def given_lines(spark: SparkSession, lines) -> DataFrame:
+    """(at, text) of an open stream such as standard input, or of any strings; blank lines are left out."""
+    kept = [(n, line.rstrip("\r\n")) for n, line in enumerate(lines) if line.strip()]
+    return spark.createDataFrame(kept, "at int, text string")
+
+
+def write_words(words: DataFrame, path: str) -> None:
+    """A lexicon: one word a line, sorted; replaces what is there."""
+    words.select(F.col("word").alias("value")).where("value IS NOT NULL").distinct().sort("value").write.mode("overwrite").text(path)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a lexicon; an empty table, with a warning, if it is not there."""
+    try:
+        return spark.read.text(path).select(F.col("value").alias("word")).where("word <> ''")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        warnings.warn(f"no words at {path}", stacklevel=2)
+        return spark.createDataFrame([], "word string")
+
+
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """A (small or large) report as parquet, csv with a header, or JSON lines; replaces what is there."""
+    """A (small or large) report as parquet, csv with a header, JSON lines, or lines of text (one column); replaces what is there.
+
+    A csv of no rows is an empty file.
+    """
     writer = rows.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", not rows.isEmpty()).csv(path)
+    elif kind == "text":
+        writer.text(path)
     elif kind in ("json", "parquet"):
         getattr(writer, kind)(path)
     else:
@@ -119,3 +168,81 @@ def fingerprint(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts: list[Column] = [F.sum(F.conv(F.substring(own, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(8)]
     summed = rows.agg(F.count("*").alias("rows"), *parts)
     return summed.select("rows", F.substring(F.sha2(F.concat_ws(",", *(F.col(f"p{i}").cast("string") for i in range(8))), 256), 1, 16).alias("digest"))
+
+
+#: Kinds of values that a saved model may hold.
+PLAIN = (str, int, float, bool, type(None))
+
+
+def _plain(value, place: str = "model") -> None:
+    if isinstance(value, dict):
+        for k, v in value.items():
+            _plain(k, place), _plain(v, f"{place}.{k}")
+    elif isinstance(value, list):
+        for n, v in enumerate(value):
+            _plain(v, f"{place}[{n}]")
+    elif not isinstance(value, PLAIN):
+        raise TamperedError(f"{place} is a {type(value).__name__}")
+
+
+def save_model(spark: SparkSession, folder: str, model: dict, tables: dict[str, DataFrame]) -> None:
+    """A model of plain values and tables, with a manifest beside it that `load_model` checks; replaces what is there."""
+    _plain(model)
+    spark.createDataFrame([(json.dumps(model, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/content/model")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/content/{name}")
+    manifest(spark, f"{folder}/content").write.mode("overwrite").parquet(f"{folder}/manifest")
+
+
+def load_model(spark: SparkSession, folder: str, names: list[str]) -> tuple[dict, dict[str, DataFrame]]:
+    """The model and its tables; TamperedError if any file is changed, missing or extra, or a value is not plain."""
+    verify(spark, f"{folder}/content", spark.read.parquet(f"{folder}/manifest"))
+    model = json.loads(spark.read.option("wholetext", True).text(f"{folder}/content/model").first()["value"])
+    _plain(model)
+    return model, {n: spark.read.parquet(f"{folder}/content/{n}") for n in names}
+
+
+class FrozenError(RuntimeError):
+    """An evaluation that was run before, or whose inputs are not those that were frozen."""
+
+
+def freeze(spark: SparkSession, folder: str, path: str) -> None:
+    """Writes the manifest of a folder once; a second time is refused."""
+    try:
+        manifest(spark, folder).write.mode("error").parquet(path)
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+        raise FrozenError(f"{path} is there") from e
+
+
+def run_once(spark: SparkSession, folder: str, frozen: str, results: str, report: DataFrame) -> None:
+    """Writes the report of a locked evaluation, if the folder is as it was frozen and no results are there yet."""
+    try:
+        verify(spark, folder, spark.read.parquet(frozen))
+    except TamperedError as e:
+        raise FrozenError(str(e)) from e
+    try:
+        report.write.mode("error").parquet(results)
+    except Exception as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+        raise FrozenError(f"{results} is there") from e
+
+
+def cached_by_digest(texts: DataFrame, identity: str, text: str, tag: str, encode, folder: str) -> DataFrame:
+    """(`identity`, features) by encode((`identity`, text)), kept in `folder` under the encoder's tag and the digest of the texts.
+
+    Other weights have another tag and other texts another digest, so stale vectors are never read. No tag, no cache.
+    """
+    own = texts.select(F.col(identity), F.col(text).alias("text"))
+    if not tag:
+        return encode(own)
+    path = f"{folder}/{tag}-{fingerprint(own).first()['digest']}"
+    try:
+        return texts.sparkSession.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    encode(own).write.mode("overwrite").parquet(path)
+    return texts.sparkSession.read.parquet(path)

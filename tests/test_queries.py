@@ -13,7 +13,6 @@ from lumenfold.queries import corpora, scores, talks, texts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings passages articles ood_passages se_locked heldout_items taxonomy_subtopics passage_vectors".split()
 CORE = {n: (q, r.sql.get(n)) for r in (texts.R, corpora.R, scores.R, talks.R) for n, q in r.queries.items()}
-SLOW = {"m22_alternatives", "x9_simulation"}
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +43,7 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in CORE.items() if not sql and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in CORE.items() if not sql))
 def test_runs(spark, sf_dir, name):
     assert CORE[name][0](spark, sf_dir).count() > 0
 
