@@ -36,6 +36,8 @@ from lumenfold.llm.words import Bags, mix
 from lumenfold.plans.lineage import cut, shuffle_partitions
 
 BANDS, ROWS, BITS = 16, 4, 128
+#: Copies of a bag in one tile.
+COPIES = 1000
 #: Signatures that a task remembers to have sent.
 SEEN = 200_000
 
@@ -166,15 +168,40 @@ def near_duplicate_pairs(texts: DataFrame, identity: str = "passage_id", text: s
     """
     members, heavy = survey(texts, identity, text)
     links = near_duplicate_bags(texts, text, agreement, heavy).select("a", "b")
-    one, two = (members.select(F.col("sig").alias(s), F.col("id").alias(i)) for s, i in (("a", "x"), ("b", "y")))
-    across = links.join(one, "a").join(two, "b")
-    repeated = members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sig").alias("a"))
-    copies = one.join(repeated, "a", "left_semi")
-    within = copies.join(copies.select("a", F.col("x").alias("y")), "a")
-    both = across.select("x", "y").unionByName(within.select("x", "y")).where("x <> y")
+    tiled, tiles = copy_tiles(members)
+    both = linked_copies(links, tiled, tiles).unionByName(own_copies(tiled, tiles)).where("x <> y")
     return both.select(F.least("x", "y").alias("passage_a"), F.greatest("x", "y").alias("passage_b")).distinct()
 
 
+def copy_tiles(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, id, tile) of all members and (sig, tiles) of the bags with several: their copies in tiles of about COPIES each.
+
+    No join below has more than two tiles' rows under one key, however many rows share a bag.
+    """
+    tiles = cut(members.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig", F.ceil(F.col("n") / COPIES).cast("int").alias("tiles")))
+    tiled = members.join(tiles.where("tiles > 1"), "sig", "left").select("sig", "id", F.pmod(F.xxhash64("id"), F.coalesce("tiles", F.lit(1))).cast("int").alias("tile"))
+    return tiled, tiles
+
+
+def linked_copies(links: DataFrame, tiled: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(x, y): members of either bag of each link (a, b), tile by tile."""
+    out = links
+    for end in "ab":
+        own = tiles.where("tiles > 1").select(F.col("sig").alias(end), F.col("tiles").alias("_t"))
+        out = out.join(own, end, "left").withColumn(f"t{end}", F.explode(F.sequence(F.lit(0), F.coalesce("_t", F.lit(1)) - 1))).drop("_t")
+    for end, name in (("a", "x"), ("b", "y")):
+        out = out.join(tiled.select(F.col("sig").alias(end), F.col("id").alias(name), F.col("tile").alias(f"t{end}")), [end, f"t{end}"])
+    return out.select("x", "y")
+
+
+def own_copies(tiled: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(x, y): members of one bag, each pair of tiles under its own key."""
+    copies = tiled.join(tiles, "sig")
+    left = copies.select("sig", F.col("id").alias("x"), F.col("tile").alias("low"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("high"))
+    right = copies.select("sig", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("low"), F.col("tile").alias("high"))
+    return left.join(right, ["sig", "low", "high"]).where((F.col("low") < F.col("high")) | (F.col("x") < F.col("y"))).select("x", "y")
+
+
 def near_duplicate_classes(texts: DataFrame, identity: str = "passage_id", text: str = "text", agreement: float = 0.75) -> DataFrame:
     """(`identity`, class, links): each row's group of texts connected by near-duplicates, and its text's links to other bags.
 

@@ -103,7 +103,12 @@ def test_hot_bands_are_cut_into_tiles(spark, monkeypatch, local):
     assert len(found) >= 0.9 * 60 * 59 / 2
 
 
-def test_copies_of_one_text_are_all_paired(spark):
+@pytest.mark.parametrize("copies", [7, 1000])
+def test_copies_of_one_text_are_all_paired(spark, monkeypatch, copies):
+    monkeypatch.setattr(neardup, "COPIES", copies)
+    near = [(f"z{i}", "exactly the same five words more" if i < 9 else "exactly the same five words less") for i in range(20)]
+    mixed = [(f"{i:03d}", "exactly the same five words") for i in range(15)] + near
+    assert len(pairs_of(neardup.near_duplicate_pairs(spark.createDataFrame(mixed, "passage_id string, text string")))) == 35 * 34 // 2
     rows = [(f"{i:03d}", "exactly the same five words") for i in range(40)]
     assert len(pairs_of(neardup.near_duplicate_pairs(spark.createDataFrame(rows, "passage_id string, text string")))) == 40 * 39 // 2
 
