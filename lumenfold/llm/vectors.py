@@ -166,27 +166,31 @@ def table_entries(vectors: DataFrame, size: int, hashes: int, tables: int, probe
 
 
 def best(found: np.ndarray, k: int) -> np.ndarray:
-    """Of each id the `k` best distinct others; ties go to the smaller."""
-    found = found[np.lexsort((found["other"], -found["cosine"], found["id"]))]
-    found = found[np.concatenate(([True], (found["id"][1:] != found["id"][:-1]) | (found["other"][1:] != found["other"][:-1])))] if len(found) else found
+    """Of each id the `k` best distinct others; ties, to five decimals, go to the smaller."""
+    if not len(found):
+        return found
+    found = found[np.lexsort((found["other"], np.round(found["cosine"] * np.float32(-1e5)), found["id"]))]
+    found = found[np.concatenate(([True], (found["id"][1:] != found["id"][:-1]) | (found["other"][1:] != found["other"][:-1])))]
     begin, length = blocks.runs(found["id"])
     return found[np.arange(len(found)) - np.repeat(begin, length) < k]
 
 
 def compare(left: np.ndarray, right: np.ndarray, cosine: float, k: int) -> Iterator[np.ndarray]:
-    """Both directions of the pairs of `left` and `right` of at least `cosine`, the k best of each id and portion."""
-    a, b = (r["v"].astype(np.float32) * np.float32(1 / STEPS) for r in (left, right))
+    """Both directions of the pairs of `left` and `right` of at least `cosine`, the k best of each id and portion.
+
+    Single precision, which is off by far less than the rounding of coordinates; `reranked` settles ties.
+    """
+    a, b = (r["v"].astype(np.float32) for r in (left, right))
+    for x in (a, b):
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1)[:, None]
     step = max(1, CELLS // max(1, len(b)))
     for x in range(0, len(a), step):
-        i, j = np.nonzero(a[x : x + step] @ b.T >= cosine - 1e-3)  # single precision; the rest is decided below
-        i += x
-        other = left["id"][i] != right["id"][j]
-        i, j = i[other], j[other]
-        # Integers are exact in doubles, so equal vectors tie exactly.
-        u, v = left["v"][i].astype(np.float64), right["v"][j].astype(np.float64)
-        dot = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
-        near = dot >= cosine
-        one, two, dot = left["id"][i[near]], right["id"][j[near]], dot[near]
+        dots = a[x : x + step] @ b.T
+        i, j = np.nonzero(dots >= cosine)
+        dot = dots[i, j]
+        one, two = left["id"][i + x], right["id"][j]
+        other = one != two
+        one, two, dot = one[other], two[other], dot[other]
         out = np.empty(2 * len(dot), FOUND)
         out["id"], out["other"], out["cosine"] = np.concatenate((one, two)), np.concatenate((two, one)), np.tile(dot, 2)
         yield best(out, k)
