@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Matrix
 from pyspark.sql import Column, DataFrame
@@ -96,13 +96,58 @@ def multilabel_probs(heads: dict[int, Softmax], features: Column, labels: int) -
     return F.array(*(softmax(heads[j].logits(features))[1] if j in heads else F.lit(0.0) for j in range(labels)))
 
 
+class Margins:
+    """Linear margins of each class against the rest, each with its own sigmoid; probabilities are these by their sum."""
+
+    def __init__(self, classes: list[int], weights: list[list[float]], intercepts: list[float], sigmoids: list[tuple[float, float]]):
+        self.classes, self.weights, self.intercepts, self.sigmoids = classes, weights, intercepts, sigmoids
+
+    def margins(self, features: Column) -> list[Column]:
+        return [dot(features, F.array(*map(F.lit, w))) + F.lit(b) for w, b in zip(self.weights, self.intercepts)]
+
+    def probs(self, features: Column) -> Column:
+        """Probabilities in the order of `classes`."""
+        raw = F.array(*(1 / (1 + F.exp(-(F.lit(a) * m + F.lit(b)))) for m, (a, b) in zip(self.margins(features), self.sigmoids)))
+        return let(raw, lambda r: let(F.aggregate(r, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(r, lambda x: x / total)))
+
+    def predict(self, features: Column) -> Column:
+        return F.array(*map(F.lit, self.classes))[argmax(self.probs(features))]
+
+
+def fit_margins(rows: DataFrame, features: str, y: str, iterations: int = 50, held: int = 3) -> Margins:
+    """Linear support vectors, one class against the rest with balanced weights, calibrated by sigmoids (Platt).
+
+    The sigmoids are fitted on a `held`-th of the rows, chosen by hash, that the margins are
+    not fitted on.
+    """
+    classes = sorted(r[y] for r in rows.select(y).distinct().toLocalIterator())
+    ready = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(features).alias("f"), F.col(y).alias("c"), (F.pmod(F.xxhash64(F.col(features)), F.lit(held)) == 0).alias("apart")).persist()
+    weights, intercepts, sigmoids = [], [], []
+    try:
+        for k in classes:
+            own = ready.withColumn("label", (F.col("c") == k).cast("double"))
+            model = LinearSVC(featuresCol="x", labelCol="label", weightCol="weight", maxIter=iterations, regParam=1e-4).fit(balanced_weights(own.where("not apart"), "label"))
+            weights.append(model.coefficients.toArray().tolist())
+            intercepts.append(float(model.intercept))
+            margin = dot(F.col("f"), F.array(*map(F.lit, weights[-1]))) + F.lit(intercepts[-1])
+            one = own.where("apart").select("label", array_to_vector(F.array(margin)).alias("x"))
+            if one.select("label").distinct().count() < 2:
+                sigmoids.append((1.0, 0.0))
+                continue
+            curve = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-6, standardization=False, maxIter=iterations).fit(one)
+            sigmoids.append((float(curve.coefficients[0]), float(curve.intercept)))
+    finally:
+        ready.unpersist()
+    return Margins(classes, weights, intercepts, sigmoids)
+
+
 def fit_alternative(kind: str, rows: DataFrame, features: str, y: str):
-    """naive_bayes, complement_naive_bayes (non-negative features), svm (one against the rest), or majority."""
-    ready = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(y).cast("double").alias("label"))
+    """naive_bayes, complement_naive_bayes (non-negative features), svm (calibrated margins), or majority."""
     if kind == "majority":
         return rows.groupBy(y).count().orderBy(F.desc("count"), y).first()[y]
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=50)).fit(ready)
+        return fit_margins(rows, features, y)
+    ready = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(y).cast("double").alias("label"))
     return NaiveBayes(modelType={"naive_bayes": "multinomial", "complement_naive_bayes": "complement"}[kind]).fit(ready)
 
 
