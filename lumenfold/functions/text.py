@@ -275,7 +275,7 @@ ANOMALIES = {
 
 def first_words(text: Column, most: int = 3) -> Column:
     """array<struct<length, prefix>>: the whole text and its first 1..most words where it has more."""
-    parts = F.split(F.trim(text), r"\s+")
+    parts = F.filter(F.split(text, r"\s+"), lambda p: p != "")
     whole = F.array(F.struct(F.lit("full").alias("length"), text.alias("prefix")))
     ks = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.size(parts) > k)
     return F.concat(whole, F.transform(ks, lambda k: F.struct(k.cast("string").alias("length"), F.array_join(F.slice(parts, F.lit(1), k), " ").alias("prefix"))))

@@ -348,7 +348,7 @@ def prefixes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "p.length", "english", F.regexp_extract_all(F.lower("p.prefix"), F.lit("([a-z]+)"), 1).alias("words"))
 
 
-_PREFIXES = f"""lx AS ({R.sql["m8_lexicon"]}), dc AS (SELECT doc_id, lower(left(trim(lang), 2)) = 'en' AS english, text, regexp_split_to_array(trim(text, E' \\t\\n\\r\\f\\v'), '[ \\t\\n\\r\\f\\v]+') AS p FROM documents WHERE trim(text) <> '' AND lang IS NOT NULL),
+_PREFIXES = f"""lx AS ({R.sql["m8_lexicon"]}), dc AS (SELECT doc_id, lower(left(trim(lang), 2)) = 'en' AS english, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS p FROM documents WHERE trim(text) <> '' AND lang IS NOT NULL),
 px AS (SELECT doc_id, english, unnest([{{'length': 'full', 'prefix': text}}] || list_transform(list_filter([1, 2, 3], lambda k: length(p) > k), lambda k: {{'length': CAST(k AS VARCHAR), 'prefix': array_to_string(p[1:k], ' ')}}), recursive := true) FROM dc),
 un AS (SELECT DISTINCT doc_id, length FROM (SELECT doc_id, length, unnest(regexp_extract_all(lower(prefix), '[a-z]+')) AS word FROM px) WHERE word NOT IN (SELECT word FROM lx)),
 ac AS (SELECT px.doc_id, px.length, english, un.doc_id IS NULL AS accepted FROM px LEFT JOIN un ON un.doc_id = px.doc_id AND un.length = px.length)""".replace("\\\\", "\\")
