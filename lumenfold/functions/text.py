@@ -154,8 +154,8 @@ def sentences(paragraph: Column) -> Column:
     guarded = paragraph
     for short in (x for x in ABBREVIATIONS if x.count(".") > 1):
         guarded = F.replace(guarded, F.lit(short), F.lit(short.replace(".", _GUARD)))
-    # Those with one dot, in one pass.
-    guarded = F.regexp_replace(guarded, "(?<=" + "|".join(x[:-1] for x in ABBREVIATIONS if x.count(".") == 1) + r")\.", _GUARD)
+    # Those with one dot, in one pass that looks back from dots only.
+    guarded = F.regexp_replace(guarded, r"\.(?<=(?:" + "|".join(x[:-1] for x in ABBREVIATIONS if x.count(".") == 1) + r")\.)", _GUARD)
     guarded = F.regexp_replace(guarded, INITIAL, "$1" + _GUARD)
     parts = F.split(guarded, SENTENCE_GAP)
     return F.filter(F.transform(parts, lambda p: F.trim(F.translate(p, _GUARD, "."))), lambda p: p != "")

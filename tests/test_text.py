@@ -98,3 +98,19 @@ def test_small_functions(spark):
 
     for w in ("x", "y", "zz"):
         assert one(spark, w, X.parity) == int(hashlib.sha1(w.encode()).hexdigest(), 16) % 2
+
+
+def test_abbreviations_are_guarded_wherever_they_stand(spark, sf_dir):
+    """As plain replacements one after the other, also inside words and after other dots."""
+    import re
+
+    def plain(text):
+        for short in X.ABBREVIATIONS:
+            text = text.replace(short, short.replace(".", "\u2063"))
+        text = re.sub(X.INITIAL, "\\1\u2063", text)
+        return [p for p in (x.replace("\u2063", ".").strip(" ") for x in re.split(X.SENTENCE_GAP, text, flags=re.A)) if p]
+
+    texts = ["It was created. Then e.g. Dr. Who etc. Came. U.S. Army vs. No. One. Ends here. Next", "music. Then al. And Nos. 3. Co. Gen. X. Y. Zed. A", "ca.c.ed. B. eds. C", ""]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/passages.parquet").where("text is not null").select("text").collect() if r.text.isascii()]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", X.sentences(F.col("t")).alias("s")).collect()
+    assert all(r.s == plain(texts[r.n]) for r in got)
